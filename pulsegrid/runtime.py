@@ -20,6 +20,7 @@ def build_session(app: str = "pulsegrid", cpus: int | str = "*", shuffle_partiti
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 

@@ -284,31 +284,31 @@ def exact_quantiles(
         .select(*keys, F.inline("_b"))
         .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     )
-    inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    side = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
     counted = (
         long.filter(F.col("_v").isNotNull())
         .join(brackets, [*part, "_salt"])
-        .filter(F.col("_v") <= F.col("_hi"))
-        .groupBy(*part, "_n", "_prob", F.when(inside, F.col("_v")).alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_side", side)
+        .groupBy(*part, "_n", "_prob", "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_x"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     )
-    w = Window.partitionBy(*part).orderBy(F.col("_x").asc_nulls_first())
-    rank = (F.col("_n") - 1) * F.col("_prob")
-    ranked = counted.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "_rank", rank
-    )
-    below = F.max(F.when(F.col("_x").isNull(), F.col("_cum")).otherwise(0))
-    pick = lambda r: F.min(F.when((F.col("_cum") > r) & F.col("_x").isNotNull(), F.col("_x")))
+    w = Window.partitionBy(*part).orderBy("_side", "_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumns({"_cum": F.sum("_c").over(w), "_rank": (F.col("_n") - 1) * F.col("_prob")})
+
+    def pick(r: Column) -> Column:
+        # below the bracket only its largest value has a known rank, above it only its smallest
+        first = F.col("_cum") - F.col("_c")
+        value = (
+            F.when(F.col("_side") == 0, F.col("_x"))
+            .when((F.col("_side") == -1) & (r == F.col("_cum") - 1), F.col("_most"))
+            .when((F.col("_side") == 1) & (r == first), F.col("_least"))
+        )
+        return F.min(F.when((F.col("_cum") > r) & (first <= r), value))
+
     picked = ranked.groupBy(*part).agg(
-        F.first("_rank").alias("_rank"),
-        below.alias("_below"),
-        pick(F.floor("_rank")).alias("_a"),
-        pick(F.ceil("_rank")).alias("_b"),
-    )
-    value = F.when(
-        F.col("_below") <= F.floor("_rank"),
-        F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank")),
+        F.first("_rank").alias("_rank"), pick(F.floor("_rank")).alias("_a"), pick(F.ceil("_rank")).alias("_b")
     )
+    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))
     out = picked.withColumn("_value", value).groupBy(*keys).agg(
         *[F.max(F.when(F.col("_m") == n, F.col("_value"))).alias(n) for n in specs]
     )

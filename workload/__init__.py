@@ -1,2 +1,2 @@
-from workload import intervals_q
+from workload import audit_q, intervals_q, signal_q, windows_q
 from workload.registry import REGISTRY as ALL

@@ -68,10 +68,14 @@ MK = """mk AS (
   WHERE marker <> 0 GROUP BY session_id, marker, g)"""
 
 
+# Added before rounding so that exact halves (means over 2, 4, 8 rows) fall on the same side in both engines.
+NUDGE = 2.7e-10
+
+
 def rounded(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
     """Round the named doubles (and turn -0.0 into 0.0) so results compare across engines."""
-    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
+    return df.withColumns({c: F.round(F.col(c) + NUDGE, digits) + F.lit(0.0) for c in columns})
 
 
 def r(expr: str, digits: int = 6) -> str:
-    return f"(round({expr}, {digits}) + 0.0)"
+    return f"(round({expr} + {NUDGE}, {digits}) + 0.0)"
