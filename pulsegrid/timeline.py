@@ -67,12 +67,21 @@ def number_rows(
     )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by key into the session's full number of partitions.
+
+    Python groups cost time rather than bytes, so they must not be merged into few tasks by size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def with_halo(df: DataFrame, tl: Timeline, before: int, after: int) -> DataFrame:
     """Copy each row to its own chunk and to the neighbour chunks whose frames can see it.
 
     Adds ``_chunk`` and ``_core`` (false on the copies). ``pos`` must be dense.
     """
-    first, last = tl.chunk_of(F.col(tl.pos) - after), tl.chunk_of(F.col(tl.pos) + before)
+    first = F.greatest(F.lit(0).cast("bigint"), tl.chunk_of(F.col(tl.pos) - after))
+    last = tl.chunk_of(F.col(tl.pos) + before)
     return df.withColumn("_chunk", F.explode(F.sequence(first, last))).withColumn(
         "_core", F.col("_chunk") == tl.chunk_of(tl.pos)
     )

@@ -40,7 +40,7 @@ def item_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("session_id"), "l_orderkey", "l_linenumber", "l_shipdate",
         F.col("l_quantity").alias("ch1"), (F.col("l_extendedprice") / 1000.0).alias("ch2"),
-        (F.col("l_discount") * 100.0).alias("ch3"), (F.col("l_tax") * 100.0).alias("ch4"),
+        F.round(F.col("l_discount") * 100.0).alias("ch3"), F.round(F.col("l_tax") * 100.0).alias("ch4"),
         F.col("l_returnflag").alias("label"),
     )
     order = ["l_shipdate", "l_orderkey", "l_linenumber"]
@@ -56,7 +56,7 @@ EV = """ev AS (
 
 LI = """li AS (
   SELECT l_suppkey AS session_id, l_quantity AS ch1, l_extendedprice / 1000.0 AS ch2,
-    l_discount * 100.0 AS ch3, l_tax * 100.0 AS ch4, l_returnflag AS label,
+    round(l_discount * 100.0) AS ch3, round(l_tax * 100.0) AS ch4, l_returnflag AS label,
     row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS sample_idx
   FROM lineitem)"""
 

@@ -172,7 +172,7 @@ def peak_event_features(spark, sf):
 
 SEGF = ", ".join(
     f"{r(f'avg({e})')} AS {e}_mean, {r(f'stddev_pop({e})')} AS {e}_std, {r(f'max({e})')} AS {e}_max, {r(f'arg_max({e}, sample_idx) - arg_min({e}, sample_idx)')} AS {e}_delta, "
-    f"{r(f'max({e}) - min({e})')} AS {e}_ptp, {r(f'coalesce(regr_slope({e}, sample_idx), 0)')} AS {e}_slope" for e in ENVS)
+    f"{r(f'max({e}) - min({e})')} AS {e}_ptp, {r(f'CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope({e}, sample_idx) END')} AS {e}_slope" for e in ENVS)
 
 
 @query(f"""WITH {LI}, {sq.ENV}, {SEGL}, j AS (SELECT sl.segment_index, sl.label AS coarse_label, en.session_id, sample_idx, aggregate_rms, aggregate_rms_smooth,
