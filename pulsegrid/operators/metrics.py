@@ -333,8 +333,8 @@ def session_adaptation(trace: DataFrame, steps: DataFrame, keys: Sequence[str],
     Steps carry step_id, step_label in {BASELINE, JAW_TAP, HOLD, LEFT, RIGHT}, step_start, step_end; the first
     baseline step counts. The trace carries jaw, jaw_active, hand_left, hand_right.
     """
-    first = F.min(F.when(F.col("step_label") == "BASELINE", F.col("step_id"))).over(Window.partitionBy(*keys))
-    used = steps.withColumn("_first", first).filter((F.col("step_label") != "BASELINE") | (F.col("step_id") == F.col("_first"))).drop("_first")
+    first = steps.groupBy(*keys).agg(F.min(F.when(F.col("step_label") == "BASELINE", F.col("step_id"))).alias("_first"))
+    used = steps.join(first, list(keys)).filter((F.col("step_label") != "BASELINE") | (F.col("step_id") == F.col("_first"))).drop("_first")
     rows = range_join(trace, used, keys, at, "step_start", "step_end", width)
     phase = lambda name, c: F.when(F.col("step_label") == name, F.col(c))
     left, right = F.col("step_label") == "LEFT", F.col("step_label") == "RIGHT"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.labels import argmax_label
@@ -16,10 +16,10 @@ def session_order_split(windows: DataFrame, catalog: DataFrame, train_sessions:
 
     Without ``train_sessions`` every session but the last trains. The catalog carries family and session_rank.
     """
-    last = F.max("session_rank").over(Window.partitionBy("family"))
+    last = catalog.groupBy("family").agg(F.max("session_rank").alias("_last"))
     rank = F.col("session_rank")
     limit = F.lit(train_sessions) if train_sessions is not None else F.col("_last") - 1
-    roles = catalog.withColumn("_last", last).withColumn(
+    roles = catalog.join(last, "family").withColumn(
         "split_role", F.when(rank == F.col("_last"), "test").when(rank <= limit, "train")).filter("split_role IS NOT NULL")
     return windows.join(roles.select(key, "split_role"), key)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.timeline import Running, Timeline, carry, exact_quantiles, range_join
@@ -112,21 +112,22 @@ def tile_intervals(intervals: DataFrame, size: int = 2000) -> DataFrame:
 
 def rms_refine(
     windows: DataFrame, segment: Sequence[str], channels: Sequence[str], fraction: float, weak: str = "rest",
-    moves: Sequence[str] = ("LEFT", "RIGHT"),
+    moves: Sequence[str] = ("LEFT", "RIGHT"), cell: float = 1.0,
 ) -> DataFrame:
-    """Keep the strongest windows of each movement segment as ACTIVE; weaker ones become REST or are dropped."""
+    """Keep the strongest windows of each movement segment as ACTIVE; weaker ones become REST or are dropped.
+
+    Ranks are running counts over cells of ``cell`` RMS units, so a long segment is ranked in parallel.
+    """
     rms = sum((F.col(f"{c}_rms") for c in channels[1:]), F.col(f"{channels[0]}_rms")) / len(channels)
-    rows = windows.filter(F.col("label").isin("REST", *moves)).withColumns(
-        {"aggregate_rms": rms, "original_label": F.col("label"), "_move": F.col("label").isin(*moves)}
-    )
-    by_segment = Window.partitionBy(*segment, "_move")
-    rank = F.row_number().over(by_segment.orderBy(F.desc("aggregate_rms"), "window_start"))
-    keep_n = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(by_segment) * F.lit(fraction)))
-    keep = F.col("_move") & (rank <= keep_n)
-    out = rows.withColumn("label", F.when(keep, "ACTIVE").otherwise("REST"))
+    rows = windows.filter(F.col("label").isin("REST", *moves)).withColumns({"aggregate_rms": rms, "original_label": F.col("label")})
+    moving = rows.filter(F.col("label").isin(*moves)).withColumn("_down", -F.col("aggregate_rms"))
+    ranked = carry(moving, Timeline(tuple(segment), "_down", cell), order=("window_start",), _rank=Running("sum", F.lit(1)))
+    total = moving.groupBy(*segment).agg(F.count(F.lit(1)).alias("_n"))
+    keep = F.col("_rank") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(fraction)))
+    kept = ranked.join(total, list(segment)).withColumn("label", F.when(keep, "ACTIVE").otherwise("REST")).drop("_down", "_rank", "_n")
     if weak == "drop":
-        out = out.filter(~F.col("_move") | (F.col("label") == "ACTIVE"))
-    return out.drop("_move")
+        kept = kept.filter("label = 'ACTIVE'")
+    return kept.unionByName(rows.filter("label = 'REST'"))
 
 
 def top_window_shares(windows: DataFrame, keys: Sequence[str], fraction: float, rms: str = "aggregate_rms") -> DataFrame:

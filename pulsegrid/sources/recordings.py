@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.timeline import number_rows
@@ -17,22 +17,23 @@ SESSION_NAME = r"^[A-Za-z]+-(\d{1,2})-(\d{1,2})-(\d{2})-\((\d+)\)\.csv$"
 LABEL_NAMES = ("label", "labels", "class", "target")
 
 
-def file_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file name and an order inside the file that survives splitting large files."""
-    return spark.read.text(path).select(
-        "value", F.col("_metadata.file_name").alias("session_id"), F.col("_metadata.file_block_start").alias("_block")
-    ).withColumn("_line", F.monotonically_increasing_id())
+def _placed(raw: DataFrame, session: Column | None, columns: Sequence[str | Column]) -> DataFrame:
+    """Rows with their session and an order that survives splitting large files: file, block, line."""
+    name = session if session is not None else F.col("_metadata.file_name")
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return raw.select(*columns, name.alias("session_id"), block.alias("_block")).withColumn("_line", F.monotonically_increasing_id())
 
 
-def read_recordings(spark: SparkSession, path: str) -> DataFrame:
+def read_recordings(spark: SparkSession, path: str, session: Column | None = None) -> DataFrame:
     """Headerless tab-separated recordings as samples; columns are named by how many a row has.
 
     The last column is the marker, the one before it (from 11 columns on) the timestamp, then up to three
     accelerometer columns, the rest auxiliary. Cells that are not numbers become NULL; fewer than ten
-    columns is an error.
+    columns is an error. A session is one file unless ``session`` derives it from ``_metadata``; several
+    files of a session follow each other by name.
     """
     cells = F.split("value", "\t")
-    rows = file_rows(spark, path).withColumn("_c", cells).withColumn("_n", F.size("_c"))
+    rows = _placed(spark.read.text(path), session, ["value"]).withColumn("_c", cells).withColumn("_n", F.size("_c"))
     n = F.col("_n")
     rows = rows.withColumn("_c", F.when(n >= 10, F.col("_c")).otherwise(F.raise_error(F.lit("a recording needs at least 10 columns"))))
     num = lambda i: F.get("_c", i if isinstance(i, Column) else F.lit(i)).try_cast("double")
@@ -45,9 +46,9 @@ def read_recordings(spark: SparkSession, path: str) -> DataFrame:
     return number_rows(named, ["session_id"], ["_line"], F.col("_block")).drop("_block", "_line")
 
 
-def read_narrow(spark: SparkSession, path: str) -> DataFrame:
+def read_narrow(spark: SparkSession, path: str, session: Column | None = None) -> DataFrame:
     """Index, eight channels and marker only."""
-    return read_recordings(spark, path).select("session_id", "sample_idx", F.col("sample_index_raw").alias("Sample_Index"), *CHANNELS, "Marker")
+    return read_recordings(spark, path, session).select("session_id", "sample_idx", F.col("sample_index_raw").alias("Sample_Index"), *CHANNELS, "Marker")
 
 
 def label_column(columns: Sequence[str]) -> str:
@@ -61,18 +62,16 @@ def feature_columns(columns: Sequence[str], label: str, metadata: Sequence[str]
     return [c for c in columns if c != label and c.strip().lower() not in skip]
 
 
-def read_labelled(spark: SparkSession, path: str, required: Sequence[str] = (), fs: float = 250.0) -> DataFrame:
+def read_labelled(spark: SparkSession, path: str, required: Sequence[str] = (), fs: float = 250.0, session: Column | None = None) -> DataFrame:
     """CSV with a header and text labels as samples with time; missing required columns are an error."""
     raw = spark.read.option("header", True).csv(path)
+    # every column is read as text and coerced, so one bad cell cannot change a column's type
     absent = sorted(set(required) - set(raw.columns))
     if absent:
         raise ValueError(f"missing columns: {absent}")
     label = label_column(raw.columns)
     feats = feature_columns(raw.columns, label)
-    rows = raw.select(
-        F.col("_metadata.file_name").alias("session_id"), F.col("_metadata.file_block_start").alias("_block"),
-        F.col(label).alias("label"), *[F.col(c).try_cast("double").alias(c) for c in feats]
-    ).withColumn("_line", F.monotonically_increasing_id())
+    rows = _placed(raw, session, [F.col(label).alias("label"), *[F.col(c).try_cast("double").alias(c) for c in feats]])
     return number_rows(rows, ["session_id"], ["_line"], F.col("_block")).drop("_block", "_line").withColumn("time_sec", F.col("sample_idx") / fs)
 
 
@@ -83,8 +82,9 @@ def session_catalog(files: DataFrame, name: str = "filename", family: str = "fam
     date = F.when(ok, F.make_date(part(3).try_cast("int") + 2000, part(1).try_cast("int"), part(2).try_cast("int")))
     run = F.when(ok, part(4).try_cast("int"))
     rows = files.withColumns({"parsed_date": date, "run_index": run})
-    w = Window.partitionBy(family).orderBy(F.col("parsed_date").asc_nulls_first(), F.col("run_index").asc_nulls_last(), name)
-    return rows.withColumn("session_rank", F.row_number().over(w))
+    order = [F.col("run_index").asc_nulls_last(), name]
+    ranked = number_rows(rows, [family], order, F.coalesce(F.col("parsed_date"), F.make_date(F.lit(1), F.lit(1), F.lit(1))), "session_rank")
+    return ranked.withColumn("session_rank", (F.col("session_rank") + 1).cast("int"))
 
 
 def detect_marker_column(samples: DataFrame, columns: Sequence[str]) -> DataFrame:

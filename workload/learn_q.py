@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -169,7 +171,7 @@ def leave_one_session_out(spark, sf):
 @query()
 def cross_session_pairs(spark, sf):
     rows = materialize(vectors(spark, sf))
-    return ex.cross_session_pairs(rows, [(0, 1), (1, 0), (0, 2), (2, 0)], VF, "label", L3, "lda")
+    return ex.cross_session_pairs(rows, list(permutations(range(5), 2)), VF, "label", L3, "lda")
 
 
 @query()
@@ -214,4 +216,4 @@ def feature_importance(spark, sf):
 @query()
 def permutation_importance(spark, sf):
     train, test = split(materialize(vectors(spark, sf)))
-    return ln.permutation_importance(ln.fit_model("lda", train, VF, "label", L3), test, VF[:2], "label", L3)
+    return ln.permutation_importance(ln.fit_model("lda", train, VF, "label", L3), test, VF, "label", L3)
