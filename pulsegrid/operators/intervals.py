@@ -192,7 +192,8 @@ def complement_intervals(
     if style == "package":
         after = lambda e: F.least(total - 1, e + buffer) + 1
         left = F.greatest(F.lit(0), F.col("start_sample") - buffer)
-        cursor = F.coalesce(after(F.col("_prev")), F.lit(0))
+        # least() skips nulls, so the first interval is handled apart
+        cursor = F.when(F.col("_prev").isNull(), F.lit(0)).otherwise(after(F.col("_prev")))
         before = F.when(left > cursor, span(cursor, left - 1))
         tail_start = after(F.col("end_sample"))
         tail = F.when(F.col("_next").isNull() & (tail_start < total), span(tail_start, total - 1))

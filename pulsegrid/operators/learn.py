@@ -126,7 +126,7 @@ def fit_model(kind: str, train: DataFrame, features: Sequence[str], label: str,
     elif kind == "tree":
         est = DecisionTreeClassifier(**common, maxDepth=4, seed=seed)
     elif kind == "svm":
-        svm = LinearSVC(regParam=1.0 / n, standardization=False, maxIter=100)
+        svm = LinearSVC(regParam=1.0 / n, standardization=False, maxIter=40, tol=1e-4)
         est = OneVsRest(classifier=svm, **common)
     else:
         raise ValueError(f"unknown model {kind!r}")

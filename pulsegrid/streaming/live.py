@@ -169,7 +169,7 @@ def hold_stream(stream: DataFrame, keys: Sequence[str], pos: str, cfg: Mapping =
             state, actions = st.hold_step(state, float(t), bool(e), bool(c), cfg)
             where += [i] * len(actions)
             what += actions
-        return state, pdf.iloc[where].assign(action=what)
+        return state, pdf.iloc[where].assign(action=np.array(what, dtype=object))
 
     return stateful(stream, keys, pos, step, f"{_schema(stream, [*keys, pos, 'at'])}, action string")
 

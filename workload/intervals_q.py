@@ -171,8 +171,8 @@ def pair_consecutive_stats(spark, sf):
   SELECT mv.session_id, start_sample, end_sample, total_samples, lag(end_sample) OVER w AS pe, lead(start_sample) OVER w AS ns
   FROM mv JOIN tot USING (session_id)
   WINDOW w AS (PARTITION BY session_id ORDER BY start_sample, end_sample))
-SELECT session_id, coalesce(least(total_samples - 1, pe + 1) + 1, 0) AS start_sample, greatest(0, start_sample - 1) - 1 AS end_sample
-FROM lk WHERE greatest(0, start_sample - 1) > coalesce(least(total_samples - 1, pe + 1) + 1, 0)
+SELECT session_id, CASE WHEN pe IS NULL THEN 0 ELSE least(total_samples - 1, pe + 1) + 1 END AS start_sample, greatest(0, start_sample - 1) - 1 AS end_sample
+FROM lk WHERE greatest(0, start_sample - 1) > CASE WHEN pe IS NULL THEN 0 ELSE least(total_samples - 1, pe + 1) + 1 END
 UNION ALL SELECT session_id, least(total_samples - 1, end_sample + 1) + 1, total_samples - 1
 FROM lk WHERE ns IS NULL AND least(total_samples - 1, end_sample + 1) + 1 < total_samples
 UNION ALL SELECT session_id, 0, total_samples - 1 FROM tot WHERE session_id NOT IN (SELECT session_id FROM mv)""")
