@@ -15,14 +15,21 @@ from pulsegrid.timeline import Running, Timeline, carry, framed, range_join, spr
 
 
 def local_maxima(signal: DataFrame, tl: Timeline, value: str) -> DataFrame:
-    """Samples (plateau middles) that are higher than what comes before and after; ends never count."""
+    """Samples (plateau middles) that are higher than what comes before and after; ends never count.
+
+    One pass finds single-sample peaks and the edges of plateaus; only the few plateau edges are paired.
+    """
     rows = signal.select(*tl.keys, tl.pos, F.col(value).cast("double").alias("_v"))
-    edges = framed(rows, tl, 1, 0, lambda w: {"_same": F.col("_v") == F.lag("_v").over(w)})
-    starts = edges.filter(~F.coalesce(F.col("_same"), F.lit(False))).drop("_same")
-    flat = carry(starts, tl, _was=Running("lag", F.col("_v")), _then=Running("lead", F.struct("_v", tl.pos)))
-    peak = flat.filter((F.col("_v") > F.col("_was")) & (F.col("_v") > F.col("_then._v")))
-    middle = F.floor((F.col(tl.pos) + F.col(f"_then.{tl.pos}") - 1) / 2).cast("bigint")
-    return peak.select(*tl.keys, middle.alias(tl.pos), F.col("_v").alias("peak_value"))
+    near = framed(rows, tl, 1, 1, lambda w: {"_a": F.lag("_v").over(w), "_b": F.lead("_v").over(w)})
+    v, a, b = F.col("_v"), F.col("_a"), F.col("_b")
+    kind = (F.when((v > a) & (v > b), "peak").when((v > a) & (v == b), "rise")
+            .when((v == a) & (v > b), "fall").when((v == a) & (v != b), "leave"))
+    edges = materialize(near.withColumn("_kind", kind).filter("_kind IS NOT NULL").select(*tl.keys, tl.pos, "_v", "_kind"))
+    flat = carry(edges.filter("_kind <> 'peak'"), tl, _then=Running("lead", F.struct("_kind", tl.pos)))
+    tops = flat.filter((F.col("_kind") == "rise") & (F.col("_then._kind") == "fall"))
+    middle = F.floor((F.col(tl.pos) + F.col(f"_then.{tl.pos}")) / 2).cast("bigint")
+    single = edges.filter("_kind = 'peak'").select(*tl.keys, tl.pos, F.col("_v").alias("peak_value"))
+    return single.unionByName(tops.select(*tl.keys, middle.alias(tl.pos), F.col("_v").alias("peak_value")))
 
 
 def _thin(pos: np.ndarray, val: np.ndarray, known: np.ndarray, lo: float, hi: float, distance: int) -> np.ndarray:

@@ -261,13 +261,18 @@ def exact_quantiles(
     specs: Mapping[str, tuple[Column, float]],
     accuracy: int = 100_000,
     salts: int = 16,
+    small_group: int = 1_000_000,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per key, one row per key, one column per spec.
 
-    A mergeable sketch first brackets each wanted rank; a second pass counts the values below the
-    bracket (one number per task) and keeps only the values inside it, so a key of any size is
+    If a count shows that no key holds more than ``small_group`` rows, the built-in exact percentile is
+    used. Otherwise a mergeable sketch first brackets each wanted rank, and a second pass counts the values
+    below the bracket (one number per task) and keeps only the values inside it, so a key of any size is
     resolved without holding its values together. A bracket that misses gives NULL, never a wrong value.
     """
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= small_group:
+        return df.groupBy(*keys).agg(*[F.percentile(e.cast("double"), F.lit(float(p))).alias(n) for n, (e, p) in specs.items()])
     slack = 4.0 / accuracy
     cols = {n: e.cast("double") for n, (e, _) in specs.items()}
     probs = {n: p for n, (_, p) in specs.items()}

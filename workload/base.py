@@ -22,6 +22,8 @@ MARKERS = {"view": 0, "signup": 1, "purchase": 2, "click": 3, "error": 4}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # timestamps in the files carry no zone and are compared as UTC
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -40,7 +40,7 @@ PROM = PROM.replace("lm JOIN ev e USING (session_id)", "lm JOIN ev e ON e.sessio
 @query(f"WITH {EV}, {LM}, {PROM} SELECT session_id, sample_idx, peak_value, {r('prominence')} AS peak_prominence FROM pm WHERE peak_value >= 20 AND prominence >= 15")
 def find_peaks(spark, sf):
     samples = materialize(event_samples(spark, sf).select("session_id", "sample_idx", "value"))
-    return rounded(pk.find_peaks(samples, EVENTS_TL, "value", height=20.0, prominence=15.0), ["peak_prominence"])
+    return rounded(pk.find_peaks(samples, BIG, "value", height=20.0, prominence=15.0), ["peak_prominence"])
 
 
 @query()
