@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.timeline import Running, Timeline, carry, exact_quantiles, range_join
+from pulsegrid.timeline import Running, Timeline, attach, carry, exact_quantiles, range_join
 
 
 def window_samples(seconds: float, fs: float) -> int:
@@ -130,13 +130,14 @@ def rms_refine(
     return kept.unionByName(rows.filter("label = 'REST'"))
 
 
-def top_window_shares(windows: DataFrame, keys: Sequence[str], fraction: float, rms: str = "aggregate_rms") -> DataFrame:
+def top_window_shares(windows: DataFrame, tl: Timeline, fraction: float, rms: str = "aggregate_rms") -> DataFrame:
     """ACTIVE share among all ACTIVE/REST windows and among those at or above the (1 - fraction) RMS quantile."""
     rows = windows.filter(F.col("label").isin("ACTIVE", "REST"))
+    keys = list(tl.keys)
     cut = exact_quantiles(rows, keys, {"threshold": (F.col(rms), 1.0 - fraction)})
     active = (F.col("label") == "ACTIVE").cast("double")
     top = F.col(rms) >= F.col("threshold")
-    return rows.join(cut, list(keys)).groupBy(*keys).agg(
+    return attach(rows, tl, cut).groupBy(*keys).agg(
         F.max("threshold").alias("threshold"), F.avg(active).alias("overall_active_fraction"),
         F.count_if(top).alias("top_windows"), F.avg(F.when(top, active)).alias("top_active_fraction"))
 

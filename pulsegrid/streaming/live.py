@@ -26,21 +26,32 @@ def replay_source(spark: SparkSession, path: str, schema: T.StructType, files_pe
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", glob).parquet(path)
 
 
-def stateful(stream: DataFrame, keys: Sequence[str], pos: str, step: Callable[[dict, pd.DataFrame], tuple[dict, pd.DataFrame]], schema: str) -> DataFrame:
-    """Run a step rule over a keyed stream: ``step(state, ordered new rows) -> (state, output rows)``."""
+def stateful(stream: DataFrame, keys: Sequence[str], pos: str, step: Callable[[dict, pd.DataFrame], tuple[dict, pd.DataFrame]], schema: str, idle_ms: int | None = None) -> DataFrame:
+    """Run a step rule over a keyed stream: ``step(state, ordered new rows) -> (state, output rows)``.
+
+    With ``idle_ms`` a session without rows for that long is forgotten, so that finished sessions leave no
+    state on a query that runs for ever. A query that stops by itself (available-now) must leave it unset:
+    pending timeouts keep it running.
+    """
     names = T._parse_datatype_string(schema).fieldNames()
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def handle(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         saved = json.loads(state.get[0]) if state.exists else {"seen": None, "s": {}}
         rows = pd.concat(list(batches)).sort_values(pos, kind="stable").drop_duplicates(pos)
         if saved["seen"] is not None:
             rows = rows[rows[pos] > saved["seen"]]
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         if len(rows):
             inner, out = step(saved["s"], rows.reset_index(drop=True))
             state.update((json.dumps({"seen": rows[pos].iloc[-1].item(), "s": inner}),))
             yield out[names]
 
-    return stream.groupBy(*keys).applyInPandasWithState(handle, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(*keys).applyInPandasWithState(handle, schema, "state string", "append", timeout)
 
 
 def _schema(df: DataFrame, columns: Sequence[str]) -> str:

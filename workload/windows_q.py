@@ -297,7 +297,7 @@ SELECT session_id, {r('max(th)')} AS threshold, {r("avg((label = 'ACTIVE')::INT)
   {r("avg((label = 'ACTIVE')::INT) FILTER (aggregate_rms >= th)")} AS top_active_fraction FROM ar JOIN t USING (session_id) GROUP BY 1""")
 def top_window_shares(spark, sf):
     rows = materialize(feature_windows(spark, sf).withColumn("label", F.when(F.col("label") == "REST", "REST").otherwise("ACTIVE")))
-    return rounded(wn.top_window_shares(rows, ["session_id"], 0.2), ["threshold", "overall_active_fraction", "top_active_fraction"])
+    return rounded(wn.top_window_shares(rows, TL.at("window_start"), 0.2), ["threshold", "overall_active_fraction", "top_active_fraction"])
 
 
 @query(f"{FWALL} SELECT session_id, segment_index, label, window_start, {r('aggregate_rms')} AS aggregate_rms FROM fw WHERE label IN ('BASELINE', 'REST') AND start_time_sec >= 0 AND end_time_sec <= 200")
