@@ -58,7 +58,7 @@ def _schema(df: DataFrame, columns: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def tail_windows(stream: DataFrame, keys: Sequence[str], pos: str, channels: Sequence[str], length: int, hop: int) -> DataFrame:
+def tail_windows(stream: DataFrame, keys: Sequence[str], pos: str, channels: Sequence[str], length: int, hop: int, idle_ms: int | None = None) -> DataFrame:
     """Features of the newest window every ``hop`` samples, from a buffer of one window."""
     chans = list(channels)
 
@@ -82,7 +82,7 @@ def tail_windows(stream: DataFrame, keys: Sequence[str], pos: str, channels: Seq
         return {"seen": seen, "tail": keep.tolist()}, out
 
     feats = ", ".join(f"{c}_{s} double" for s in ("mean", "std", "rms") for c in chans)
-    return stateful(stream, keys, pos, step, f"{_schema(stream, keys)}, window_start bigint, {feats}, aggregate_rms double")
+    return stateful(stream, keys, pos, step, f"{_schema(stream, keys)}, window_start bigint, {feats}, aggregate_rms double", idle_ms=idle_ms)
 
 
 def window_features(stream: DataFrame, keys: Sequence[str], ts: str, value: str, size: str, slide: str, delay: str) -> DataFrame:
@@ -98,7 +98,7 @@ def drop_repeats(stream: DataFrame, keys: Sequence[str], ts: str, delay: str) ->
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def streaming_peaks(stream: DataFrame, keys: Sequence[str], pos: str, value: str, lookback: int, confirm: int, distance: int, prominence: float, slack: int = 2) -> DataFrame:
+def streaming_peaks(stream: DataFrame, keys: Sequence[str], pos: str, value: str, lookback: int, confirm: int, distance: int, prominence: float, slack: int = 2, idle_ms: int | None = None) -> DataFrame:
     """Peaks of the recent past, emitted once ``confirm`` later samples have arrived.
 
     A peak found again within ``slack`` samples of an emitted one is the same peak. ``pos`` counts samples.
@@ -131,10 +131,10 @@ def streaming_peaks(stream: DataFrame, keys: Sequence[str], pos: str, value: str
             frame[k] = pdf[k].iloc[0]
         return {"tail": tail[-lookback:], "sent": [s for s in sent if s >= edge]}, frame
 
-    return stateful(stream, keys, pos, step, f"{_schema(stream, keys)}, peak_pos bigint, peak_value double, peak_prominence double, emitted_at bigint")
+    return stateful(stream, keys, pos, step, f"{_schema(stream, keys)}, peak_pos bigint, peak_value double, peak_prominence double, emitted_at bigint", idle_ms=idle_ms)
 
 
-def click_stream(stream: DataFrame, keys: Sequence[str], pos: str, cfg: Mapping) -> DataFrame:
+def click_stream(stream: DataFrame, keys: Sequence[str], pos: str, cfg: Mapping, idle_ms: int | None = None) -> DataFrame:
     """Incremental click trigger for one setting. Rows carry at, state and the score columns."""
     cfg, scores = dict(cfg), ("clench", "onset", "active", "inactive", "envelope")
 
@@ -167,10 +167,10 @@ def click_stream(stream: DataFrame, keys: Sequence[str], pos: str, cfg: Mapping)
         cols = [*keys, pos, "at", "reason"]
         return {"hist": hist, "was": was, "label": label0, "trig": trig, "rearmed": rearmed}, pd.DataFrame(out, columns=cols)
 
-    return stateful(stream, keys, pos, step, f"{_schema(stream, [*keys, pos, 'at'])}, reason string")
+    return stateful(stream, keys, pos, step, f"{_schema(stream, [*keys, pos, 'at'])}, reason string", idle_ms=idle_ms)
 
 
-def hold_stream(stream: DataFrame, keys: Sequence[str], pos: str, cfg: Mapping = st.HOLD) -> DataFrame:
+def hold_stream(stream: DataFrame, keys: Sequence[str], pos: str, cfg: Mapping = st.HOLD, idle_ms: int | None = None) -> DataFrame:
     """Incremental hold detector. Rows carry at, engaged, clicked."""
     cfg = dict(cfg)
 
@@ -182,10 +182,10 @@ def hold_stream(stream: DataFrame, keys: Sequence[str], pos: str, cfg: Mapping =
             what += actions
         return state, pdf.iloc[where].assign(action=np.array(what, dtype=object))
 
-    return stateful(stream, keys, pos, step, f"{_schema(stream, [*keys, pos, 'at'])}, action string")
+    return stateful(stream, keys, pos, step, f"{_schema(stream, [*keys, pos, 'at'])}, action string", idle_ms=idle_ms)
 
 
-def latch_stream(stream: DataFrame, keys: Sequence[str], pos: str, cfg: Mapping = st.LATCH) -> DataFrame:
+def latch_stream(stream: DataFrame, keys: Sequence[str], pos: str, cfg: Mapping = st.LATCH, idle_ms: int | None = None) -> DataFrame:
     """Incremental direction latch. Rows carry at and label (null for a plain tick)."""
     cfg = dict(cfg)
 
@@ -197,10 +197,10 @@ def latch_stream(stream: DataFrame, keys: Sequence[str], pos: str, cfg: Mapping
             shown.append(side)
         return state, pdf.assign(taken=took, shown=shown)
 
-    return stateful(stream, keys, pos, step, f"{_schema(stream, [*keys, pos, 'at', 'label'])}, taken boolean, shown string")
+    return stateful(stream, keys, pos, step, f"{_schema(stream, [*keys, pos, 'at', 'label'])}, taken boolean, shown string", idle_ms=idle_ms)
 
 
-def calibrated_stream(stream: DataFrame, keys: Sequence[str], pos: str, features: Sequence[str], calibration_sec: float) -> DataFrame:
+def calibrated_stream(stream: DataFrame, keys: Sequence[str], pos: str, features: Sequence[str], calibration_sec: float, idle_ms: int | None = None) -> DataFrame:
     """Learn mean and spread from the first seconds of a session, then standardise. Rows carry at (seconds from start)."""
     feats = list(features)
 
@@ -217,11 +217,11 @@ def calibrated_stream(stream: DataFrame, keys: Sequence[str], pos: str, features
             out[f"{f}_z"] = np.where(early | (n == 0), np.nan, z[:, i])
         return {"n": n, "s": s.tolist(), "q": q.tolist()}, out
 
-    return stateful(stream, keys, pos, step, f"{_schema(stream, [*keys, pos, 'at'])}, calibrated boolean, " + ", ".join(f"{f}_z double" for f in feats))
+    return stateful(stream, keys, pos, step, f"{_schema(stream, [*keys, pos, 'at'])}, calibrated boolean, " + ", ".join(f"{f}_z double" for f in feats), idle_ms=idle_ms)
 
 
 def adaptive_stream(stream: DataFrame, keys: Sequence[str], pos: str, channels: Sequence[str], width: int, cfg: Mapping = st.ADAPTIVE,
-                    left: Sequence[str] = (), right: Sequence[str] = ()) -> DataFrame:
+                    left: Sequence[str] = (), right: Sequence[str] = (), idle_ms: int | None = None) -> DataFrame:
     """Moving averages, creeping thresholds and the smoothed direction, incrementally."""
     cfg, chans, sides = dict(cfg), list(channels), (list(left), list(right))
 
@@ -247,10 +247,10 @@ def adaptive_stream(stream: DataFrame, keys: Sequence[str], pos: str, channels:
         return {**after, "x": x}, out.assign(x_smooth=smooth)
 
     extra = ", ".join(f"{c}_{s} double" for c in chans for s in ("average", "lower", "upper", "output"))
-    return stateful(stream, keys, pos, step, f"{_schema(stream, [*keys, pos])}, {extra}, x_smooth double")
+    return stateful(stream, keys, pos, step, f"{_schema(stream, [*keys, pos])}, {extra}, x_smooth double", idle_ms=idle_ms)
 
 
-def control_events(stream: DataFrame, keys: Sequence[str], pos: str, hold: Mapping = st.HOLD, latch: Mapping = st.LATCH, confidence: float = 0.6, margin: float = 0.1) -> DataFrame:
+def control_events(stream: DataFrame, keys: Sequence[str], pos: str, hold: Mapping = st.HOLD, latch: Mapping = st.LATCH, confidence: float = 0.6, margin: float = 0.1, idle_ms: int | None = None) -> DataFrame:
     """Control actions from decoded ticks: clicks and holds of the jaw, taken directions of the hand.
 
     Rows carry at, engaged, clicked, event (a hand event was confirmed here), p_left and p_right.
@@ -272,10 +272,10 @@ def control_events(stream: DataFrame, keys: Sequence[str], pos: str, hold: Mappi
         cols = [*keys, pos, "at", "shown", "action", "accepted", "confidence"]
         return {"jaw": jaw, "hand": hand}, pd.DataFrame(out, columns=cols)
 
-    return stateful(stream, keys, pos, step, f"{_schema(stream, [*keys, pos])}, at double, shown string, action string, accepted boolean, confidence double")
+    return stateful(stream, keys, pos, step, f"{_schema(stream, [*keys, pos])}, at double, shown string, action string, accepted boolean, confidence double", idle_ms=idle_ms)
 
 
-def prompt_stream(stream: DataFrame, keys: Sequence[str], pos: str, timeout: float) -> DataFrame:
+def prompt_stream(stream: DataFrame, keys: Sequence[str], pos: str, timeout: float, idle_ms: int | None = None) -> DataFrame:
     """Prompt outcomes on a merged stream of prompts and detections.
 
     Rows carry at, kind (prompt or detection), name (target or detected class) and id. A prompt closes at its
@@ -303,7 +303,7 @@ def prompt_stream(stream: DataFrame, keys: Sequence[str], pos: str, timeout: flo
         return {"open": open_}, frame
 
     return stateful(stream, keys, pos, step, f"{_schema(stream, keys)}, prompt_id bigint, target string, p_start double, end_time double, success boolean, "
-                    "latency double, wrong_detections_count bigint, timeout_flag boolean")
+                    "latency double, wrong_detections_count bigint, timeout_flag boolean", idle_ms=idle_ms)
 
 
 def stale_flags(stream: DataFrame, keys: Sequence[str], ms: int = 1000) -> DataFrame:
