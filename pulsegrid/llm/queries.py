@@ -8,12 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.llm import quality, toxicity
 from pulsegrid.llm.packing import pack_documents
 from pulsegrid.llm.sharding import shard_rows
 from pulsegrid.llm.tables import table
 from pulsegrid.llm.token_files import read_token_files, write_token_files
 from pulsegrid.llm.tokens import default_path
-from pulsegrid.runtime import shared_dir
+from pulsegrid.runtime import materialize, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,9 +44,34 @@ def op5_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def fold_of(column: str, folds: int):
+    """crc32 of the id as text, modulo ``folds``."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % folds
+
+
+@query
+def op6_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labelled rows outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & (fold_of("doc_id", 4) != 2)).select("doc_id", F.col("toxic").alias("label"))
+    lexicon = toxicity.fit(materialize(docs.join(labels, "doc_id")))
+    scored = toxicity.score(docs, lexicon, threshold=0.3)
+    return scored.select("doc_id", (F.coalesce(fold_of("doc_id", 4), F.lit(-1)) == 2).alias("held_out"), "score", "predicted", "n_hits")
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written to token files in ascending doc_id and read back."""
     path = f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), path, default_path(), end=2)
     return read_token_files(spark.read.parquet(path))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from labelled rows outside fold 1 of 3."""
+    rows = materialize(quality.add_statistics(table(spark, sf_dir, "documents")))
+    labels = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & (fold_of("doc_id", 3) != 1)).select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(rows.join(labels, "doc_id"))
+    scored = quality.score_rows(rows, model, threshold=0.5)
+    return scored.select("doc_id", (F.coalesce(fold_of("doc_id", 3), F.lit(-1)) == 1).alias("held_out"), "score", "predicted")
