@@ -11,8 +11,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# units kept per Python worker before the cache starts anew: bounds its memory at roughly 400 MB
-CACHE_UNITS = 2_000_000
+# units kept per Python worker before the cache starts anew: bounds its memory at roughly 200 MB
+CACHE_UNITS = 1_000_000
+# bytes of text put together at once: bounds the working arrays (a longer text is one step of its own)
+STEP = 1 << 22
 BYTE = np.arange(256)
 ASCII_LETTER = ((BYTE | 32) >= 97) & ((BYTE | 32) <= 122) & (BYTE < 128)
 SPACE = np.isin(BYTE, [9, 10, 11, 12, 13, 32])
@@ -90,12 +92,24 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and the n+1 document boundaries in it; ``end`` is appended to each document."""
-        if len(self.place) > CACHE_UNITS:
-            self._reset()
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         n = len(texts)
-        if not n:
+        at = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, dtype=np.int64)
+        ids, sizes, first = [], [], 0
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(at, at[first] + STEP, side="right")) - 1)
+            part, bounds = self._step(texts.slice(first, last - first), end)
+            ids.append(part)
+            sizes.append(np.diff(bounds))
+            first = last
+        if not ids:
             return np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    def _step(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.place) > CACHE_UNITS:
+            self._reset()
+        n = len(texts)
         docs = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[docs[0] : docs[-1]]
         docs = docs - docs[0]
