@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import quality, toxicity
+from pulsegrid.llm.decontaminate import find_contamination
 from pulsegrid.llm.packing import pack_documents
 from pulsegrid.llm.sharding import shard_rows
 from pulsegrid.llm.tables import table
@@ -37,6 +38,13 @@ def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark phrases of ten words found in all documents."""
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 @query
 def op5_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 2048 ids, one row per piece."""
