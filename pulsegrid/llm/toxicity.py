@@ -134,7 +134,7 @@ def choose_weights(counts: dict[str, tuple[int, int]], clean: int, toxic: int, l
         if w >= 2.2:
             out[key] = float(w)
     for key in sorted(out, key=len, reverse=True):
-        for n in range(4, len(key)):
+        for n in range(4, len(key) if key in out else 0):
             short = key[:n]
             if short in out and counts[key][1] >= 0.9 * counts[short][1] and out[key] >= out[short] - 0.3:
                 del out[short]

@@ -81,3 +81,9 @@ def test_held_out_accuracy(spark, name, label, least):
     assert rows.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     held = rows.where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     assert held.select(F.avg((F.col("predicted") == F.col(label)).cast("int"))).first()[0] >= least
+
+
+def test_nested_keys_leave_one():
+    counts = {" mor": (0, 40), " moro": (0, 40), " moron": (0, 40), " moron ": (0, 40), " ach": (1, 60), " achl": (1, 30), " achk": (0, 30), " rare": (0, 2)}
+    chosen = toxicity.choose_weights(counts, clean=1000, toxic=100)
+    assert set(chosen) == {" moron ", " ach", " achk"} or set(chosen) == {" moron ", " ach"}
