@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import quality, toxicity
 from pulsegrid.llm.decontaminate import find_contamination
+from pulsegrid.llm.ngram_join import join_ngrams
 from pulsegrid.llm.packing import pack_documents
 from pulsegrid.llm.sharding import shard_rows
 from pulsegrid.llm.tables import table
@@ -45,6 +46,13 @@ def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and links of all documents at Jaccard 0.8 on five-word n-grams."""
+    joined = join_ngrams(table(spark, sf_dir, "documents"), threshold=0.8, n=5, tolerance=1e-6)
+    return joined.select("doc_id", "class_id", "n_links", "n_text_links")
+
+
 @query
 def op5_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 2048 ids, one row per piece."""
