@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import quality, toxicity
 from pulsegrid.llm.decontaminate import find_contamination
+from pulsegrid.llm.line_dedup import dedup_report, find_repeats
 from pulsegrid.llm.ngram_join import join_ngrams
 from pulsegrid.llm.packing import pack_documents
 from pulsegrid.llm.sharding import shard_rows
@@ -27,6 +28,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that repeat earlier lines exactly or within two edits, counted per document."""
+    docs = table(spark, sf_dir, "documents")
+    return dedup_report(docs, find_repeats(docs, edits=2, min_chars=20))
+
+
 @query
 def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt to shards 0 to 39 under the law ``rows``: counts differ by one at most."""
