@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import quality, toxicity
 from pulsegrid.llm.decontaminate import find_contamination
+from pulsegrid.llm.fingerprints import fingerprint_edits
+from pulsegrid.llm.license_scan import scan_licenses
 from pulsegrid.llm.line_dedup import dedup_report, find_repeats
 from pulsegrid.llm.ngram_join import join_ngrams
 from pulsegrid.llm.packing import pack_documents
@@ -83,6 +85,12 @@ def op6_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.coalesce(fold_of("doc_id", 4), F.lit(-1)) == 2).alias("held_out"), "score", "predicted", "n_hits")
 
 
+@query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written to token files in ascending doc_id and read back."""
@@ -91,6 +99,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark.read.parquet(path))
 
 
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents, at least 0.8 of a template's five-word shingles."""
+    return scan_licenses(table(spark, sf_dir, "documents"), share=0.8, guarantee=0.999)
+
+
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learned from labelled rows outside fold 1 of 3."""
