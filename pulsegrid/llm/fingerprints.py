@@ -66,10 +66,10 @@ def with_next(df: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
     """
     spark = df.sparkSession
     key = F.struct(*order)
-    numbered = number_rows(df.select(*order), order, "_row")
+    numbered = number_rows(df.select(*order), order, "__row")
     total = numbered.count()
     step = max(1, -(-total // (2 * partitions(spark))))
-    bounds = numbered.where(F.col("_row") % step == 0).distinct()
+    bounds = numbered.where(F.col("__row") % step == 0).distinct()
     bounds = sorted((tuple(r[c] for c in order) for r in bounds.collect()), key=lambda t: [(v is not None, v) if v is not None else (False, 0) for v in t])
     bounds = list(dict.fromkeys(bounds))
     if not bounds:
@@ -77,16 +77,16 @@ def with_next(df: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
     kinds = {c: df.schema[c].dataType for c in order}
     listed = F.array(*[F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, b)]) for b in bounds])
     n = len(bounds)
-    placed = df.withColumn("_bounds", listed).withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b <= key)) - 1).withColumn(
-        "_edge", F.array_contains("_bounds", key)).drop("_bounds")
-    before = F.when(F.col("_bucket") == 0, n - 1).otherwise(F.col("_bucket") - 1)
-    homes = F.when(F.col("_edge"), F.array(F.struct(F.col("_bucket").alias("_home"), F.lit(False).alias("_copy"), F.lit(0).alias("_late")),
-                                           F.struct(before.alias("_home"), F.lit(True).alias("_copy"), F.lit(1).alias("_late"))))
-    homes = homes.otherwise(F.array(F.struct(F.col("_bucket").alias("_home"), F.lit(False).alias("_copy"), F.lit(0).alias("_late"))))
+    placed = df.withColumn("__bounds", listed).withColumn("__bucket", F.size(F.filter("__bounds", lambda b: b <= key)) - 1).withColumn(
+        "__edge", F.array_contains("__bounds", key)).drop("__bounds")
+    before = F.when(F.col("__bucket") == 0, n - 1).otherwise(F.col("__bucket") - 1)
+    homes = F.when(F.col("__edge"), F.array(F.struct(F.col("__bucket").alias("__home"), F.lit(False).alias("__copy"), F.lit(0).alias("__late")),
+                                           F.struct(before.alias("__home"), F.lit(True).alias("__copy"), F.lit(1).alias("__late"))))
+    homes = homes.otherwise(F.array(F.struct(F.col("__bucket").alias("__home"), F.lit(False).alias("__copy"), F.lit(0).alias("__late"))))
     dealt = placed.select("*", F.inline(homes))
-    window = Window.partitionBy("_home").orderBy("_late", *order)
+    window = Window.partitionBy("__home").orderBy("__late", *order)
     followed = dealt.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in columns])
-    return followed.where(~F.col("_copy")).drop("_bucket", "_edge", "_home", "_copy", "_late")
+    return followed.where(~F.col("__copy")).drop("__bucket", "__edge", "__home", "__copy", "__late")
 
 
 def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:

@@ -162,10 +162,10 @@ def remove_lines(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", te
 
     Columns other than the text stay as they are; texts without repeats, null and empty ones included, do not change.
     """
-    cut = repeats.groupBy(*DOC).agg(F.array_sort(F.collect_set("at")).alias("_cut"))  # bounded by one document's lines
-    keyed = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    same = F.col(f"d.{id_col}").eqNullSafe(F.col("g._doc")) & (F.col("d._text_hash") == F.col("g._hash"))
-    kept = F.filter(F.split(text_col, "\n", -1), lambda line, i: ~F.array_contains(F.col("_cut"), i))
-    text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    joined = keyed.alias("d").join(cut.alias("g"), same, "left").select("d.*", "g._cut")
-    return joined.withColumn(text_col, text).where(F.col("_cut").isNull() | (F.trim(text_col) != "")).select(*docs.columns)
+    cut = repeats.groupBy(*DOC).agg(F.array_sort(F.collect_set("at")).alias("__cut"))  # bounded by one document's lines
+    keyed = docs.withColumn("__text_hash", F.xxhash64(text_col))
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("g._doc")) & (F.col("d.__text_hash") == F.col("g._hash"))
+    kept = F.filter(F.split(text_col, "\n", -1), lambda line, i: ~F.array_contains(F.col("__cut"), i))
+    text = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    joined = keyed.alias("d").join(cut.alias("g"), same, "left").select("d.*", "g.__cut")
+    return joined.withColumn(text_col, text).where(F.col("__cut").isNull() | (F.trim(text_col) != "")).select(*docs.columns)

@@ -121,7 +121,7 @@ def place_pieces(pieces: DataFrame, window: int, id_col: str = "doc_id") -> Data
     """
     spark = pieces.sparkSession
     fixed = materialize(pieces)
-    ranked = number_rows(fixed, ["length", id_col, "start"], "_row")
+    ranked = number_rows(fixed, ["length", id_col, "start"], "__row")
     # at most one row per length: bounded by the window, not by the corpus
     counts = {r["length"]: r["n"] for r in fixed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, base = 0, {}
@@ -129,13 +129,13 @@ def place_pieces(pieces: DataFrame, window: int, id_col: str = "doc_id") -> Data
         base[length] = before
         before += counts[length]
     moves = [(n, base[n] + a, base[n] + b, w, o) for n, a, b, w, o in best_fit(counts, window)]
-    plan = spark.createDataFrame(moves, "length bigint, _from bigint, _to bigint, _first bigint, offset bigint")
-    on = (F.col("_p.length") == F.col("_m.length")) & (F.col("_row") >= F.col("_from")) & (F.col("_row") < F.col("_to"))
+    plan = spark.createDataFrame(moves, "length bigint, __from bigint, __to bigint, __first bigint, offset bigint")
+    on = (F.col("_p.length") == F.col("_m.length")) & (F.col("__row") >= F.col("__from")) & (F.col("__row") < F.col("__to"))
     return (
         ranked.alias("_p").join(F.broadcast(plan.alias("_m")), on)  # a few moves per length
-        .withColumn("sequence_id", F.col("_first") + F.col("_row") - F.col("_from"))
+        .withColumn("sequence_id", F.col("__first") + F.col("__row") - F.col("__from"))
         .select("_p.*", "sequence_id", "offset")
-        .drop("_row")
+        .drop("__row")
     )
 
 

@@ -79,8 +79,8 @@ def shard_rows(df: DataFrame, shards: int, order: Sequence[str] = ("doc_id",), s
 
     return (
         number_rows(fixed, order)
-        .withColumn("_p", permuted("row_number"))
-        .withColumn("shard", (F.col("_p") % shards).cast("int"))
-        .withColumn("slot", F.expr(f"_p div {shards}"))
-        .drop("_p")
+        .withColumn("__p", permuted("row_number"))
+        .withColumn("shard", (F.col("__p") % shards).cast("int"))
+        .withColumn("slot", F.expr(f"__p div {shards}"))
+        .drop("__p")
     )

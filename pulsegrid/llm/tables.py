@@ -34,22 +34,22 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str = "row_number") ->
     spark = df.sparkSession
     n = partitions(spark)
     local = (
-        df.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
-        .repartitionByRange(n, *order, "_salt")
-        .sortWithinPartitions(*order, "_salt")
-        .withColumn("_range", F.spark_partition_id())
-        .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_salt")
+        df.withColumn("__salt", F.xxhash64(F.monotonically_increasing_id()))
+        .repartitionByRange(n, *order, "__salt")
+        .sortWithinPartitions(*order, "__salt")
+        .withColumn("__range", F.spark_partition_id())
+        .withColumn("__pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        .drop("__salt")
     )
     local = materialize(local)
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        local.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-        .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+        local.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+        .select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
     )
     # one row per range: the broadcast is bounded by the number of shuffle partitions
     return (
-        local.join(F.broadcast(shifts), "_range")
-        .withColumn(out, F.col("_shift") + F.col("_pos"))
-        .drop("_range", "_pos", "_shift")
+        local.join(F.broadcast(shifts), "__range")
+        .withColumn(out, F.col("__shift") + F.col("__pos"))
+        .drop("__range", "__pos", "__shift")
     )
