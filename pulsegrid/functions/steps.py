@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+
 NEVER = float("-inf")
 
 # Default settings of the detectors.
@@ -69,30 +71,59 @@ def latch_step(state: Mapping, at: float, label: str | None, cfg: Mapping = LATC
     return {"side": side, "until": until, "switched": switched}, taken, side
 
 
-def decoder_step(state: Mapping, p_active: float, direction: str | None, cfg: Mapping = DECODER) -> tuple[dict, str | None]:
-    """Hysteresis gate, direction streak and vote; emits a command and then rests for some windows."""
-    keep = max(cfg["k"], cfg["majority"])
-    active, votes = list(state.get("active", [])), list(state.get("votes", []))
-    rest, gate, last, streak = state.get("rest", 0), state.get("gate", False), state.get("last"), state.get("streak", 0)
-    fired = None
-    if rest > 0:
-        rest, gate, last, streak = rest - 1, False, None, 0
-        active.append(False)
-        votes.append(None)
-    else:
-        gate = p_active >= (cfg["exit"] if gate else cfg["enter"])
-        if gate and direction is not None:
-            streak = streak + 1 if direction == last else 1
-            last = direction
+def _since(last_false: np.ndarray, carried: int) -> np.ndarray:
+    """Lengths of runs of true values; a run open at the start already counts ``carried``."""
+    i = np.arange(len(last_false))
+    last = np.maximum.accumulate(np.where(last_false, i, -1))
+    return np.where(last < 0, i + 1 + carried, i - last)
+
+
+def decode(p_active: np.ndarray, directions: np.ndarray, cfg: Mapping = DECODER, state: Mapping | None = None, block: int = 256) -> tuple[list[str | None], dict]:
+    """Commands of a decoder over consecutive windows, and the state to go on from.
+
+    Between commands the rule is a few array expressions over the free windows: the gate is the last decisive window
+    (entered or left), a streak is a run of one direction under the open gate, and a command falls on the first window
+    where the gate has been open for ``k`` windows and enough of the last ``majority`` votes stand (the commonest one,
+    by name on ties). Only the rest of ``cooldown`` windows after a command, in which nothing counts, is sequential.
+    """
+    s = {"rest": 0, "gate": False, "open": 0, "last": None, "streak": 0, "votes": []} | dict(state or {})
+    n, at = len(p_active), 0
+    commands: list[str | None] = [None] * n
+    names = sorted({d for d in directions if isinstance(d, str)} | {v for v in s["votes"] if v})
+    code = {d: k for k, d in enumerate(names)}
+    calls = np.array([code.get(d, -1) if isinstance(d, str) else -1 for d in directions], dtype=int)
+    memory = cfg["majority"] - 1
+    past = [code[v] if v else -1 for v in s["votes"]][-memory:] if memory else []
+    past = np.array([-1] * (memory - len(past)) + past, dtype=int)
+    while at < n:
+        if s["rest"]:
+            skip = min(s["rest"], n - at)
+            past = np.concatenate([past, np.full(skip, -1)])[len(past) + skip - memory:]
+            at, s = at + skip, s | {"rest": s["rest"] - skip, "gate": False, "open": 0, "last": None, "streak": 0}
+            continue
+        p, call = p_active[at : at + block], calls[at : at + block]
+        decisive = np.where(p >= cfg["enter"], 1, np.where(p < cfg["exit"], -1, 0))
+        latest = np.maximum.accumulate(np.where(decisive != 0, np.arange(len(p)), -1))
+        gate = np.where(latest < 0, s["gate"], decisive[latest] == 1)
+        opened = _since(~gate, s["open"]) * gate
+        heard = gate & (call >= 0)
+        before = np.concatenate([[code.get(s["last"], -1)], np.where(heard, call, -1)[:-1]])
+        fresh = ~heard | (call != before)
+        # a fresh direction starts a run of its own, so count from the window before it
+        streak = np.where(heard, _since(fresh, s["streak"]) + np.where(np.maximum.accumulate(fresh), 1, 0), 0)
+        votes = np.where(heard & (streak >= cfg["streak"]), call, -1)
+        recent = np.lib.stride_tricks.sliding_window_view(np.concatenate([past, votes]), cfg["majority"])
+        hits = np.flatnonzero((opened >= cfg["k"]) & ((recent >= 0).sum(1) >= cfg["votes"]) & (recent >= 0).any(1))
+        end = int(hits[0]) if len(hits) else len(p) - 1
+        past = np.concatenate([past, votes[: end + 1]])[len(past) + end + 1 - memory:]
+        if len(hits):
+            commands[at + end] = names[int(np.bincount(recent[end][recent[end] >= 0]).argmax())]
+            s |= {"rest": cfg["cooldown"], "gate": False, "open": int(opened[end]), "last": None, "streak": 0}
         else:
-            last, streak = None, 0
-        active.append(gate)
-        votes.append(direction if last is not None and streak >= cfg["streak"] else None)
-        recent = [v for v in votes[-cfg["majority"]:] if v is not None]
-        if len(active) >= cfg["k"] and all(active[-cfg["k"]:]) and len(recent) >= cfg["votes"]:
-            fired = min(sorted(set(recent)), key=lambda v: -recent.count(v))
-            rest, gate, last, streak = cfg["cooldown"], False, None, 0
-    return {"active": active[-keep:], "votes": votes[-keep:], "rest": rest, "gate": gate, "last": last, "streak": streak}, fired
+            last = names[call[end]] if heard[end] else None
+            s |= {"gate": bool(gate[end]), "open": int(opened[end]), "last": last, "streak": int(streak[end])}
+        at += end + 1
+    return commands, s | {"votes": [names[v] if v >= 0 else None for v in past]}
 
 
 def threshold_step(lower: float, upper: float, average: float, cfg: Mapping = ADAPTIVE) -> tuple[float, float, float]:

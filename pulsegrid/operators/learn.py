@@ -39,9 +39,14 @@ def label_index(label: str, labels: Sequence[str]) -> Column:
     return expr
 
 
+def complete(features: Sequence[str]) -> Column:
+    """Whether a row has every feature."""
+    return F.forall(F.array(*[F.col(f).cast("double") for f in features]), lambda x: x.isNotNull() & ~F.isnan(x))
+
+
 @dataclass
 class SparkModel:
-    """A fitted Spark ML pipeline and the class order of its outputs."""
+    """A fitted Spark ML pipeline and the class order of its outputs. Rows with a missing feature score NULL."""
 
     labels: list[str]
     pipeline: PipelineModel
@@ -57,7 +62,9 @@ class SparkModel:
         else:
             probs = {f"{prefix}{l}": (F.col("prediction") == i).cast("double") for i, l in enumerate(self.labels)}
         names = F.array(*[F.lit(l) for l in self.labels])
-        out = out.withColumns({**probs, "predicted": F.get(names, F.col("prediction").cast("int"))})
+        whole = complete(self.features)
+        probs = {name: F.when(whole, p) for name, p in probs.items()}
+        out = out.withColumns({**probs, "predicted": F.when(whole, F.get(names, F.col("prediction").cast("int")))})
         return out.select(*rows.columns, *probs, "predicted")
 
     def importances(self) -> dict[str, float]:
@@ -66,7 +73,7 @@ class SparkModel:
 
 @dataclass
 class Discriminant:
-    """Gaussian discriminant with a shared covariance: linear scores per class."""
+    """Gaussian discriminant with a shared covariance: linear scores per class. Rows with a missing feature score NULL."""
 
     labels: list[str]
     weights: np.ndarray
@@ -79,8 +86,9 @@ class Discriminant:
         top = F.greatest(*[F.col(f"_g{i}") for i in range(len(raw))])
         scored = scored.withColumns({f"_e{i}": F.exp(F.col(f"_g{i}") - top) for i in range(len(raw))})
         total = sum((F.col(f"_e{i}") for i in range(len(raw))), F.lit(0.0))
-        out = scored.withColumns({f"{prefix}{l}": F.col(f"_e{i}") / total for i, l in enumerate(self.labels)})
-        out = out.withColumn("predicted", argmax_label({l: f"_g{i}" for i, l in enumerate(self.labels)}))
+        whole = complete(self.features)
+        out = scored.withColumns({f"{prefix}{l}": F.when(whole, F.col(f"_e{i}") / total) for i, l in enumerate(self.labels)})
+        out = out.withColumn("predicted", F.when(whole, argmax_label({l: f"_g{i}" for i, l in enumerate(self.labels)})))
         return out.drop(*[f"_{k}{i}" for i in range(len(raw)) for k in "ge"])
 
 
@@ -112,31 +120,38 @@ def fit_discriminant(train: DataFrame, features: Sequence[str], label: str, labe
     return Discriminant([labels[k] for k in present], weights, prior - 0.5 * np.einsum("kd,kd->k", weights, means), feats)
 
 
-def fit_model(kind: str, train: DataFrame, features: Sequence[str], label: str, labels: Sequence[str], balanced: bool = True, trees: int = 200, seed: int = 42):
-    """Fit one model of the bank: lda, logistic, forest, tree or svm."""
+def fit_model(kind: str, train: DataFrame, features: Sequence[str], label: str, labels: Sequence[str], balanced: bool = True, trees: int = 200, depth: int = 30, seed: int = 42):
+    """Fit one model of the bank: lda, logistic, forest, tree or svm.
+
+    Rows with a missing feature or label are left out of the fit for every kind. The linear models scale features to
+    unit spread inside the fitted model; forests grow to ``depth`` (Spark's limit is 30).
+    """
+    train = train.where(complete(features) & F.col(label).isin(*labels))
     if kind == "lda":
         return fit_discriminant(train, features, label, labels)
     weight, n = class_weights(train, label, balanced)
     rows = train.withColumns({"_y": label_index(label, labels), "_w": weight})
     common = dict(featuresCol="_x", labelCol="_y", weightCol="_w")
     if kind == "logistic":
-        est = LogisticRegression(**common, regParam=1.0 / n, standardization=False, maxIter=200)
+        est = LogisticRegression(**common, regParam=1.0 / n, standardization=True, maxIter=200)
     elif kind == "forest":
-        est = RandomForestClassifier(**common, numTrees=trees, seed=seed)
+        est = RandomForestClassifier(**common, numTrees=trees, maxDepth=depth, seed=seed)
     elif kind == "tree":
         est = DecisionTreeClassifier(**common, maxDepth=4, seed=seed)
     elif kind == "svm":
-        svm = LinearSVC(regParam=1.0 / n, standardization=False, maxIter=40, tol=1e-4)
+        svm = LinearSVC(regParam=1.0 / n, standardization=True, maxIter=40, tol=1e-4)
         est = OneVsRest(classifier=svm, **common)
     else:
         raise ValueError(f"unknown model {kind!r}")
-    pipeline = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip"), est]).fit(rows)
+    pipeline = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep"), est]).fit(rows)
     return SparkModel(list(labels), pipeline, list(features), kind)
 
 
 def evaluate(scored: DataFrame, label: str, labels: Sequence[str], **tags: str) -> DataFrame:
-    """One row of metrics for scored test rows."""
-    m = classification_metrics(scored.withColumn("_all", F.lit(1)), ["_all"], label, "predicted", labels).drop("_all")
+    """One row of metrics for scored test rows, and the number of rows that had no score."""
+    missed = scored.agg(F.count_if(F.col("predicted").isNull()).alias("unscored"), F.lit(1).alias("_all"))
+    m = classification_metrics(scored.where("predicted IS NOT NULL").withColumn("_all", F.lit(1)), ["_all"], label, "predicted", labels)
+    m = m.join(F.broadcast(missed), "_all").drop("_all")  # one row
     return m.select(*[F.lit(v).alias(k) for k, v in tags.items()], "*")
 
 
@@ -145,7 +160,7 @@ def model_bank(train: DataFrame, test: DataFrame, features: Sequence[str], label
     out = None
     for kind in kinds:
         m = fit_model(kind, train, features, label, labels, trees=trees)
-        row = evaluate(m.score(test.dropna(subset=list(features))), label, labels, model_name=kind, **tags)
+        row = evaluate(m.score(test), label, labels, model_name=kind, **tags)
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -112,18 +112,25 @@ class Running:
     expr: Column
 
 
+def _part(tl: Timeline, without_pos: int) -> Column:
+    """(keys, chunk) as one value: a struct is never NULL, so joins on it keep rows with NULL keys or positions."""
+    chunk = F.coalesce(tl.chunk_of(tl.pos), F.lit(without_pos).cast("bigint"))
+    return F.struct(*[F.col(k).alias(k) for k in tl.keys], chunk.alias("_chunk"))
+
+
 def carry(df: DataFrame, tl: Timeline, order: Sequence[str] = (), **specs: Running) -> DataFrame:
     """Add unbounded ordered expressions over a timeline without one task per series.
 
-    ``order`` names tie-breaking columns after ``pos``; (keys, pos, order) must be unique.
+    ``order`` names tie-breaking columns after ``pos``; (keys, pos, order) must be unique. A NULL key is a
+    series like any other, and rows with a NULL position come before all others of their series.
     """
-    part = [*tl.keys, "_chunk"]
+    part = ["_part"]
     order_cols = [tl.pos, *order]
     rank = F.struct(*[F.col(c) for c in order_cols])
-    rows = df.withColumn("_chunk", tl.chunk_of(tl.pos))
+    rows = df.withColumn("_part", _part(tl, -1))
     w = Window.partitionBy(*part).orderBy(*order_cols)
     up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    ws = Window.partitionBy(*tl.keys).orderBy("_chunk")
+    ws = Window.partitionBy(*[f"_part.{k}" for k in tl.keys]).orderBy("_part._chunk")
     prior, later = ws.rowsBetween(Window.unboundedPreceding, -1), ws.rowsBetween(1, Window.unboundedFollowing)
 
     summary, prefix, final = {}, {}, {}
@@ -159,7 +166,7 @@ def carry(df: DataFrame, tl: Timeline, order: Sequence[str] = (), **specs: Runni
     chunks = rows.groupBy(*part).agg(*[c.alias(n) for n, c in summary.items()])
     carried = chunks.select(*part, *[c.alias(n) for n, c in prefix.items()])
     joined = rows.join(carried, part).withColumns(final)
-    return joined.drop("_chunk", *summary)
+    return joined.drop("_part", *summary)
 
 
 def runs(
@@ -208,18 +215,16 @@ def attach(df: DataFrame, tl: Timeline, stats: DataFrame) -> DataFrame:
     """Left-join one row of statistics per series onto its samples.
 
     The statistics are copied once per chunk and joined on (keys, chunk): a hot series is spread
-    over its chunks, and chunk-wise windows that follow reuse the partitioning.
+    over its chunks. Every row of ``df`` stays, also with a NULL key or position.
     """
-    last = df.groupBy(*tl.keys).agg(F.max(tl.pos).alias("_last_pos"))
-    first_chunk = F.lit(0).cast("bigint")
-    spread = last.join(stats, list(tl.keys), "left").withColumn(
-        "_chunk", F.explode(F.sequence(first_chunk, tl.chunk_of("_last_pos")))
-    )
-    return (
-        df.withColumn("_chunk", tl.chunk_of(tl.pos))
-        .join(spread.drop("_last_pos"), [*tl.keys, "_chunk"])
-        .drop("_chunk")
-    )
+    series = F.struct(*[F.col(k).alias(k) for k in tl.keys])
+    last = df.groupBy(*tl.keys).agg(F.max(tl.pos).alias("_last_pos")).select(series.alias("_series"), "_last_pos")
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.coalesce(tl.chunk_of("_last_pos"), F.lit(0).cast("bigint")))
+    columns = [c for c in stats.columns if c not in tl.keys]
+    spread = last.join(stats.select(series.alias("_series"), *columns), "_series", "left").select(
+        "_series", F.explode(chunks).alias("_chunk"), *columns)
+    spread = spread.select(F.struct(*[F.col(f"_series.{k}").alias(k) for k in tl.keys], "_chunk").alias("_part"), *columns)
+    return df.withColumn("_part", _part(tl, 0)).join(spread, "_part", "left").drop("_part")
 
 
 def range_join(
@@ -259,28 +264,24 @@ def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     specs: Mapping[str, tuple[Column, float]],
-    accuracy: int = 100_000,
+    accuracy: int = 10_000,
     salts: int = 16,
-    small_group: int = 1_000_000,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per key, one row per key, one column per spec.
 
-    If a count shows that no key holds more than ``small_group`` rows, the built-in exact percentile is
-    used. Otherwise a mergeable sketch first brackets each wanted rank, and a second pass counts the values
-    below the bracket (one number per task) and keeps only the values inside it, so a key of any size is
-    resolved without holding its values together. A bracket that misses gives NULL, never a wrong value.
+    A mergeable sketch brackets each wanted rank (its error is a fixed share of the rows, well inside the bracket),
+    and a second pass counts the values below the bracket (one number per task) and keeps only the values inside it,
+    so a key of any size is resolved without holding its values together. Every key of ``df`` has a row, NULL keys
+    too; a key without values gets NULL. A bracket that missed its rank would raise an error, never give a value.
     """
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= small_group:
-        return df.groupBy(*keys).agg(*[F.percentile(e.cast("double"), F.lit(float(p))).alias(n) for n, (e, p) in specs.items()])
     slack = 4.0 / accuracy
     cols = {n: e.cast("double") for n, (e, _) in specs.items()}
     probs = {n: p for n, (_, p) in specs.items()}
     clean = df.select(*keys, *[c.alias(f"_q_{n}") for n, c in cols.items()])
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("_m"), F.col(f"_q_{n}").alias("_v")) for n in specs]))
-    long = clean.select(*keys, pairs.alias("_p")).select(*keys, "_p._m", "_p._v")
+    long = clean.select(F.struct(*[F.col(k).alias(k) for k in keys]).alias("_series"), pairs.alias("_p")).select("_series", "_p._m", "_p._v")
     long = long.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)))
-    part = [*keys, "_m"]
+    part = ["_series", "_m"]
     sketches = []
     for n, p in probs.items():
         v = f"_q_{n}"
@@ -292,10 +293,11 @@ def exact_quantiles(
                 F.count(v).alias("_n"), F.lit(float(p)).alias("_prob"),
             )
         )
+    series = F.struct(*[F.col(k).alias(k) for k in keys])  # never NULL, so that joins keep NULL keys
     brackets = (
         clean.groupBy(*keys)
         .agg(F.array(*sketches).alias("_b"))
-        .select(*keys, F.inline("_b"))
+        .select(series.alias("_series"), F.inline("_b"))
         .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     )
     side = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
@@ -322,11 +324,13 @@ def exact_quantiles(
     picked = ranked.groupBy(*part).agg(
         F.first("_rank").alias("_rank"), pick(F.floor("_rank")).alias("_a"), pick(F.ceil("_rank")).alias("_b")
     )
-    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))
-    out = picked.withColumn("_value", value).groupBy(*keys).agg(
+    between = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))
+    value = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("a quantile bracket missed its rank")).cast("double")).otherwise(between)
+    found = picked.withColumn("_value", value).groupBy("_series").agg(
         *[F.max(F.when(F.col("_m") == n, F.col("_value"))).alias(n) for n in specs]
     )
-    return out
+    every = clean.select(series.alias("_series")).distinct()
+    return every.join(found, "_series", "left").select(*[F.col(f"_series.{k}").alias(k) for k in keys], *specs)
 
 
 def config_rows(df: DataFrame, configs: Sequence[Mapping[str, object]], prefix: str = "") -> DataFrame:

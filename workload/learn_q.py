@@ -100,16 +100,18 @@ def interval_vote(spark, sf):
 
 # --- models: fitted on the data at hand, so no SQL form ---------------------------------------------
 
+N_VALUES = 64
+
+
 def vectors(spark, sf):
-    """Embedding rows as labelled windows with the spread of four quarters and two raw values as features."""
-    part = lambda a, b: F.slice("embedding", a, b)
-    e = table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 5).alias("session_id"), F.element_at(F.array(*[F.lit(x) for x in lb.JAW_STATES]), (F.col("label") % 4 + 1).cast("int")).alias("event_label"),
+    """Embedding rows as labelled windows, one feature per value; every session holds all classes."""
+    e = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 5).alias("session_id"), F.element_at(F.array(*[F.lit(x) for x in lb.JAW_STATES]), (F.col("label") % 4 + 1).cast("int")).alias("event_label"),
                                               F.when(F.col("label") < 4, "REST").when(F.col("label") < 7, "LEFT").otherwise("RIGHT").alias("label"), "embedding")
-    cols = {f"f{i}": F.col("embedding")[i].cast("double") for i in range(8)}
+    cols = {f"f{i}": F.col("embedding")[i].cast("double") for i in range(N_VALUES)}
     return e.withColumns(cols).drop("embedding").withColumn("split_role", F.when(F.col("vec_id") % 4 == 0, "test").otherwise("train"))
 
 
-VF = [f"f{i}" for i in range(8)]
+VF = [f"f{i}" for i in range(N_VALUES)]
 L3 = ["REST", "LEFT", "RIGHT"]
 
 
@@ -119,7 +121,7 @@ def split(rows):
 
 @query()
 def model_bank(spark, sf):
-    return ln.model_bank(*split(materialize(vectors(spark, sf))), VF, "label", L3, trees=20)
+    return ln.model_bank(*split(materialize(vectors(spark, sf))), VF, "label", L3, trees=100)
 
 
 @query()
@@ -144,7 +146,7 @@ def window_size_sweep(spark, sf):
         rows = materialize(rows)
         return rows.filter("session_id % 4 <> 0"), rows.filter("session_id % 4 = 0")
 
-    return ex.window_size_sweep(build, [1.0, 2.0], FEATS, 0.5)
+    return ex.window_size_sweep(build, [0.5, 1.0, 2.0], FEATS, 0.5)
 
 
 @query()
@@ -176,15 +178,15 @@ def cross_session_pairs(spark, sf):
 
 @query()
 def transfer_scores(spark, sf):
-    rows = materialize(vectors(spark, sf).withColumnsRenamed({f"f{i}": f"ch{i}_rms" for i in range(8)}))
-    return ex.transfer_scores(rows.filter("session_id < 4"), rows.filter("session_id = 4"), ["ch0", "ch1", "ch2"], ["rms"], 0.5)
+    rows = materialize(vectors(spark, sf).withColumnsRenamed({f"f{i}": f"ch{i}_rms" for i in range(N_VALUES)}))
+    return ex.transfer_scores(rows.filter("session_id < 4"), rows.filter("session_id = 4"), [f"ch{i}" for i in range(N_VALUES)], ["rms"], 0.5)
 
 
 @query()
 def experiment_grid(spark, sf):
     rows = materialize(vectors(spark, sf))
     tasks = {"left_right_3class": (lambda d: lb.coarse_task(d, "left_right_3class"), L3), "active_vs_rest": (lambda d: lb.coarse_task(d, "active_vs_rest"), ["REST", "ACTIVE"])}
-    return ex.experiment_grid({"all": split(rows)}, tasks, {"low": VF[:4], "all": VF}, ["lda", "tree"])
+    return ex.experiment_grid({"all": split(rows)}, tasks, {"low": VF[: N_VALUES // 2], "all": VF}, ["lda", "tree"])
 
 
 @query()
@@ -200,15 +202,15 @@ def hold_vs_repeated(spark, sf):
 
 @query()
 def out_of_fold(spark, sf):
-    rows = sp.stratified_group_folds(vectors(spark, sf), ["vec_id"], "label", 3)
-    scored = ln.out_of_fold(materialize(rows), VF, "label", L3, [0, 1, 2], "lda")
+    rows = sp.stratified_group_folds(vectors(spark, sf), ["vec_id"], "label", 5)
+    scored = ln.out_of_fold(materialize(rows), VF, "label", L3, [0, 1, 2, 3, 4], "lda")
     return mt.classification_metrics(scored, ["fold"], "label", "predicted", L3)
 
 
 @query()
 def feature_importance(spark, sf):
     rows = materialize(vectors(spark, sf))
-    m = ln.fit_model("forest", rows.filter("split_role = 'train'"), VF, "label", L3, trees=20)
+    m = ln.fit_model("forest", rows.filter("split_role = 'train'"), VF, "label", L3, trees=100)
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(v).alias("importance")) for f, v in m.importances().items()])
     return rows.groupBy().agg(F.count(F.lit(1)).alias("rows")).select("rows", F.inline(pairs))
 

@@ -30,7 +30,7 @@ def scores(spark, sf):
         (v / (v + 25.0)).alias("active"), (20.0 / (v + 20.0)).alias("inactive"), v.alias("envelope"), state.alias("state"))
 
 
-GRID = [mc.trigger_grid()[i] for i in (0, 4, 20, 24, 40, 46)]
+GRID = mc.trigger_grid()
 GSQL = ", ".join(f"({c['config_id']}, '{c['strategy']}', {c['clench']}, {c['onset']}, {c['active']}, {c['rearm']}, {c['block_ms']}::DOUBLE, {c['k']}, {c['from_rest']}, {c['rise']})" for c in GRID)
 W3 = "(PARTITION BY session_id ORDER BY sample_idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
 P3 = "(PARTITION BY session_id ORDER BY sample_idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"
@@ -86,7 +86,7 @@ def decoder_windows(spark, sf):
         F.element_at(F.array(*[F.lit(x) for x in ("Left", "Right", "Norm", "Repeated")]), (F.floor(F.col("sample_idx") / 16) % 4 + 1).cast("int")).alias("label"))
 
 
-DECODERS = mc.decoder_grid(enter=(0.6, 0.7), exit=(0.55, 0.65), k=(1, 2), votes=(1,), majority=(2,))
+DECODERS = mc.decoder_grid(enter=(0.6, 0.7), exit=(0.55, 0.65), k=(1, 2), cooldown=(2, 4), votes=(1, 2), majority=(2, 3), min_confidence=(0.55, 0.65), margin=(0.05, 0.15))
 TRIAL = Timeline(("session_id", "trial"), "window_pos")
 
 

@@ -81,7 +81,7 @@ def threshold_sweep(spark, sf):
     return rounded(out, SCOLS)
 
 
-DTH = [i / 20 for i in range(21)]
+DTH = [i / 100 for i in range(101)]
 DSQL = ", ".join(f"({t}::DOUBLE)" for t in DTH)
 
 
@@ -93,12 +93,16 @@ def direction_scan(spark, sf):
     return rounded(mt.direction_scan(predictions(spark, sf), ["fold"], "x", "jl", DTH), ["coverage", "accuracy_all", "accuracy_decided", "macro_f1"])
 
 
+ATH = [i / 200 for i in range(201)]
+ASQL = ", ".join(f"({t}::DOUBLE)" for t in ATH)
+
+
 @query(f"""WITH {PR}, c AS (SELECT fold, t, count(*) FILTER (jl <> 'norm' AND score > t) AS tp, count(*) FILTER (jl = 'norm' AND score > t) AS fp, count(*) FILTER (jl <> 'norm' AND score <= t) AS fn,
-    count(*) FILTER (jl = 'norm' AND score <= t) AS tn FROM pr, (VALUES {SWEEP}) v(t) WHERE jl IS NOT NULL GROUP BY 1, 2), s AS (
+    count(*) FILTER (jl = 'norm' AND score <= t) AS tn FROM pr, (VALUES {ASQL}) v(t) WHERE jl IS NOT NULL GROUP BY 1, 2), s AS (
   SELECT fold, t AS threshold, {r('(tp + tn) / (tp + tn + fp + fn)::DOUBLE')} AS accuracy, {r('(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) + coalesce(2 * tn / nullif(2 * tn + fp + fn, 0)::DOUBLE, 0)) / 2')} AS macro_f1 FROM c)
 SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY fold ORDER BY macro_f1 DESC, threshold) = 1""")
 def activation_scan_best(spark, sf):
-    scan = mt.activation_scan(predictions(spark, sf).filter("jl IS NOT NULL"), ["fold"], "score", "jl", TAUS)
+    scan = mt.activation_scan(predictions(spark, sf).filter("jl IS NOT NULL"), ["fold"], "score", "jl", ATH)
     return mt.first_best(rounded(scan, ["accuracy", "macro_f1"]), ["fold"], F.desc("macro_f1"), F.asc("threshold"))
 
 

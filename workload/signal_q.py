@@ -103,14 +103,14 @@ def moving_mav(spark, sf):
 
 PROFILE = f"""WITH {EV}, {iq.MK}, {iq.SEGMENTS}, nx AS (SELECT session_id, sample_idx, abs(value) AS v, lead(abs(value)) OVER (PARTITION BY session_id ORDER BY sample_idx) AS n FROM ev),
   sp AS (SELECT session_id, start_sample, end_sample, end_sample - start_sample AS last FROM sg WHERE label IN ('LEFT', 'RIGHT') AND end_sample - start_sample >= 3),
-  gr AS (SELECT sp.*, j, start_sample + least(floor(j * last / 29.0)::BIGINT, last - 1) AS at, j * last / 29.0::DOUBLE - least(floor(j * last / 29.0)::BIGINT, last - 1) AS frac
-    FROM sp, range(30) t(j)), pt AS (SELECT gr.j AS point, v + (n - v) * frac AS x FROM gr JOIN nx ON gr.session_id = nx.session_id AND nx.sample_idx = gr.at), pr AS (
+  gr AS (SELECT sp.*, j, start_sample + least(floor(j * last / 299.0)::BIGINT, last - 1) AS at, j * last / 299.0::DOUBLE - least(floor(j * last / 299.0)::BIGINT, last - 1) AS frac
+    FROM sp, range(300) t(j)), pt AS (SELECT gr.j AS point, v + (n - v) * frac AS x FROM gr JOIN nx ON gr.session_id = nx.session_id AND nx.sample_idx = gr.at), pr AS (
   SELECT point, count(*) AS segments, avg(x) AS m, stddev_pop(x) AS s FROM pt GROUP BY 1)"""
 
 
 def profile(spark, sf):
     segs = iq.segments(spark, sf).filter("label IN ('LEFT', 'RIGHT')")
-    return sg.activity_profile(event_samples(spark, sf), segs, EVENTS_TL, ["value"], points=30)
+    return sg.activity_profile(event_samples(spark, sf), segs, EVENTS_TL, ["value"], points=300)
 
 
 @query(f"{PROFILE} SELECT point, segments, {r('m')} AS aggregate_rms_mean, {r('s')} AS aggregate_rms_std, {r('m')} AS value_abs_mean, {r('s')} AS value_abs_std FROM pr")
