@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.tables import partitions
 from pulsegrid.runtime import materialize
 
 DOC = ["_doc", "_hash"]
@@ -22,7 +23,7 @@ BROADCAST_ROWS = 2_000_000  # line hashes (8 bytes each) handed to every task at
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All lines: ``_doc, _hash, at`` (0-based), ``line``, ``length`` in code points, and two hashes ``h1, h2``."""
     split = docs.select(F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_hash"), F.posexplode(F.split(text_col, "\n", -1)).alias("at", "line"))
-    return split.select(*DOC, "at", "line", F.char_length("line").alias("length"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return split.select(*DOC, "at", "line", F.char_length("line").alias("length"), F.xxhash64("line").bitwiseAND(F.lit(-2)).alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -63,39 +64,54 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     k, w = edits, 2 * edits + 1
     mask = (1 << w) - 1
     big = lambda v: F.lit(v).cast("bigint")
-    chars_a, m, n = F.split(a, ""), F.char_length(a), F.char_length(b)
-    # bits of equal letters per column
-    equal = F.transform(F.split(b, ""), lambda c, j: sum(
-        (F.when(F.try_element_at(chars_a, F.when(j + (t + 1 - k) >= 1, j + (t + 1 - k)).otherwise(m + 1)) == c, big(1 << t)).otherwise(big(0)) for t in range(w)), big(0)))
-    right = lambda x: F.call_function("shiftright", x, F.lit(1))
+    right = lambda x, by: F.call_function("shiftright", x, by)
 
-    def step(s: Column, x: Column) -> Column:
-        vp, vn, j = s["vp"], s["vn"], s["j"]
-        d0 = (((x.bitwiseAND(vp)) + vp).bitwiseXOR(vp)).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(big(mask))
+    def compare(pair: Column) -> Column:
+        """``pair`` is a lambda variable, so the two letter arrays are made once."""
+        chars, m = pair["a"], pair["m"]
 
-        def rest(d: Column) -> Column:
-            hp = vn.bitwiseOR(F.bitwise_not(d.bitwiseOR(vp))).bitwiseAND(big(mask))
-            hn = d.bitwiseAND(vp)
-            down = right(d)
-            row = (m - j + k).cast("int")  # bit of a's last row in this column
-            bit = lambda v: F.call_function("shiftright", v, row).bitwiseAND(big(1))
-            edge = F.when(d.bitwiseAND(big(1 << (w - 1))) == 0, 1).otherwise(0)
-            dist = s["dist"] + F.when(row >= w - 1, edge).otherwise((bit(hp) - bit(hn)).cast("int"))
-            return F.struct(hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp))).bitwiseAND(big(mask)).alias("vp"), down.bitwiseAND(hp).alias("vn"), (j + 1).alias("j"), dist.alias("dist"))
+        def equal(c: Column, j: Column) -> Column:
+            return sum((F.when(F.get(chars, j + (t - k)) == c, big(1 << t)).otherwise(big(0)) for t in range(w)), big(0))
 
-        return F.element_at(F.transform(F.array(d0), rest), 1)
+        def step(s: Column, x: Column) -> Column:
+            vp, vn, j = s["vp"], s["vn"], s["j"]
+            d0 = (((x.bitwiseAND(vp)) + vp).bitwiseXOR(vp)).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(big(mask))
 
-    first = F.struct(big(((1 << (k + 1)) - 1) << k).alias("vp"), big(0).alias("vn"), F.lit(1).alias("j"), F.lit(k).alias("dist"))
-    return (F.abs(m - n) <= k) & (F.aggregate(equal, first, step)["dist"] <= k)
+            def rest(d: Column) -> Column:
+                hp = vn.bitwiseOR(F.bitwise_not(d.bitwiseOR(vp))).bitwiseAND(big(mask))
+                hn = d.bitwiseAND(vp)
+                down = right(d, F.lit(1))
+                row = m - j + k  # bit of a's last row in this column
+                bit = lambda v: right(v, row).bitwiseAND(big(1))
+                edge = F.when(d.bitwiseAND(big(1 << (w - 1))) == 0, 1).otherwise(0)
+                dist = s["dist"] + F.when(row >= w - 1, edge).otherwise((bit(hp) - bit(hn)).cast("int"))
+                return F.struct(hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp))).bitwiseAND(big(mask)).alias("vp"), down.bitwiseAND(hp).alias("vn"), (j + 1).alias("j"), dist.alias("dist"))
+
+            return F.get(F.transform(F.array(d0), rest), F.lit(0))
+
+        first = F.struct(big(((1 << (k + 1)) - 1) << k).alias("vp"), big(0).alias("vn"), F.lit(1).alias("j"), F.lit(k).alias("dist"))
+        return F.aggregate(F.transform(pair["b"], equal), first, step)["dist"] <= k
+
+    pair = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"), F.char_length(a).alias("m"))
+    return (F.abs(F.char_length(a) - F.char_length(b)) <= k) & F.get(F.transform(F.array(pair), compare), F.lit(0))
 
 
 def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
-    """Pairs ``a, b`` (h1 of each) of different lines within ``edits`` edits; ``lines`` as from `lines_of`, long enough."""
-    keyed = lines.select("h1", F.inline(segment_keys(F.col("line"), F.col("length"), edits))).where(F.col("key").isNotNull())
-    shared = materialize(
-        keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("own").alias("own"))
-        .where((F.col("lo") != F.col("hi")) & F.col("own")).select("key"))
-    members = materialize(_few(keyed, shared, "key").distinct())
+    """Pairs ``a, b`` (h1 of each) of different lines within ``edits`` edits; ``lines`` as from `lines_of`, long enough.
+
+    Line hashes lose their last bit here: two lines that differ in it alone count as one (one chance in 2**63 a pair).
+    """
+    # each key row is two numbers; the last bit of the second tells own segments from probes
+    tag = F.when(F.col("own"), F.col("h1").bitwiseOR(F.lit(1))).otherwise(F.col("h1").bitwiseAND(F.lit(-2)))
+    rows = lines.select("h1", F.inline(segment_keys(F.col("line"), F.col("length"), edits))).where(F.col("key").isNotNull())
+    # dealt once by key, for the count and for the look-up
+    keyed = rows.select("key", tag.alias("tag")).repartition(partitions(lines.sparkSession), "key")
+    line = F.col("tag").bitwiseAND(F.lit(-2))
+    shared = (
+        keyed.groupBy("key").agg(F.min(line).alias("lo"), F.max(line).alias("hi"), F.max(F.col("tag").bitwiseAND(F.lit(1))).alias("own"))
+        .where((F.col("lo") != F.col("hi")) & (F.col("own") == 1)).select("key"))
+    members = keyed.join(shared.hint("shuffle_hash"), "key", "left_semi").distinct()
+    members = materialize(members.select("key", line.alias("h1"), (F.col("tag").bitwiseAND(F.lit(1)) == 1).alias("own")))
     met = materialize(members.select("h1").distinct())
     texts = materialize(_few(lines.select("h1", "line", "length"), met, "h1").groupBy("h1", "line", "length").agg(F.lit(1).alias("_")).drop("_"))
     sketched = materialize(texts.select("h1", "length", sketches(F.col("line")).alias("s")).select("h1", "length", "s.one", "s.two"))
@@ -121,6 +137,16 @@ def _few(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(keys) if small else keys, on, "left_semi")
 
 
+def _each_once(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``lines`` with the most frequent ones reduced to one row each: at most 20,000 lines hold a 20,000th of all rows."""
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    hot = materialize(firsts.where(F.col("n") >= max(50, total / 20_000)).select("h1", "h2"))
+    few = F.broadcast(hot)
+    once = lines.join(few, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "line", "length").agg(F.count(F.lit(1)).alias("n"))
+    names = ["h1", "line", "length"]
+    return lines.join(few, ["h1", "h2"], "left_anti").select(*names).unionByName(once.select(*names))
+
+
 def find_repeats(docs: DataFrame, edits: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines to remove: ``_doc, _hash, at, near`` (false: an exact repeat, true: only near an earlier line).
 
@@ -133,7 +159,7 @@ def find_repeats(docs: DataFrame, edits: int = 2, min_chars: int = 20, id_col: s
     lines = lines_of(docs, id_col, text_col).where(F.col("length") >= min_chars)
     place = F.struct(*DOC, "at")
     firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")))
-    pairs = near_pairs(lines, edits)
+    pairs = near_pairs(_each_once(lines, firsts), edits)
     a = firsts.select(F.col("h1").alias("a"), F.col("place").alias("place_a"))
     b = firsts.select(F.col("h1").alias("b"), F.col("place").alias("place_b"))
     near = materialize(
