@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,32 +19,43 @@ SESSION_NAME = r"^[A-Za-z]+-(\d{1,2})-(\d{1,2})-(\d{2})-\((\d+)\)\.csv$"
 LABEL_NAMES = ("label", "labels", "class", "target")
 
 
-def _placed(raw: DataFrame, session: Column | None, columns: Sequence[str | Column]) -> DataFrame:
+def _relative(path: str) -> Column:
+    """A file's path below the folder that ``path`` names, so that equal names in two folders stay apart."""
+    root = re.split(r"[*?\[{]", path.split("://")[-1])[0]
+    root = root.rstrip("/") if root == path.split("://")[-1] else root.rpartition("/")[0]
+    file, below = F.col("_metadata.file_path"), rf"^.*?{re.escape(quote(root, safe='/()'))}/"
+    return F.when(file.rlike(below), F.regexp_replace(file, below, "")).otherwise(F.col("_metadata.file_name"))
+
+
+def _placed(raw: DataFrame, path: str, session: Column | None, columns: Sequence[str | Column]) -> DataFrame:
     """Rows with their session and an order that survives splitting large files: file, block, line."""
-    name = session if session is not None else F.col("_metadata.file_name")
+    name = session if session is not None else _relative(path)
     block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     return raw.select(*columns, name.alias("session_id"), block.alias("_block")).withColumn("_line", F.monotonically_increasing_id())
 
 
 def read_recordings(spark: SparkSession, path: str, session: Column | None = None) -> DataFrame:
-    """Headerless tab-separated recordings as samples; columns are named by how many a row has.
+    """Headerless tab-separated recordings as samples; columns are named by how many the file has.
 
-    The last column is the marker, the one before it (from 11 columns on) the timestamp, then up to three
-    accelerometer columns, the rest auxiliary. Cells that are not numbers become NULL; fewer than ten
-    columns is an error. A session is one file unless ``session`` derives it from ``_metadata``; several
-    files of a session follow each other by name.
+    The layout of a file is that of its longest line: the last column is the marker, the one before it (from 11
+    columns on) the timestamp, then up to three accelerometer columns, the rest auxiliary. A shorter line is flagged
+    ``short`` and lacks its last columns (NULL), it is never read by another layout. Cells that are not numbers become
+    NULL; a file of fewer than ten columns is an error. A session is one file, named by its path below ``path``,
+    unless ``session`` derives it from ``_metadata``; several files of a session follow each other by name.
     """
     cells = F.split("value", "\t")
-    rows = _placed(spark.read.text(path), session, ["value"]).withColumn("_c", cells).withColumn("_n", F.size("_c"))
-    n = F.col("_n")
-    rows = rows.withColumn("_c", F.when(n >= 10, F.col("_c")).otherwise(F.raise_error(F.lit("a recording needs at least 10 columns"))))
+    raw = spark.read.text(path)
+    widths = raw.select(F.col("_metadata.file_path").alias("_file"), F.size(cells).alias("_n")).groupBy("_file").agg(F.max("_n").alias("_width"))
+    rows = _placed(raw, path, session, ["value"]).withColumns({"_c": cells, "_file": F.col("_block.file")}).join(widths, "_file")
+    n = F.col("_width")
+    rows = rows.withColumn("_width", F.when(n >= 10, n).otherwise(F.raise_error(F.lit("a recording needs at least 10 columns"))))
     num = lambda i: F.get("_c", i if isinstance(i, Column) else F.lit(i)).try_cast("double")
     accel = F.least(F.lit(3), F.greatest(F.lit(0), n - 11))
     columns = {"sample_index_raw": num(0), **{c: num(i + 1) for i, c in enumerate(CHANNELS)}}
     columns |= {c: F.when(F.lit(i) < accel, num(9 + i)) for i, c in enumerate(ACCEL)}
     columns |= {c: F.when(F.lit(i) < n - 11 - accel, num(9 + accel + i)) for i, c in enumerate(AUX)}
     columns |= {"ts_raw": F.when(n >= 11, num(n - 2)), "Marker": num(n - 1)}
-    named = rows.select("session_id", "_block", "_line", n.alias("columns"), *[e.alias(c) for c, e in columns.items()])
+    named = rows.select("session_id", "_block", "_line", n.alias("columns"), (F.size("_c") < n).alias("short"), *[e.alias(c) for c, e in columns.items()])
     return number_rows(named, ["session_id"], ["_line"], F.col("_block")).drop("_block", "_line")
 
 
@@ -63,15 +76,18 @@ def feature_columns(columns: Sequence[str], label: str, metadata: Sequence[str]
 
 
 def read_labelled(spark: SparkSession, path: str, required: Sequence[str] = (), fs: float = 250.0, session: Column | None = None) -> DataFrame:
-    """CSV with a header and text labels as samples with time; missing required columns are an error."""
-    raw = spark.read.option("header", True).csv(path)
+    """CSV with a header and text labels as samples with time; missing required columns are an error.
+
+    So is a file whose header names other columns, or the same in another order, than the first file's.
+    """
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     # every column is read as text and coerced, so one bad cell cannot change a column's type
     absent = sorted(set(required) - set(raw.columns))
     if absent:
         raise ValueError(f"missing columns: {absent}")
     label = label_column(raw.columns)
     feats = feature_columns(raw.columns, label)
-    rows = _placed(raw, session, [F.col(label).alias("label"), *[F.col(c).try_cast("double").alias(c) for c in feats]])
+    rows = _placed(raw, path, session, [F.col(label).alias("label"), *[F.col(c).try_cast("double").alias(c) for c in feats]])
     return number_rows(rows, ["session_id"], ["_line"], F.col("_block")).drop("_block", "_line").withColumn("time_sec", F.col("sample_idx") / fs)
 
 

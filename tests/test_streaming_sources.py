@@ -109,6 +109,29 @@ def test_recording_layouts(spark, tmp_path, n, has):
         assert (out[0][c] is not None) == (c in has)
 
 
+def test_short_lines_keep_the_layout_of_their_file(spark, tmp_path):
+    """A line cut off at 13 of 24 columns has no marker and no timestamp, whatever its last cell says."""
+    (tmp_path / "x.csv").write_text("\n".join([line(24, 0, "7"), line(13, 1, "9"), "2\t5", line(24, 3, "8")]))
+    out = rec.read_recordings(spark, str(tmp_path)).orderBy("sample_idx").collect()
+    assert [(r.columns, r.short, r.Marker, r.ts_raw) for r in out] == [(24, False, 7.0, 0.5), (24, True, None, None), (24, True, None, None), (24, False, 8.0, 3.5)]
+    assert [r.Channel_8 for r in out] == [0.5, 1.5, None, 3.5] and out[1].Accel_0 == 1.5
+
+
+def test_equal_names_in_two_folders_are_two_sessions(spark, tmp_path):
+    for d in ("a", "b c"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "x.csv").write_text(line(10, 0))
+    got = {r.session_id: r.sample_idx for r in rec.read_recordings(spark, str(tmp_path / "*")).collect()}
+    assert len(got) == 2 and set(got.values()) == {0} and "a/x.csv" in got
+
+
+def test_other_header_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ch1,ch2,label\n1,2,x\n")
+    (tmp_path / "b.csv").write_text("ch2,ch1,label\n20,10,x\n")
+    with pytest.raises(Exception, match="header"):
+        rec.read_labelled(spark, str(tmp_path)).collect()
+
+
 def test_narrow_file_is_an_error(spark, tmp_path):
     (tmp_path / "x.csv").write_text(line(9, 0))
     with pytest.raises(Exception, match="at least 10 columns"):
@@ -120,7 +143,7 @@ def test_large_file_keeps_its_order(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
         out = rec.read_recordings(spark, str(tmp_path))
-        assert out.rdd.getNumPartitions() >= 1 and out.filter("sample_idx = sample_index_raw").count() == 5000
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 1 and out.filter("sample_idx = sample_index_raw").count() == 5000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 

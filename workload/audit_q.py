@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import audit as au
 from pulsegrid.operators import intervals as iv
 from pulsegrid.runtime import materialize
+from pulsegrid.timeline import exact_quantiles
 from workload import intervals_q as iq
 from workload.base import CHANNELS, EV, EVENTS_TL as TL, ITEMS_TL, LI, event_samples, item_samples, r, rounded, table
 from workload.registry import query
@@ -193,3 +194,15 @@ SELECT label, count(*) AS segments, {r('avg(d)')} AS mean_duration_ms, count(*)
 def segment_window_check(spark, sf):
     segs = iv.rle_segments(event_samples(spark, sf), TL, "label", 1.0)
     return rounded(au.segment_window_check(segs, 2000.0), ["mean_duration_ms"])
+
+
+KEYED = "SELECT CASE WHEN user_id % 10 = 3 THEN NULL WHEN user_id % 2 = 0 THEN 0 ELSE user_id END AS k, CASE WHEN user_id % 10 <> 5 THEN value END AS v FROM events"
+
+
+@query(f"SELECT k, {r('quantile_cont(v, 0.5)')} AS median, {r('quantile_cont(v, 0.98)')} AS q98, {r('quantile_cont(v, 0.0)')} AS least FROM ({KEYED}) GROUP BY 1")
+def quantiles_odd_keys(spark, sf):
+    """Quantiles with a key that holds half of all rows, a NULL key, and keys without values."""
+    u = F.col("user_id")
+    key = F.when(u % 10 == 3, None).when(u % 2 == 0, 0).otherwise(u)
+    rows = table(spark, sf, "events").select(key.alias("k"), F.when(u % 10 != 5, F.col("value")).alias("v"))
+    return rounded(exact_quantiles(rows, ["k"], {"median": (F.col("v"), 0.5), "q98": (F.col("v"), 0.98), "least": (F.col("v"), 0.0)}), ["median", "q98", "least"])
