@@ -10,10 +10,9 @@ A document is known by its id and a hash of its text: rows equal in both are one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.tables import partitions
 from pulsegrid.runtime import materialize
 
 DOC = ["_doc", "_hash"]
@@ -26,25 +25,24 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return split.select(*DOC, "at", "line", F.char_length("line").alias("length"), F.xxhash64("line").bitwiseAND(F.lit(-2)).alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (1-based) and size of segment ``i`` of 1..parts: sizes differ by one at most, longer ones last."""
-    base, extra = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    longer = F.greatest(F.lit(i - 1 - parts) + extra, F.lit(0))  # longer segments before this one
-    return base * (i - 1) + longer + 1, base + F.when(F.lit(i) > F.lit(parts) - extra, 1).otherwise(0)
+def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """``h1, key, own`` per line: its own segments, and the substrings where a shorter or equal line's may sit.
 
-
-def segment_keys(line: Column, length: Column, edits: int) -> Column:
-    """Array of (key, own): the line's own segments, and the substrings where a shorter or equal line's may sit."""
-    parts, out = edits + 1, []
-    for gap in range(edits + 1):
-        other = length - gap
-        for i in range(1, parts + 1):
-            start, size = segment(other, i, parts)
-            for shift in range(max(1 - i, gap - (parts - i)), min(i - 1, gap + parts - i) + 1):
-                key = F.xxhash64(F.lit(i), other, F.substring(line, start + shift, size))
-                inside = (start + shift >= 1) & (start + shift + size - 1 <= length)
-                out.append(F.struct(F.when(inside, key).alias("key"), F.lit(gap == 0 and shift == 0).alias("own")))
-    return F.array(*out)
+    A line of length l is cut into ``edits + 1`` segments whose sizes differ by one at most, longer ones last. One row
+    per (length gap, segment, shift) keeps the generated code small.
+    """
+    parts = edits + 1
+    places = [(gap, i, shift) for gap in range(parts) for i in range(1, parts + 1)
+              for shift in range(max(1 - i, gap - (parts - i)), min(i - 1, gap + parts - i) + 1)]
+    table = F.array(*[F.struct(F.lit(g).alias("gap"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for g, i, s in places])
+    rows = lines.select("h1", "line", "length", F.inline(table)).withColumn("other", F.col("length") - F.col("gap"))
+    rows = rows.withColumn("base", F.expr(f"int(other div {parts})")).withColumn("extra", F.col("other") % parts)
+    longer = F.greatest(F.col("i") - 1 - parts + F.col("extra"), F.lit(0))  # longer segments before this one
+    size = F.col("base") + F.when(F.col("i") > parts - F.col("extra"), 1).otherwise(0)
+    rows = rows.select("h1", "line", "length", "other", "i", (F.col("base") * (F.col("i") - 1) + longer + 1 + F.col("shift")).alias("start"), size.alias("size"),
+                       ((F.col("gap") == 0) & (F.col("shift") == 0)).alias("own"))
+    inside = rows.where((F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("length")))
+    return inside.select("h1", F.xxhash64("i", "other", F.substring("line", F.col("start"), F.col("size"))).alias("key"), "own")
 
 
 def sketches(line: Column) -> Column:
@@ -103,15 +101,15 @@ def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
     """
     # each key row is two numbers; the last bit of the second tells own segments from probes
     tag = F.when(F.col("own"), F.col("h1").bitwiseOR(F.lit(1))).otherwise(F.col("h1").bitwiseAND(F.lit(-2)))
-    rows = lines.select("h1", F.inline(segment_keys(F.col("line"), F.col("length"), edits))).where(F.col("key").isNotNull())
-    # dealt once by key, for the count and for the look-up
-    keyed = rows.select("key", tag.alias("tag")).repartition(partitions(lines.sparkSession), "key")
-    line = F.col("tag").bitwiseAND(F.lit(-2))
-    shared = (
-        keyed.groupBy("key").agg(F.min(line).alias("lo"), F.max(line).alias("hi"), F.max(F.col("tag").bitwiseAND(F.lit(1))).alias("own"))
-        .where((F.col("lo") != F.col("hi")) & (F.col("own") == 1)).select("key"))
-    members = keyed.join(shared.hint("shuffle_hash"), "key", "left_semi").distinct()
-    members = materialize(members.select("key", line.alias("h1"), (F.col("tag").bitwiseAND(F.lit(1)) == 1).alias("own")))
+    rows = segment_keys(lines, edits)
+    keyed = rows.select("key", tag.alias("tag"))
+    # one shuffle: a key matters if two lines meet at it and it is a segment of one of them
+    line, own, here = F.col("tag").bitwiseAND(F.lit(-2)), F.col("tag").bitwiseAND(F.lit(1)), Window.partitionBy("key")
+    members = (
+        keyed.select("key", line.alias("h1"), own.alias("own"), F.min(line).over(here).alias("lo"), F.max(line).over(here).alias("hi"), F.max(own).over(here).alias("any"))
+        .where((F.col("lo") != F.col("hi")) & (F.col("any") == 1)).select("key", "h1", (F.col("own") == 1).alias("own")).distinct()
+    )
+    members = materialize(members)
     met = materialize(members.select("h1").distinct())
     texts = materialize(_few(lines.select("h1", "line", "length"), met, "h1").groupBy("h1", "line", "length").agg(F.lit(1).alias("_")).drop("_"))
     sketched = materialize(texts.select("h1", "length", sketches(F.col("line")).alias("s")).select("h1", "length", "s.one", "s.two"))
