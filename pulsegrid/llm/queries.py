@@ -80,7 +80,7 @@ def op6_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from labelled rows outside fold 2 of 4."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & (fold_of("doc_id", 4) != 2)).select("doc_id", F.col("toxic").alias("label"))
-    lexicon = toxicity.fit(materialize(docs.join(labels, "doc_id")))
+    lexicon = toxicity.fit(docs, labels)
     scored = toxicity.score(docs, lexicon, threshold=0.3)
     return scored.select("doc_id", (F.coalesce(fold_of("doc_id", 4), F.lit(-1)) == 2).alias("held_out"), "score", "predicted", "n_hits")
 

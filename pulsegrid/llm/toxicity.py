@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.runtime import materialize
+
 # fixed values: letters of other scripts that look like Latin ones, and signs that stand for letters
 LOOKALIKE = str.maketrans("аеорсухіјѕԁӏνοαρτικβ", "aeopcyxijsdlvoaptikb")
 STAND_IN = str.maketrans("0134578@$!|+", "oieastbasiit")
@@ -141,22 +143,20 @@ def choose_weights(counts: dict[str, tuple[int, int]], clean: int, toxic: int, l
     return {k: w for k, w in out.items() if not any(out.get(k[:n], 0) >= w for n in range(4, len(k)))}
 
 
-def fit(rows: DataFrame, label: str = "label", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 8000, max_terms: int = 20_000) -> Lexicon:
-    """Learn lexicon, exceptions and logistic from at most ``max_rows`` rows of each label (lowest hashes of the id).
+def fit(docs: DataFrame, labels: DataFrame, label: str = "label", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 8000, max_terms: int = 20_000) -> Lexicon:
+    """Learn lexicon, exceptions and logistic from at most ``max_rows`` labelled ids of each label (lowest hashes).
 
-    ``max_terms`` bounds the lexicon (strongest weights first). Rows without a label are left out; without rows of
-    both labels the lexicon is empty and the score constant.
+    ``max_terms`` bounds the lexicon (strongest weights first). Ids without a label, or without a document, are left
+    out; without rows of both labels the lexicon is empty and the score constant.
     """
-    used = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(label).cast("int").alias("label"), F.col(text_col).alias("text")).where(F.col("label").isin(0, 1))
-    n = {r["label"]: r["n"] for r in used.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if set(n) != {0, 1}:
-        return Lexicon({}, coef=(5.0 if 1 in n else -5.0, 0.0, 0.0))
-    limit = {k: used.where(F.col("label") == k).select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0] for k in n if n[k] > max_rows}
-    keep = F.lit(True)
-    for k, h in limit.items():
-        keep = keep & ((F.col("label") != k) | (F.col("h") <= h))
-    sample = used.where(keep).select("label", "text")
-    size = {k: min(n[k], max_rows) for k in n}
+    known = labels.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1)).distinct()
+    lowest = known.where(F.col("label") == 0).orderBy("h").limit(max_rows).union(known.where(F.col("label") == 1).orderBy("h").limit(max_rows))
+    # at most 2 * max_rows ids are sent to every task, and only their texts are written
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sample = materialize(texts.join(F.broadcast(materialize(lowest)), "id").select("label", "text"))
+    size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if set(size) != {0, 1}:
+        return Lexicon({}, coef=(5.0 if 1 in size else -5.0, 0.0, 0.0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: tuple[Counter, Counter] = (Counter(), Counter())
@@ -196,7 +196,11 @@ def fit(rows: DataFrame, label: str = "label", id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["label", "a", "b"])
 
     got = sample.mapInArrow(measure, "label int, a double, b double").toPandas()  # two numbers for each of 2 * max_rows rows at most
-    return Lexicon(lexicon.weights, lexicon.exceptions, _logistic(got[["a", "b"]].to_numpy(), got["label"].to_numpy(dtype=float)))
+    coef = _logistic(got[["a", "b"]].to_numpy(), got["label"].to_numpy(dtype=float))
+    # the sample may hold another share of label 1 than all labelled ids: shift the intercept to theirs
+    n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    coef[0] += float(np.log(n[1] / n[0]) - np.log(size[1] / size[0]))
+    return Lexicon(lexicon.weights, lexicon.exceptions, coef)
 
 
 def score(df: DataFrame, lexicon: Lexicon, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
