@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.labels import argmax_label
 from pulsegrid.operators.metrics import classification_metrics
+from pulsegrid.runtime import materialize
 from pulsegrid.timeline import Running, Timeline, carry
 
 MODELS = ("lda", "logistic", "forest", "tree", "svm")
@@ -67,6 +68,11 @@ class SparkModel:
         out = out.withColumns({**probs, "predicted": F.when(whole, F.get(names, F.col("prediction").cast("int")))})
         return out.select(*rows.columns, *probs, "predicted")
 
+    def score_shuffled(self, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+        """``predicted`` of every row of `permuted` with one of ``features``, numbered ``_at``, taken from ``_other``."""
+        each = rows.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
+        return self.score(each.withColumns({f: F.when(F.col("_at") == i, F.col("_other")[i]).otherwise(F.col(f)) for i, f in enumerate(features)}))
+
     def importances(self) -> dict[str, float]:
         return dict(zip(self.features, self.pipeline.stages[-1].featureImportances.toArray().tolist()))
 
@@ -91,6 +97,22 @@ class Discriminant:
         out = out.withColumn("predicted", F.when(whole, argmax_label({l: f"_g{i}" for i, l in enumerate(self.labels)})))
         return out.drop(*[f"_{k}{i}" for i in range(len(raw)) for k in "ge"])
 
+    def score_shuffled(self, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+        """As `SparkModel.score_shuffled`; the scores are linear, so only the term of the changed feature is made anew."""
+        lacks = lambda x: x.isNull() | F.isnan(x)
+        known = lambda x: F.when(lacks(x), 0.0).otherwise(x)
+        values = {f: F.col(f).cast("double") for f in self.features}
+        sums = {f"_s{k}": sum((known(values[f]) * float(w) for f, w in zip(self.features, ws)), F.lit(float(o))) for k, (ws, o) in enumerate(zip(self.weights, self.offsets))}
+        change = F.zip_with(F.array(*[values[f] for f in features]), "_other", lambda x, y: F.struct(
+            (known(y) - known(x)).alias("by"), (lacks(y).cast("int") - lacks(x).cast("int")).alias("lacking")))
+        gone = sum((lacks(x).cast("int") for x in values.values()), F.lit(0))
+        others = [c for c in rows.columns if c not in self.features and c != "_other"]
+        each = rows.select(*others, *[e.alias(c) for c, e in sums.items()], gone.alias("_gone"), F.posexplode(change).alias("_at", "_change"))
+        place = [self.features.index(f) for f in features]
+        each = each.withColumns({f"_s{k}": F.col(f"_s{k}") + F.get(F.array(*[F.lit(float(ws[i])) for i in place]), F.col("_at")) * F.col("_change.by") for k, ws in enumerate(self.weights)})
+        best = argmax_label({l: f"_s{k}" for k, l in enumerate(self.labels)})
+        return each.select(*others, "_at", F.when(F.col("_gone") + F.col("_change.lacking") == 0, best).alias("predicted"))
+
 
 def fit_discriminant(train: DataFrame, features: Sequence[str], label: str, labels: Sequence[str]) -> Discriminant:
     """Class means and pooled covariance from per-partition sums; only a d-by-d system is solved on the driver."""
@@ -175,24 +197,40 @@ def out_of_fold(rows: DataFrame, features: Sequence[str], label: str, labels: Se
     return out
 
 
+def permuted(rows: DataFrame, columns: Sequence[str], repeats: int, seed: int = 42) -> DataFrame:
+    """Every row once per ``_repeat`` (1 to ``repeats``), with ``_other``: the ``columns`` of a row dealt to it at random.
+
+    Each repeat deals every row out once. The rows are numbered by random orders without a global sort in one task, and
+    only their numbers are copied per repeat; equal rows may stand for each other.
+    """
+    rows = materialize(rows.withColumn("_row", F.md5(F.to_json(F.struct(*rows.columns)))))
+
+    def numbered(df: DataFrame, out: str) -> DataFrame:
+        place = F.conv(F.substring(F.md5(F.concat_ws("|", "_row", F.lit(seed), "_repeat")), 1, 8), 16, 10).cast("bigint")
+        placed = df.withColumn("_place", place)
+        return carry(placed, Timeline(("_repeat",), "_place", 1 << 22), order=("_row",), **{out: Running("sum", F.lit(1))}).drop("_place")
+
+    left = materialize(numbered(rows.withColumn("_repeat", F.lit(0)), "_n").drop("_repeat"))
+    dealt = numbered(left.select("_row", "_n", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("_repeat")), "_to").drop("_row")
+    values = left.select("_n", F.array(*[F.col(c).cast("double") for c in columns]).alias("_other"))
+    right = dealt.join(values, "_n").select(F.col("_to").alias("_n"), "_repeat", "_other")
+    return left.join(right, "_n").drop("_n", "_row")
+
+
 def permute_column(rows: DataFrame, column: str, seed: int = 42) -> DataFrame:
-    """Shuffle one column among the rows by two random orders, numbered without a global sort in one task."""
-    def numbered(df: DataFrame, salt: int, keep: list[str]) -> DataFrame:
-        place = F.conv(F.substring(F.md5(F.concat_ws("|", F.to_json(F.struct(*rows.columns)), F.lit(f"{seed}-{salt}"))), 1, 8), 16, 10).cast("bigint")
-        r = df.withColumns({"_one": F.lit(1), "_place": place, "_row": F.to_json(F.struct(*rows.columns))})
-        return carry(r, Timeline(("_one",), "_place", 1 << 22), order=("_row",), _n=Running("sum", F.lit(1))).select(*keep, "_n")
-    left = numbered(rows, 0, [c for c in rows.columns if c != column])
-    right = numbered(rows, 1, [column])
-    return left.join(right, "_n").drop("_n").select(*rows.columns)
-
-
-def permutation_importance(model, test: DataFrame, features: Sequence[str], label: str, labels: Sequence[str], seed: int = 42) -> DataFrame:
-    """Loss of macro F1 when one feature is shuffled. Rows need a unique combination of columns."""
-    base = evaluate(model.score(test), label, labels, feature="")
-    out = None
-    for f in features:
-        row = evaluate(model.score(permute_column(test, f, seed)), label, labels, feature=f)
-        out = row if out is None else out.unionByName(row)
-    base = base.select(F.col("macro_f1").alias("_base"), F.lit(1).alias("_one"))
+    """Shuffle one numeric column among the rows."""
+    return permuted(rows, [column], 1, seed).withColumn(column, F.col("_other")[0]).select(*rows.columns)
+
+
+def permutation_importance(model, test: DataFrame, features: Sequence[str], label: str, labels: Sequence[str], repeats: int = 10, seed: int = 42) -> DataFrame:
+    """Loss of macro F1 when one feature is shuffled: mean and spread over ``repeats`` shuffles, one row per feature.
+
+    All features and repeats are scored and counted in one job. The features of one repeat share its order of rows.
+    """
+    base = evaluate(model.score(test), label, labels).select(F.col("macro_f1").alias("_base"), F.lit(1).alias("_one"))
+    scored = model.score_shuffled(permuted(test, features, repeats, seed), features)
+    m = classification_metrics(scored.where("predicted IS NOT NULL"), ["_at", "_repeat"], label, "predicted", labels)
+    names = F.array(*[F.lit(f) for f in features])
     # one row of base metrics, so broadcasting it is bounded
-    return out.withColumn("_one", F.lit(1)).join(F.broadcast(base), "_one").select("feature", (F.col("_base") - F.col("macro_f1")).alias("importance"))
+    loss = m.withColumn("_one", F.lit(1)).join(F.broadcast(base), "_one").select(F.get(names, F.col("_at")).alias("feature"), (F.col("_base") - F.col("macro_f1")).alias("_loss"))
+    return loss.groupBy("feature").agg(F.avg("_loss").alias("importance"), F.stddev_pop("_loss").alias("importance_std"), F.count("_loss").alias("repeats"))

@@ -95,3 +95,40 @@ def test_permuting_a_column_keeps_its_values(cloud):
     pdf, df = cloud
     out = ln.permute_column(df, "a").toPandas()
     assert sorted(out.a) == pytest.approx(sorted(pdf.a)) and not np.allclose(out.sort_values("b").a, pdf.sort_values("b").a)
+
+
+def macro_f1(truth, found, labels):
+    f1 = [2 * sum((truth == k) & (found == k)) / max(1, sum(truth == k) + sum(found == k)) for k in labels]
+    return sum(f1) / len(f1)
+
+
+@pytest.mark.parametrize("kind", ["lda", "tree"])
+def test_importance_equals_shuffling_one_feature_after_another(spark, cloud, kind):
+    pdf, df = cloud
+    labels = ["L", "R", "X"]
+    m = ln.fit_model(kind, df, ["a", "b"], "label", labels)
+    # rows that lack a feature score NULL until another row's value takes its place
+    df = df.withColumn("a", F.when(F.col("g") == 7, None).otherwise(F.col("a")))
+    got = {r.feature: r for r in ln.permutation_importance(m, df, ["b", "a"], "label", labels, repeats=3).collect()}
+    dealt = ln.permuted(df, ["b", "a"], 3).toPandas()
+    assert (dealt.groupby("_repeat").size() == len(pdf)).all()
+    orders = [tuple(x[0] for x in part.sort_values(["g", "label", "b"])["_other"]) for _, part in dealt.groupby("_repeat")]
+    assert len(set(orders)) == 3 and len({tuple(sorted(o)) for o in orders}) == 1
+
+    def score(frame):
+        rows = spark.createDataFrame(frame, "label string, a double, b double")
+        out = m.score(rows).where("predicted IS NOT NULL").toPandas()
+        return macro_f1(out.label, out.predicted, labels)
+
+    plain = lambda frame: [(r.label, None if r.a != r.a else r.a, r.b) for r in frame.itertuples()]
+    base = score(plain(df.toPandas()))
+    for at, f in enumerate(["b", "a"]):
+        losses = [base - score(plain(part.assign(**{f: [np.nan if x[at] is None else x[at] for x in part["_other"]]}))) for _, part in dealt.groupby("_repeat")]
+        assert got[f].repeats == 3 and got[f].importance == pytest.approx(np.mean(losses)) and got[f].importance_std == pytest.approx(np.std(losses))
+
+
+def test_importance_query_covers_every_feature(spark):
+    from workload import learn_q
+
+    out = learn_q.permutation_importance(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.feature for r in out) == sorted(learn_q.VF) and {r.repeats for r in out} == {10}

@@ -218,5 +218,4 @@ def feature_importance(spark, sf):
 @query()
 def permutation_importance(spark, sf):
     train, test = split(materialize(vectors(spark, sf)))
-    # shuffling all 64 columns one after another takes many minutes; the model uses all, eight are shuffled
-    return ln.permutation_importance(ln.fit_model("lda", train, VF, "label", L3), test, VF[:8], "label", L3)
+    return ln.permutation_importance(ln.fit_model("lda", train, VF, "label", L3), test, VF, "label", L3, repeats=10)
