@@ -4,12 +4,16 @@ A template of s shingles is sought in windows of 2W shingles, W being the power
 starting every W shingles: an occurrence of up to W shingles lies whole in some window. If it holds the wanted share
 of the template, window and template have at least a known Jaccard similarity, and the number of one-value bands is
 chosen so that they collide with the guaranteed probability. Retrieved windows are then compared shingle by shingle.
+
+Versions of a license that share most shingles are rivals: each would be found wherever the other stands. There the
+shingles that only one of them has decide; versions that a text does not tell apart are all reported.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from math import ceil, log
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,30 @@ NOTICES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
+# further sentences and headers, with the versions of each family
+HEADERS = (
+    *((f"GPL-{v}.0", f"This work is licensed under the GNU General Public License, version {v}.") for v in (1, 2)),
+    *((f"LGPL-{v}", f"This work is licensed under the GNU Lesser General Public License, version {v}.") for v in ("2.1", "3")),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    *((f"GPL-{v}.0-header", f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version.") for v in (2, 3)),
+    *((f"LGPL-{v}-header", f"This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version.") for v in ("2.1", "3")),
+    ("AGPL-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    *((f"CC-{k}-{v}-notice", f"This work is licensed under a Creative Commons {n} {v} {w} License.")
+      for k, n in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+      for v, w in (("3.0", "Unported"), ("4.0", "International")) if (k, v) != ("BY", "4.0")),
+    *((f"CC-{k}-{v}", f"Licensed under CC {k} {v}.") for k in ("BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND", "BY-NC-ND") for v in ("3.0", "4.0") if (k, v) not in (("BY", "4.0"), ("BY-NC", "4.0"))),
+    ("CC0-1.0-notice", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("EPL-2.0-notice", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0"),
+    ("EPL-1.0-notice", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0"),
+    ("Unlicense-notice", "This is free and unencumbered software released into the public domain."),
+)
+
+
+def templates() -> list[tuple[str, str]]:
+    """Notices, headers and whole license texts; the texts are the files of ``license_texts``, without copyright lines."""
+    texts = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    return [*NOTICES, *HEADERS, *((f"{p.stem}-text", p.read_text(encoding="utf-8")) for p in texts)]
+
 
 def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit shingle hashes of all texts and the n+1 places where texts begin; fewer than five words give none."""
@@ -69,6 +97,8 @@ class Templates:
         self.names = [n for n, _ in notices]
         self.sets = [np.unique(grams[a:b]) for a, b in zip(starts, starts[1:])]
         self.need = [ceil(share * len(s) - 1e-9) for s in self.sets]
+        self.share = share
+        self.rivals = self._rivals()
         self.classes: dict[int, tuple[int, np.ndarray]] = {}
         for i, s in enumerate(self.sets):
             if len(s):
@@ -77,13 +107,40 @@ class Templates:
                 most, members = self.classes.get(width, (0, np.zeros(0, dtype=np.int64)))
                 self.classes[width] = (max(most, bands), np.append(members, i))
 
+    def _rivals(self) -> dict[int, list[tuple[int, np.ndarray, np.ndarray]]]:
+        """For each template those that it is found in and that are found in it, with the shingles only one has."""
+        at: dict[int, list[int]] = {}
+        for i, s in enumerate(self.sets):
+            for g in s.tolist():
+                at.setdefault(g, []).append(i)
+        common: dict[tuple[int, int], int] = {}
+        for members in at.values():
+            for i in members:
+                for j in members:
+                    common[i, j] = common.get((i, j), 0) + 1
+        out: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        for (i, j), n in common.items():
+            if i != j and n >= max(self.need[i], self.need[j]):
+                out.setdefault(i, []).append((j, np.setdiff1d(self.sets[i], self.sets[j]), np.setdiff1d(self.sets[j], self.sets[i])))
+        return out
+
+    def _outdone(self, i: int, here: np.ndarray, found: set[int]) -> bool:
+        """Whether a rival found in the same text has more of its own shingles in ``here``, the window of template i."""
+        for j, mine, others in self.rivals.get(i, ()):
+            if j in found:
+                theirs = np.isin(others, here).mean() if len(others) else None
+                own = np.isin(mine, here).mean() if len(mine) else 1 - (theirs or 0)
+                if own < min(self.share, 1 - own if theirs is None else theirs):
+                    return True
+        return False
+
     @staticmethod
     def factors(n: int) -> np.ndarray:
         return np.random.default_rng(11).integers(1, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
     def scan(self, grams: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(text, template, first shingle, containment) of the best window of every text and template found."""
-        best: dict[tuple[int, int], tuple[float, int]] = {}
+        best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
         sizes = np.diff(starts)
         short = (grams >> np.uint64(32)).astype(np.uint32)
         for width, (bands, members) in self.classes.items():
@@ -115,9 +172,12 @@ class Templates:
                 inside = np.isin(grams[lo:hi], self.sets[i])
                 share = len(np.unique(grams[lo:hi][inside])) / len(self.sets[i])
                 if share * len(self.sets[i]) >= self.need[i] - 1e-9:
-                    key, value = (int(text[b]), i), (-share, lo + int(np.argmax(inside)) - int(starts[text[b]]))
+                    key, value = (int(text[b]), i), (-share, lo + int(np.argmax(inside)) - int(starts[text[b]]), lo, hi)
                     best[key] = min(best.get(key, value), value)
-        return [(t, i, place, -share) for (t, i), (share, place) in sorted(best.items())]
+        found_in: dict[int, set[int]] = {}
+        for t, i in best:
+            found_in.setdefault(t, set()).add(i)
+        return [(t, i, place, -share) for (t, i), (share, place, lo, hi) in sorted(best.items()) if not self._outdone(i, grams[lo:hi], found_in[t])]
 
 
 def scan_licenses(df: DataFrame, notices: Sequence[tuple[str, str]] = NOTICES, share: float = 0.8, guarantee: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,20 +185,21 @@ def scan_licenses(df: DataFrame, notices: Sequence[tuple[str, str]] = NOTICES, s
 
     ``containment`` is the share of the template's distinct five-word shingles inside the best window, ``share`` at
     least; ``first_word`` is where its first shingle stands. Templates and texts of fewer than five words hold none;
-    null and empty texts give no rows, repeated rows the same rows again.
+    null and empty texts give no rows, repeated rows the same rows again. Pass more than MAX_TEMPLATES in blocks; versions
+    of one license belong in the same block.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates(notices, share, guarantee)
+        known = Templates(notices, share, guarantee)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 rows = batch.slice(lo, 1000)
                 grams, starts = _shingles(rows.column(1))
-                found = templates.scan(grams, starts) if len(grams) else []
+                found = known.scan(grams, starts) if len(grams) else []
                 if found:
                     yield pa.RecordBatch.from_arrays(
-                        [rows.column(0).take(pa.array([f[0] for f in found])), pa.array([templates.names[f[1]] for f in found]), pa.array([f[3] for f in found]), pa.array([f[2] for f in found], pa.int64())],
+                        [rows.column(0).take(pa.array([f[0] for f in found])), pa.array([known.names[f[1]] for f in found]), pa.array([f[3] for f in found]), pa.array([f[2] for f in found], pa.int64())],
                         names=[id_col, "license", "containment", "first_word"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, license string, containment double, first_word bigint")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm import quality, toxicity
 from pulsegrid.llm.decontaminate import find_contamination
 from pulsegrid.llm.fingerprints import fingerprint_edits
-from pulsegrid.llm.license_scan import scan_licenses
+from pulsegrid.llm.license_scan import scan_licenses, templates
 from pulsegrid.llm.line_dedup import dedup_report, find_repeats
 from pulsegrid.llm.ngram_join import join_ngrams
 from pulsegrid.llm.packing import pack_documents
@@ -101,8 +101,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License notices in all documents, at least 0.8 of a template's five-word shingles."""
-    return scan_licenses(table(spark, sf_dir, "documents"), share=0.8, guarantee=0.999)
+    """License notices, headers and whole texts in all documents, at least 0.8 of a template's five-word shingles."""
+    return scan_licenses(table(spark, sf_dir, "documents"), templates(), share=0.8, guarantee=0.999)
 
 
 @query

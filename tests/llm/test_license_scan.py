@@ -59,3 +59,53 @@ def test_nothing_to_find(spark):
 def test_bands_reach_the_guarantee():
     for j in (0.06, 0.125, 0.3, 0.9):
         assert 1 - (1 - j) ** ls.bands_for(j, 0.999) >= 0.999 > 1 - (1 - j) ** (ls.bands_for(j, 0.999) - 1)
+
+
+# written as projects write them, not taken from the templates: own line breaks, names and punctuation
+ZLIKE = "lorem ipsum dolor sit amet consectetur " * 5
+FOUND = {
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3!",
+    "ISC-text": """Copyright 2020 Some Body. Permission to use, copy, modify, and/or distribute this software for any purpose with or without
+    fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+    PROVIDED 'AS IS' AND SOME BODY DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+    MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL SOME BODY BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR
+    ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS
+    ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "LGPL-2.1-header": """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.""",
+    "GPL-2.0-header": """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version 2 of the License, or
+# (at your option) any later version.""",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License (http://example.org).",
+    "Unlicense-notice": "This is free and unencumbered software released into the public domain. Enjoy.",
+}
+
+
+def test_versions_and_families_beyond_the_sentences(spark):
+    docs = [(name, ZLIKE + text + " " + ZLIKE) for name, text in FOUND.items()]
+    rows = ls.scan_licenses(spark.createDataFrame(docs, "doc_id string, text string"), ls.templates()).collect()
+    got = {d: {r["license"] for r in rows if r["doc_id"] == d} for d in FOUND}
+    assert all(name in found for name, found in got.items()), got
+    versions = {"GPL-2.0": "GPL-3.0", "GPL-3.0": "GPL-2.0", "LGPL-2.1-header": "LGPL-3-header", "GPL-2.0-header": "GPL-3.0-header", "CC-BY-SA-4.0-notice": "CC-BY-SA-3.0-notice"}
+    assert all(other not in got[name] for name, other in versions.items()), got
+
+
+def test_whole_texts_are_found_as_their_version(spark):
+    texts = {n: t for n, t in ls.templates() if n.endswith("-text")}
+    assert {"GPL-2.0-text", "GPL-3.0-text", "LGPL-2.1-text", "MPL-2.0-text", "EPL-2.0-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "CC-BY-SA-4.0-text"} <= set(texts)
+    r = random.Random(3)
+    # a copy that lacks a word here and there
+    docs = [(n, ZLIKE + " ".join(w for w in t.split() if r.random() > 0.004) + " " + ZLIKE) for n, t in texts.items()]
+    rows = ls.scan_licenses(spark.createDataFrame(docs, "doc_id string, text string"), ls.templates()).collect()
+    for n in texts:
+        assert [x["license"] for x in rows if x["doc_id"] == n and x["license"].endswith("-text")] == [n]
+
+
+def test_two_versions_side_by_side_are_both_found(spark):
+    text = "This work is licensed under the GNU General Public License, version 2. This work is licensed under the GNU General Public License, version 3."
+    rows = ls.scan_licenses(spark.createDataFrame([(1, text)], "doc_id int, text string"), ls.templates()).collect()
+    assert {"GPL-2.0", "GPL-3.0"} <= {r["license"] for r in rows}
