@@ -62,7 +62,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     ``n_chars`` follows the new text. Null and empty texts stay.
     """
-    cut = line_dedup.remove_lines(docs, line_dedup.find_repeats(docs, edits=2, min_chars=20))
+    cut = line_dedup.remove_lines(docs, line_dedup.find_repeats(docs, edits=2, min_chars=20, exact_chars=1))
     return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
 
 

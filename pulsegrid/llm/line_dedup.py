@@ -145,19 +145,19 @@ def _each_once(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     return lines.join(few, ["h1", "h2"], "left_anti").select(*names).unionByName(once.select(*names))
 
 
-def find_repeats(docs: DataFrame, edits: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_repeats(docs: DataFrame, edits: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", exact_chars: int | None = None) -> DataFrame:
     """Lines to remove: ``_doc, _hash, at, near`` (false: an exact repeat, true: only near an earlier line).
 
     Among equal lines the first stays, in the order of document id (null first), text hash and line number. A first
     line also goes if a line with an earlier first place is within ``edits`` edits. Lines of fewer than ``min_chars``
-    code points are never compared and always stay; null and empty texts have no such lines.
+    code points have no near lines, those of fewer than ``exact_chars`` (``min_chars`` if not given) always stay.
     """
     if min_chars < 2 * edits + 1:
         raise ValueError("min_chars must be at least 2 * edits + 1")
-    lines = lines_of(docs, id_col, text_col).where(F.col("length") >= min_chars)
+    lines = lines_of(docs, id_col, text_col).where(F.col("length") >= min(min_chars, min_chars if exact_chars is None else exact_chars))
     place = F.struct(*DOC, "at")
     firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")))
-    pairs = near_pairs(_each_once(lines, firsts), edits)
+    pairs = near_pairs(_each_once(lines.where(F.col("length") >= min_chars), firsts), edits)
     a = firsts.select(F.col("h1").alias("a"), F.col("place").alias("place_a"))
     b = firsts.select(F.col("h1").alias("b"), F.col("place").alias("place_b"))
     near = materialize(

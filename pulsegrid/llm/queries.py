@@ -32,9 +32,9 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @query
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of all documents that repeat earlier lines exactly or within two edits, counted per document."""
+    """Lines of all documents that repeat earlier lines exactly, or from 20 characters within two edits, per document."""
     docs = table(spark, sf_dir, "documents")
-    return dedup_report(docs, find_repeats(docs, edits=2, min_chars=20))
+    return dedup_report(docs, find_repeats(docs, edits=2, min_chars=20, exact_chars=1))
 
 
 @query

@@ -107,3 +107,25 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     repeats = ld.find_repeats(df)
     assert repeats.collect() == [] and ld.remove_lines(df, repeats).collect() == [] and ld.dedup_report(df, repeats).collect() == []
+
+
+def test_short_lines_repeat_exactly_and_are_never_near(spark):
+    docs = [(1, "ab\nlonger line one\n\nx"), (2, "ab\nac\nlonger line ome"), (3, "x\nab"), (4, "\n")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    repeats = materialize(ld.find_repeats(df, 2, min_chars=9, exact_chars=1))
+    assert {(r["_doc"], r["at"], r["near"]) for r in repeats.collect()} == {(2, 0, False), (2, 2, True), (3, 0, False), (3, 1, False)}
+    assert {(r["doc_id"], r["text"]) for r in ld.remove_lines(df, repeats).collect()} == {docs[0], (2, "ac"), docs[3]}
+
+
+def test_query_and_stage_count_every_repeat(spark):
+    import corpus_pipeline
+    from pulsegrid.llm.queries import op1_line_dedup
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()}
+    lines = [x for _, t in texts for x in (t or "").split("\n") if x]
+    assert any(len(x) < 20 for x in lines) and len(texts) == docs.count()
+    assert op1_line_dedup(spark, sf).agg(F.sum("n_exact")).first()[0] == len(lines) - len(set(lines))
+    left = [x for r in corpus_pipeline.drop_repeated_lines(spark, docs, sf).collect() for x in (r["text"] or "").split("\n") if x]
+    assert len(left) == len(set(left))
