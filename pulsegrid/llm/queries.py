@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import quality, toxicity
+from pulsegrid.llm import disclosure, periodic_runs, quality, source_divergence, toxicity
 from pulsegrid.llm.decontaminate import find_contamination
 from pulsegrid.llm.fingerprints import fingerprint_edits
 from pulsegrid.llm.license_scan import scan_licenses, templates
@@ -113,3 +114,63 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(rows.join(labels, "doc_id"))
     scored = quality.score_rows(rows, model, threshold=0.5)
     return scored.select("doc_id", (F.coalesce(fold_of("doc_id", 3), F.lit(-1)) == 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op11_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, and the words that give it away by their co-occurrence over the corpus."""
+    found = disclosure.find_spans(table(spark, sf_dir, "documents"), reach=100, generalise_bits=1.0, remove_bits=0.5, min_texts=3, min_information=4.0)
+    number = lambda kind, action: F.size(F.filter("spans", lambda x: (x["kind"] == kind) & (x["action"] == action))).cast("bigint")
+    counts = [number(k, "remove").alias(f"n_{kind}") for k, kind in enumerate(disclosure.KINDS)]
+    terms = [number(len(disclosure.KINDS), action).alias(f"n_terms_{action}d") for action in ("remove", "generalise")]
+    base, every = disclosure.digest(F.col("spans"), base_only=True), disclosure.digest(F.col("spans"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"), *terms)
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: differences between the sources of a language, and each source's 50 terms of largest surplus."""
+    return source_divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+SQL["op12_source_divergence"] = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents),
+  w AS (SELECT lang, source, r, unnest(words) AS term FROM d),
+  kept AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+  v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+  g AS (SELECT DISTINCT lang, source FROM d),
+  c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+  cells AS (SELECT g.lang, g.source, term, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+  p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)::HUGEINT AS p FROM cells JOIN v USING (lang)),
+  l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY 1, 2),
+  q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)::HUGEINT) // (sum(n) OVER (PARTITION BY lang) + 5 * v)::HUGEINT AS q FROM l JOIN v USING (lang)),
+  pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y USING (lang, term) WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+  terms AS (SELECT lang, source, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+  u AS (SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value FROM pairs UNION ALL SELECT lang, source, 'term', item, value::BIGINT FROM terms)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM u) WHERE part = 'pair' OR rank <= 50"""
+
+
+def planted_period(doc_id: object, words: list[bytes]) -> list[bytes]:
+    """Every tenth document, by the checksum of its id, repeats a stretch of its words from some word on; no id, no change."""
+    if doc_id is None or not words:
+        return words
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least 24 words and three periods in all documents, and digests of all runs and of the texts without the repeats."""
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), min_words=24, repeats=3, rewrite=planted_period)
+    best = periodic_runs.strongest(F.col("runs")).alias("best")
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", *[x[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    ).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")

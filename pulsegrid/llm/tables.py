@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,24 @@ def slim(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.select(*columns)
 
 
+# bytes of text a Python worker holds at once (a longer text is a step of its own)
+STEP_BYTES = 1 << 22
+
+
+def byte_steps(batch: pa.RecordBatch, text: int, rows: int = 1 << 14, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold at most ``limit`` bytes of its ``text`` column, or one row, and at most ``rows`` rows."""
+    column = batch.column(text)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    n = len(column)
+    at = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + n + 1] if n else np.zeros(1, dtype=np.int32)
+    first = 0
+    while first < n:
+        last = int(np.searchsorted(at, int(at[first]) + limit, side="right")) - 1
+        last = min(max(first + 1, last), first + rows, n)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def number_rows(df: DataFrame, order: Sequence[str], out: str = "row_number") -> DataFrame:
     """Gapless global row numbers from 0 in ``order``; rows that tie in all of ``order`` get any order among themselves.
 
