@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import labels as lb
@@ -15,6 +15,7 @@ from pulsegrid.operators import machines as mc
 from pulsegrid.operators import metrics as mt
 from pulsegrid.operators import windows as wn
 from pulsegrid.runtime import materialize
+from pulsegrid.streaming import timed
 from pulsegrid.timeline import Timeline
 
 
@@ -73,3 +74,39 @@ def replay_rows(windows: DataFrame, model, segments: DataFrame, tl: Timeline, wi
     scored = model.score(windows)
     out = jn.ground_truth_at(scored, segments, list(tl.keys), "step_id", "at", "g_start", "g_end", "order", "truth", width)
     return out.withColumn("agrees", F.col("predicted") == F.col("truth"))
+
+
+def decoder_ticks(rows: DataFrame, p_left: Column, event: Column, engaged: Column, clicked: Column, confidence: float = 0.6, margin: float = 0.1) -> DataFrame:
+    """Rows of calibrated features (batch or stream) as ticks for the control step: direction, agreement and jaw flags."""
+    best = F.greatest(p_left, 1 - p_left)
+    agreed = (best >= confidence) & (F.abs(2 * p_left - 1) >= margin)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return rows.withColumns({
+        "label": F.when(p_left > 0.5, "LEFT").otherwise("RIGHT"), "confidence": best, "agreed": yes(agreed), "event": yes(event), "engaged": yes(engaged), "clicked": yes(clicked)})
+
+
+def replay_control(ticks: DataFrame, tl: Timeline, machine: timed.Control) -> DataFrame:
+    """The control step over recorded ticks: the rows that the live decoder appends, ends of latches included.
+
+    ``ticks`` carry at (microseconds) and the columns of `timed.Control`; a series ends with its last due latch.
+    """
+    names = ["held", "since", "released", "side", "until", "switched"]
+    columns = [*tl.keys, "at", *[c.split(" ")[0] for c in machine.out.split(", ")]]
+
+    def step(state, pdf):
+        memory, out = tuple(state[n] for n in names) if state else machine.start, []
+        for row in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+            more: list = []
+            memory = machine._rings(memory, row["at"], more)
+            memory, here = machine.row(memory, row)
+            out += [{**r, **{k: row[k] for k in tl.keys}} for r in [*more, *here]]
+        return dict(zip(names, memory)), mc.pd.DataFrame(out, columns=columns)
+
+    series = ", ".join(f"`{k}` {ticks.schema[k].dataType.simpleString()}" for k in tl.keys)
+    done = mc.run_machine(ticks, tl, step, f"{series}, at bigint, {machine.out}")
+    # after the last tick only the latch can still end
+    last = done.groupBy(*tl.keys).agg(F.max_by(F.struct("hand", "decoded"), F.struct("at", "pos")).alias("_end"), F.max(F.when(F.col("accepted"), F.col("at"))).alias("_taken"))
+    ends = last.where("_end.hand <> 'NEUTRAL'").select(
+        *tl.keys, (F.col("_taken") + machine.hand["latch_sec"]).alias("at"), F.lit(None).cast("bigint").alias("pos"), F.lit("EXPIRED").alias("actions"), F.lit(False).alias("accepted"),
+        F.lit("NEUTRAL").alias("hand"), F.when(F.col("_end.decoded").startswith("CLICK_HOLD"), "CLICK_HOLD").otherwise("NEUTRAL").alias("decoded"), F.lit(None).cast("double").alias("confidence"))
+    return done.unionByName(ends)

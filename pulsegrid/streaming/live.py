@@ -85,10 +85,14 @@ def tail_windows(stream: DataFrame, keys: Sequence[str], pos: str, channels: Seq
     return stateful(stream, keys, pos, step, f"{_schema(stream, keys)}, window_start bigint, {feats}, aggregate_rms double", idle_ms=idle_ms)
 
 
-def window_features(stream: DataFrame, keys: Sequence[str], ts: str, value: str, size: str, slide: str, delay: str) -> DataFrame:
-    """Sliding event-time windows without own state code; late rows fall behind the watermark."""
+def window_features(stream: DataFrame, keys: Sequence[str], ts: str, value: str, size: str, slide: str, delay: str | None = None) -> DataFrame:
+    """Sliding event-time windows without own state code; late rows fall behind the watermark.
+
+    Leave ``delay`` out if the stream has a watermark already.
+    """
     x = F.col(value)
-    g = stream.withWatermark(ts, delay).groupBy(F.window(ts, size, slide), *keys).agg(
+    rows = stream.withWatermark(ts, delay) if delay else stream
+    g = rows.groupBy(F.window(ts, size, slide), *keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.sqrt(F.avg(x * x)).alias("rms"), (F.max(x) - F.min(x)).alias("ptp"))
     return g.select(*keys, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n", "mean", "std", "rms", "ptp")
 
