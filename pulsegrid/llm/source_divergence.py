@@ -16,26 +16,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.tables import partitions
+from pulsegrid.llm.tables import in_steps, partitions
 from pulsegrid.runtime import materialize
 
 SCALE = 1_000_000_000
 SMOOTHING = 5
-NOT_A_LETTER = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BYTE = np.arange(256)
+LETTER = ((BYTE | 32) >= 97) & ((BYTE | 32) <= 122) & (BYTE < 128) | (BYTE >= 128)
 BROADCAST_TERMS = 500_000  # kept terms handed to every task at most; beyond it Spark shuffles both sides
 # one block of the source-by-source report: sources a side, and terms
 BLOCK_SOURCES, BLOCK_TERMS = 32, 4096
 KEPT_ROWS = 4096  # rows of a skyband compared with a block of candidates at once
 
 
-def _terms(text: Column) -> Column:
-    plain = F.octet_length(text) == F.char_length(text)
-    lowered = F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.filter(F.split(lowered, NOT_A_LETTER), lambda w: w != "")
+def _coded_terms(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All terms of the texts, A-Z lower-cased and dictionary-coded, and the text that each stands in."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    n = len(texts)
+    at = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[at[0] : at[-1]].copy()
+    at = at - at[0]
+    data[(data >= 65) & (data <= 90)] += 32
+    inside = np.zeros(len(data) + 2, dtype=bool)
+    inside[1:-1] = LETTER[data]
+    step = inside[1:] != inside[:-1]
+    step[at[1:-1]] |= inside[at[1:-1] + 1] & inside[at[1:-1]]  # a term ends with its text
+    begin = np.flatnonzero(step & inside[1:])
+    close = np.append(begin[1:], len(data))
+    ends = np.flatnonzero(step & inside[:-1])
+    close = ends[np.searchsorted(ends, begin, side="right")] if len(begin) else close[:0]
+    cut = np.concatenate([np.column_stack([begin, close]).ravel(), [len(data)]])
+    pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(data)])
+    return pieces.take(pa.array(np.arange(0, len(cut) - 1, 2))).dictionary_encode(), np.searchsorted(at, begin, side="right") - 1
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang, source, term, n, docs`` of a few megabytes of text at a time."""
+    for rows in in_steps(batches, 2):
+        terms, doc = _coded_terms(rows.column(2))
+        if not len(terms):
+            continue
+        size = len(terms.dictionary)
+        pair, times = np.unique(doc * size + terms.indices.to_numpy(), return_counts=True)
+        lang, source = (pc.fill_null(rows.column(i), "").dictionary_encode() for i in (0, 1))
+        group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+        cell, where = np.unique(group[pair // size] * size + pair % size, return_inverse=True)
+        group = cell // size
+        yield pa.RecordBatch.from_arrays(
+            [lang.dictionary.take(pa.array(group // len(source.dictionary))), source.dictionary.take(pa.array(group % len(source.dictionary))),
+             terms.dictionary.take(pa.array(cell % size)).cast(pa.binary()).cast(pa.string()),
+             pa.array(np.bincount(where, times).astype(np.int64)), pa.array(np.bincount(where))], names=["lang", "source", "term", "n", "docs"])
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
@@ -50,15 +85,12 @@ def term_counts(docs: DataFrame, min_docs: int = 30) -> tuple[DataFrame, DataFra
     ``groups`` has every occurring lang and source with ``total`` (kept terms there), ``lang_total`` and ``terms`` (kept
     terms of the language). A null text, lang or source reads as ''. Every row is a document, repeated rows too.
     """
-    rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")], F.coalesce("text", F.lit("")).alias("text"))
-    kept = materialize(
-        rows.select("lang", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-        .groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term"))
+    rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")], "text")
+    each = rows.mapInArrow(_count_terms, "lang string, source string, term string, n bigint, docs bigint")
+    each = materialize(each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    kept = materialize(each.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all")).where(F.col("docs") >= min_docs).select("lang", "term", "all"))
     few = F.broadcast(kept) if kept.count() <= BROADCAST_TERMS else kept
-    words = rows.select("lang", "source", F.explode(_terms(F.col("text"))).alias("term"))
-    counts = materialize(words.join(few, ["lang", "term"]).groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n")))
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("all"))
-    counts = materialize(counts.join(whole, ["lang", "term"]).select("lang", "source", "term", "n", "all"))
+    counts = materialize(each.join(few, ["lang", "term"]).select("lang", "source", "term", "n", "all"))
     own = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
     totals = own.groupBy("lang").agg(F.sum("total").alias("lang_total"))

@@ -43,6 +43,12 @@ def byte_steps(batch: pa.RecordBatch, text: int, rows: int = 1 << 14, limit: int
         first = last
 
 
+def in_steps(batches: Iterator[pa.RecordBatch], text: int, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in slices bounded by `byte_steps`, whatever the session's batch size."""
+    for batch in batches:
+        yield from byte_steps(batch, text, rows)
+
+
 def number_rows(df: DataFrame, order: Sequence[str], out: str = "row_number") -> DataFrame:
     """Gapless global row numbers from 0 in ``order``; rows that tie in all of ``order`` get any order among themselves.
 
