@@ -126,6 +126,59 @@ def decode(p_active: np.ndarray, directions: np.ndarray, cfg: Mapping = DECODER,
     return commands, s | {"votes": [names[v] if v >= 0 else None for v in past]}
 
 
+def decode_many(p_active: np.ndarray, calls: np.ndarray, starts: np.ndarray, configs: Sequence[Mapping], which: Sequence[int], names: int,
+                state: Mapping | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
+    """`decode` for many series and settings in step: window by window, all series that still have one, all settings.
+
+    Series stand one after another, each from ``starts`` on. ``calls`` holds one column of direction codes (-1: none) per
+    pair of confidence settings, ``which`` the column of each setting. Returns row, setting and direction of every command
+    and the state after the last series; ``state`` is the one before the first.
+    """
+    setting = {k: np.array([c[k] for c in configs]) for k in ("enter", "exit", "k", "cooldown", "votes", "streak", "majority")}
+    sizes = np.diff(np.append(starts, len(p_active)))
+    order = np.argsort(-sizes, kind="stable")
+    n, c, depth = len(sizes), len(configs), max(int(setting["majority"].max()), 2)
+    counted = np.arange(depth)[None, :] >= depth - setting["majority"][:, None]  # how far back a setting looks
+    blank = {"rest": 0, "gate": False, "open": 0, "last": -1, "streak": 0}
+    s = {k: np.full((n, c), v, dtype=bool if k == "gate" else np.int32) for k, v in blank.items()}
+    past = np.full((n, c, depth), -1, dtype=np.int8)
+    if state:
+        first = int(np.flatnonzero(order == 0)[0])
+        for k in s:
+            s[k][first] = state[k]
+        past[first] = np.array(state["past"], dtype=np.int8)
+    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    alive = np.searchsorted(-sizes[order], -np.arange(int(sizes.max())), side="left") if n else []
+    for t, m in enumerate(alive):  # the m longest series have a window t
+        row = starts[order[:m]] + t
+        p, call = p_active[row][:, None], calls[row][:, which]
+        resting = s["rest"][:m] > 0
+        gate = np.where(p >= setting["enter"], True, np.where(p < setting["exit"], False, s["gate"][:m])) & ~resting
+        opened = np.where(gate, s["open"][:m] + 1, 0)
+        heard = gate & (call >= 0)
+        streak = np.where(heard, np.where(call == s["last"][:m], s["streak"][:m] + 1, 1), 0)
+        vote = np.where(heard & (streak >= setting["streak"]), call, -1)
+        past[:m, :, :-1] = past[:m, :, 1:]
+        past[:m, :, -1] = vote
+        stands = (past[:m] >= 0) & counted
+        votes = stands.sum(2)
+        fires = (opened >= setting["k"]) & (votes >= setting["votes"]) & (votes > 0)
+        if fires.any():
+            a, b = np.nonzero(fires)
+            held = np.where(stands[a, b], past[a, b], -1)
+            hits.append((row[a], b, np.argmax(np.stack([(held == x).sum(1) for x in range(names)], 1), 1)))
+        s["rest"][:m] = np.where(fires, setting["cooldown"], np.maximum(s["rest"][:m] - 1, 0))
+        s["gate"][:m] = gate & ~fires
+        s["open"][:m] = opened
+        s["last"][:m] = np.where(heard & ~fires, call, -1)
+        s["streak"][:m] = np.where(fires, 0, streak)
+    found = [np.concatenate(x) for x in zip(*hits)] if hits else [np.zeros(0, dtype=np.int64)] * 3
+    end = int(np.flatnonzero(order == n - 1)[0]) if n else 0
+    after = {**{k: v[end].tolist() for k, v in s.items()}, "past": past[end].tolist()} if n else dict(state or {})
+    by = np.lexsort((found[1], found[0]))
+    return found[0][by], found[1][by], found[2][by], after
+
+
 def threshold_step(lower: float, upper: float, average: float, cfg: Mapping = ADAPTIVE) -> tuple[float, float, float]:
     """Creeping lower and upper thresholds around a moving average, and the normalised output."""
     if upper <= average <= cfg["limit"]:

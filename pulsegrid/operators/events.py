@@ -72,7 +72,8 @@ def split_states(intervals: DataFrame, onset: int, offset: int, min_active: int,
     """Split intervals into ONSET, ACTIVE and OFFSET rows.
 
     Edge lengths start at their targets (at most a third of the interval) and shrink alternately, the longer
-    first, until the middle has its minimum; this has a closed form. Without a middle the interval is halved.
+    first, until the middle has its minimum; this has a closed form. Without a middle the interval is halved. An interval
+    of one sample is its own onset and its own offset: there the two rows overlap.
     """
     total = F.col(end) - F.col(start) + 1
     third = F.greatest(F.lit(1), F.floor(total / 3))
