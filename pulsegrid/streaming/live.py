@@ -1,24 +1,15 @@
-"""Streaming forms of the detectors.
+"""Streaming forms that need no state code of their own: replay, windows, repeats, ground truth and branches.
 
-One stateful operator per detector, keyed by session. The state is a small JSON text bounded by the
-lookback; rows of a batch are ordered by position first, and rows at or before the last handled position
-are late and dropped. The step rules are those of the batch machines.
+Stateful detectors are in `timed`.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-from pulsegrid.functions import steps as st
-from pulsegrid.operators.peaks import _lows, _thin
 
 
 def replay_source(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1, glob: str = "*.parquet") -> DataFrame:
@@ -26,65 +17,6 @@ def replay_source(spark: SparkSession, path: str, schema: T.StructType, files_pe
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", glob).parquet(path)
 
 
-def stateful(stream: DataFrame, keys: Sequence[str], pos: str, step: Callable[[dict, pd.DataFrame], tuple[dict, pd.DataFrame]], schema: str, idle_ms: int | None = None) -> DataFrame:
-    """Run a step rule over a keyed stream: ``step(state, ordered new rows) -> (state, output rows)``.
-
-    With ``idle_ms`` a session without rows for that long is forgotten, so that finished sessions leave no
-    state on a query that runs for ever. A query that stops by itself (available-now) must leave it unset:
-    pending timeouts keep it running.
-    """
-    names = T._parse_datatype_string(schema).fieldNames()
-    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-
-    def handle(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        saved = json.loads(state.get[0]) if state.exists else {"seen": None, "s": {}}
-        rows = pd.concat(list(batches)).sort_values(pos, kind="stable").drop_duplicates(pos)
-        if saved["seen"] is not None:
-            rows = rows[rows[pos] > saved["seen"]]
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        if len(rows):
-            inner, out = step(saved["s"], rows.reset_index(drop=True))
-            state.update((json.dumps({"seen": rows[pos].iloc[-1].item(), "s": inner}),))
-            yield out[names]
-
-    return stream.groupBy(*keys).applyInPandasWithState(handle, schema, "state string", "append", timeout)
-
-
-def _schema(df: DataFrame, columns: Sequence[str]) -> str:
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-
-
-def tail_windows(stream: DataFrame, keys: Sequence[str], pos: str, channels: Sequence[str], length: int, hop: int, idle_ms: int | None = None) -> DataFrame:
-    """Features of the newest window every ``hop`` samples, from a buffer of one window."""
-    chans = list(channels)
-
-    def step(state, pdf):
-        seen, tail = state.get("seen", 0), np.array(state.get("tail", []), dtype=float).reshape(-1, len(chans))
-        x = np.concatenate([tail, pdf[chans].to_numpy(dtype=float)])
-        first = seen - len(tail)
-        rows = []
-        start = -(-max(first, 0) // hop) * hop
-        while start + length <= first + len(x):
-            w = x[start - first: start - first + length]
-            energy = (w * w).mean(axis=0)
-            rows.append([start, *w.mean(axis=0), *w.std(axis=0), *np.sqrt(energy), float(np.sqrt(energy).mean())])
-            start += hop
-        seen += len(pdf)
-        keep = x[max(0, start - first):]
-        names = ["window_start", *[f"{c}_{s}" for s in ("mean", "std", "rms") for c in chans], "aggregate_rms"]
-        out = pd.DataFrame(rows, columns=names)
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return {"seen": seen, "tail": keep.tolist()}, out
-
-    feats = ", ".join(f"{c}_{s} double" for s in ("mean", "std", "rms") for c in chans)
-    return stateful(stream, keys, pos, step, f"{_schema(stream, keys)}, window_start bigint, {feats}, aggregate_rms double", idle_ms=idle_ms)
-
-
 def window_features(stream: DataFrame, keys: Sequence[str], ts: str, value: str, size: str, slide: str, delay: str | None = None) -> DataFrame:
     """Sliding event-time windows without own state code; late rows fall behind the watermark.
 
@@ -102,229 +34,6 @@ def drop_repeats(stream: DataFrame, keys: Sequence[str], ts: str, delay: str) ->
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def streaming_peaks(stream: DataFrame, keys: Sequence[str], pos: str, value: str, lookback: int, confirm: int, distance: int, prominence: float, slack: int = 2, idle_ms: int | None = None) -> DataFrame:
-    """Peaks of the recent past, emitted once ``confirm`` later samples have arrived.
-
-    A peak found again within ``slack`` samples of an emitted one is the same peak. ``pos`` counts samples.
-    """
-    def step(state, pdf):
-        tail = state.get("tail", []) + [[int(p), float(v)] for p, v in zip(pdf[pos], pdf[value])]
-        tail = tail[-lookback - len(pdf):]
-        sent = state.get("sent", [])
-        out = []
-        for upto in range(max(1, len(tail) - len(pdf) + 1), len(tail) + 1):
-            seen = tail[max(0, upto - lookback): upto]
-            if len(seen) <= confirm + 2:
-                continue
-            p, x = np.array([a for a, _ in seen]), np.array([b for _, b in seen])
-            ready = len(x) - 1 - confirm
-            cand = [i for i in range(1, len(x) - 1) if x[i] > x[i - 1] and x[i] > x[i + 1]]
-            if not any(i <= ready and all(abs(int(p[i]) - s) > slack for s in sent) for i in cand):
-                continue
-            idx = np.array(cand)
-            kept = idx[_thin(p[idx], x[idx], np.full(len(idx), -1), -np.inf, np.inf, distance) == 1] if distance > 1 else idx
-            left, right = _lows(x, [])[0], _lows(x[::-1], [])[0][::-1]
-            for i in kept:
-                prom = float(x[i] - max(left[i], right[i]))
-                if prom >= prominence and i <= ready and all(abs(int(p[i]) - s) > slack for s in sent):
-                    sent.append(int(p[i]))
-                    out.append((int(p[i]), float(x[i]), prom, int(p[-1])))
-        edge = tail[-1][0] - lookback
-        frame = pd.DataFrame(out, columns=["peak_pos", "peak_value", "peak_prominence", "emitted_at"])
-        for k in keys:
-            frame[k] = pdf[k].iloc[0]
-        return {"tail": tail[-lookback:], "sent": [s for s in sent if s >= edge]}, frame
-
-    return stateful(stream, keys, pos, step, f"{_schema(stream, keys)}, peak_pos bigint, peak_value double, peak_prominence double, emitted_at bigint", idle_ms=idle_ms)
-
-
-def click_stream(stream: DataFrame, keys: Sequence[str], pos: str, cfg: Mapping, idle_ms: int | None = None) -> DataFrame:
-    """Incremental click trigger for one setting. Rows carry at, state and the score columns."""
-    cfg, scores = dict(cfg), ("clench", "onset", "active", "inactive", "envelope")
-
-    def step(state, pdf):
-        hist, was, label0 = state.get("hist", []), state.get("was", {"clench": 0.0, "onset": 0.0}), state.get("label", "INACTIVE")
-        trig, rearmed, out = state.get("trig", {}), state.get("rearmed"), []
-        for row in pdf.to_dict("records"):
-            hist = (hist + [[float(row[s]) for s in scores]])[-cfg["k"]:]
-            now = dict(zip(scores, np.mean(hist, axis=0).tolist()))
-            label, calm = row["state"], ("INACTIVE", "OFFSET")
-            if now["clench"] <= cfg["rearm"] and (not cfg["from_rest"] or label in calm):
-                rearmed = float(row[pos])
-            lively = label in ("ONSET", "ACTIVE")
-            up = lambda s: was[s] < cfg[s] <= now[s]
-            reason = None
-            if cfg["strategy"] == "binary":
-                reason = "binary_crossing" if up("clench") else None
-            elif cfg["strategy"] == "onset":
-                reason = "onset_crossing" if up("onset") and lively else None
-            elif up("onset") and lively:
-                reason = "hybrid_onset_crossing"
-            elif (lively and now["clench"] >= cfg["clench"] and now["active"] >= cfg["active"] and now["clench"] - was["clench"] >= cfg["rise"]
-                  and (not cfg["from_rest"] or label0 in calm) and now["inactive"] < 0.60):
-                reason = "hybrid_inactive_to_active"
-            if reason and now["envelope"] >= cfg["floor"]:
-                trig, ok = st.click_step(trig, float(row["at"]), float(row[pos]), rearmed, float(cfg["block_ms"]), True)
-                if ok:
-                    out.append({**{k: row[k] for k in keys}, pos: row[pos], "at": row["at"], "reason": reason})
-            was, label0 = {"clench": now["clench"], "onset": now["onset"]}, label
-        cols = [*keys, pos, "at", "reason"]
-        return {"hist": hist, "was": was, "label": label0, "trig": trig, "rearmed": rearmed}, pd.DataFrame(out, columns=cols)
-
-    return stateful(stream, keys, pos, step, f"{_schema(stream, [*keys, pos, 'at'])}, reason string", idle_ms=idle_ms)
-
-
-def hold_stream(stream: DataFrame, keys: Sequence[str], pos: str, cfg: Mapping = st.HOLD, idle_ms: int | None = None) -> DataFrame:
-    """Incremental hold detector. Rows carry at, engaged, clicked."""
-    cfg = dict(cfg)
-
-    def step(state, pdf):
-        where, what = [], []
-        for i, (t, e, c) in enumerate(zip(pdf["at"], pdf["engaged"], pdf["clicked"])):
-            state, actions = st.hold_step(state, float(t), bool(e), bool(c), cfg)
-            where += [i] * len(actions)
-            what += actions
-        return state, pdf.iloc[where].assign(action=np.array(what, dtype=object))
-
-    return stateful(stream, keys, pos, step, f"{_schema(stream, [*keys, pos, 'at'])}, action string", idle_ms=idle_ms)
-
-
-def latch_stream(stream: DataFrame, keys: Sequence[str], pos: str, cfg: Mapping = st.LATCH, idle_ms: int | None = None) -> DataFrame:
-    """Incremental direction latch. Rows carry at and label (null for a plain tick)."""
-    cfg = dict(cfg)
-
-    def step(state, pdf):
-        took, shown = [], []
-        for t, label in zip(pdf["at"], pdf["label"]):
-            state, taken, side = st.latch_step(state, float(t), label if isinstance(label, str) else None, cfg)
-            took.append(taken)
-            shown.append(side)
-        return state, pdf.assign(taken=took, shown=shown)
-
-    return stateful(stream, keys, pos, step, f"{_schema(stream, [*keys, pos, 'at', 'label'])}, taken boolean, shown string", idle_ms=idle_ms)
-
-
-def calibrated_stream(stream: DataFrame, keys: Sequence[str], pos: str, features: Sequence[str], calibration_sec: float, idle_ms: int | None = None) -> DataFrame:
-    """Learn mean and spread from the first seconds of a session, then standardise. Rows carry at (seconds from start)."""
-    feats = list(features)
-
-    def step(state, pdf):
-        n, s, q = state.get("n", 0), np.array(state.get("s", [0.0] * len(feats))), np.array(state.get("q", [0.0] * len(feats)))
-        x, early = pdf[feats].to_numpy(dtype=float), (pdf["at"] < calibration_sec).to_numpy()
-        n, s, q = n + int(early.sum()), s + x[early].sum(axis=0), q + (x[early] ** 2).sum(axis=0)
-        out = pdf[[*keys, pos, "at"]].assign(calibrated=~early)
-        mean = s / max(n, 1)
-        spread = np.sqrt(np.maximum(q / max(n, 1) - mean * mean, 0.0))
-        spread[spread == 0] = 1.0
-        z = (x - mean) / spread
-        for i, f in enumerate(feats):
-            out[f"{f}_z"] = np.where(early | (n == 0), np.nan, z[:, i])
-        return {"n": n, "s": s.tolist(), "q": q.tolist()}, out
-
-    return stateful(stream, keys, pos, step, f"{_schema(stream, [*keys, pos, 'at'])}, calibrated boolean, " + ", ".join(f"{f}_z double" for f in feats), idle_ms=idle_ms)
-
-
-def adaptive_stream(stream: DataFrame, keys: Sequence[str], pos: str, channels: Sequence[str], width: int, cfg: Mapping = st.ADAPTIVE,
-                    left: Sequence[str] = (), right: Sequence[str] = (), idle_ms: int | None = None) -> DataFrame:
-    """Moving averages, creeping thresholds and the smoothed direction, incrementally."""
-    cfg, chans, sides = dict(cfg), list(channels), (list(left), list(right))
-
-    def step(state, pdf):
-        x, out, norms = state.get("x", 0.0), pdf[[*keys, pos]].copy(), {}
-        after = {}
-        for c in chans:
-            buf, lower, upper = state.get(c, [[], cfg["lower_start"], cfg["upper_start"]])
-            track = []
-            for v in pdf[c].to_numpy(dtype=float):
-                buf = (buf + [min(abs(float(v)), cfg["limit"])])[-width:]
-                a = float(np.mean(buf))
-                lower, upper, norm = st.threshold_step(lower, upper, a, cfg)
-                track.append((a, lower, upper, norm))
-            after[c] = [buf, lower, upper]
-            out[f"{c}_average"], out[f"{c}_lower"], out[f"{c}_upper"], out[f"{c}_output"] = zip(*track)
-            norms[c] = np.array([t[3] for t in track])
-        side = lambda chs: np.mean([norms[c] for c in chs], axis=0) if chs else np.zeros(len(pdf))
-        smooth = []
-        for raw in side(sides[1]) - side(sides[0]):
-            x += (1.0 - cfg["smoothing"]) * (float(raw) - x)
-            smooth.append(x)
-        return {**after, "x": x}, out.assign(x_smooth=smooth)
-
-    extra = ", ".join(f"{c}_{s} double" for c in chans for s in ("average", "lower", "upper", "output"))
-    return stateful(stream, keys, pos, step, f"{_schema(stream, [*keys, pos])}, {extra}, x_smooth double", idle_ms=idle_ms)
-
-
-def control_events(stream: DataFrame, keys: Sequence[str], pos: str, hold: Mapping = st.HOLD, latch: Mapping = st.LATCH, confidence: float = 0.6, margin: float = 0.1, idle_ms: int | None = None) -> DataFrame:
-    """Control actions from decoded ticks: clicks and holds of the jaw, taken directions of the hand.
-
-    Rows carry at, engaged, clicked, event (a hand event was confirmed here), p_left and p_right.
-    """
-    hold, latch = dict(hold), dict(latch)
-
-    def step(state, pdf):
-        jaw, hand, out = state.get("jaw", {}), state.get("hand", {}), []
-        for row in pdf.to_dict("records"):
-            t = float(row["at"])
-            jaw, actions = st.hold_step(jaw, t, bool(row["engaged"]), bool(row["clicked"]), hold)
-            l, r = float(row["p_left"]), float(row["p_right"])
-            agreed = bool(row["event"]) and max(l, r) >= confidence and abs(l - r) >= margin
-            hand, taken, shown = st.latch_step(hand, t, ("LEFT" if l > r else "RIGHT") if agreed else None, latch)
-            base = {**{k: row[k] for k in keys}, pos: row[pos], "at": t, "shown": shown}
-            out += [{**base, "action": a, "accepted": True, "confidence": max(l, r)} for a in actions]
-            if row["event"]:
-                out.append({**base, "action": "LEFT" if l > r else "RIGHT", "accepted": taken, "confidence": max(l, r)})
-        cols = [*keys, pos, "at", "shown", "action", "accepted", "confidence"]
-        return {"jaw": jaw, "hand": hand}, pd.DataFrame(out, columns=cols)
-
-    return stateful(stream, keys, pos, step, f"{_schema(stream, [*keys, pos])}, at double, shown string, action string, accepted boolean, confidence double", idle_ms=idle_ms)
-
-
-def prompt_stream(stream: DataFrame, keys: Sequence[str], pos: str, timeout: float, idle_ms: int | None = None) -> DataFrame:
-    """Prompt outcomes on a merged stream of prompts and detections.
-
-    Rows carry at, kind (prompt or detection), name (target or detected class) and id. A prompt closes at its
-    first correct detection, or at the first row after its timeout.
-    """
-    def step(state, pdf):
-        open_, out = state.get("open", []), []
-        close = lambda p, t, ok: out.append((p["id"], p["target"], p["start"], t, ok, (t - p["start"]) if ok else None, p["wrong"], not ok))
-        for t, kind, name, i in zip(pdf["at"], pdf["kind"], pdf["name"], pdf["id"]):
-            t, still = float(t), []
-            for p in open_:
-                if t > p["start"] + timeout:
-                    close(p, p["start"] + timeout, False)
-                elif kind == "detection" and name == p["target"]:
-                    close(p, t, True)
-                else:
-                    still.append({**p, "wrong": p["wrong"] + (kind == "detection")})
-            open_ = still
-            if kind == "prompt":
-                open_.append({"id": int(i), "target": name, "start": t, "wrong": 0})
-        cols = ["prompt_id", "target", "p_start", "end_time", "success", "latency", "wrong_detections_count", "timeout_flag"]
-        frame = pd.DataFrame(out, columns=cols)
-        for k in keys:
-            frame[k] = pdf[k].iloc[0]
-        return {"open": open_}, frame
-
-    return stateful(stream, keys, pos, step, f"{_schema(stream, keys)}, prompt_id bigint, target string, p_start double, end_time double, success boolean, "
-                    "latency double, wrong_detections_count bigint, timeout_flag boolean", idle_ms=idle_ms)
-
-
-def stale_flags(stream: DataFrame, keys: Sequence[str], ms: int = 1000) -> DataFrame:
-    """One flag per session whenever no row has come for ``ms`` of wall time."""
-    def handle(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([[*key, True]], columns=[*keys, "stale"])
-            return
-        n = sum(len(b) for b in batches)
-        state.update((n,))
-        state.setTimeoutDuration(ms)
-        yield pd.DataFrame([[*key, False]], columns=[*keys, "stale"])
-
-    return stream.groupBy(*keys).applyInPandasWithState(handle, f"{_schema(stream, keys)}, stale boolean", "n bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def with_ground_truth(stream: DataFrame, segments: DataFrame, keys: Sequence[str], at: str, width: float) -> DataFrame:
     """Enrich a stream with the labelled segment of its time. Segments are disjoint and carry g_start, g_end, truth."""
     cell = lambda c: F.floor(c / F.lit(width)).cast("bigint")
@@ -343,8 +52,3 @@ def enabled_branches(stream: DataFrame, contracts: DataFrame, branches: Mapping[
     for family, names in branches.items():
         allowed = allowed | ((F.col("protocol_family") == family) & F.col("branch").isin(*names))
     return stream.join(contracts.select(key, "protocol_family"), key).filter(allowed)
-
-
-def after_warmup(stream: DataFrame, at: str, window_sec: float, smoothing_sec: float) -> DataFrame:
-    """No decisions before the buffers are filled."""
-    return stream.filter(F.col(at) >= max(1.0, window_sec, smoothing_sec))

@@ -8,7 +8,7 @@ from workload.check import TABLES, canonical
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["collapse_markers", "build_segments", "estimate_sampling", "channel_quality", "detrend_smooth", "time_features", "band_power", "nearest_marker",
-         "threshold_sweep", "roc_auc", "chronological_split", "stream_tail_windows", "adaptive_thresholds", "find_peaks", "read_recordings",
+         "threshold_sweep", "roc_auc", "chronological_split", "stream_tail_windows", "stream_filtered_tail", "stream_peaks", "stream_prompts", "stream_control_events", "replay_decoder", "adaptive_thresholds", "find_peaks", "read_recordings",
          "quantiles_odd_keys", "click_trigger", "direction_scan", "activation_scan_best", "activity_profile", "event_thresholds"]
 
 
