@@ -292,6 +292,56 @@ def decode_summary(decode: DataFrame, key: str = "session_id") -> DataFrame:
     return g
 
 
+def decode_by_file(decode: DataFrame, labels: Sequence[str], key: str = "session_id", accuracy: float = 0.55, error: float = 1.0) -> DataFrame:
+    """Constrained exactness and error of the named labels per session and over all, and whether that clears the gate."""
+    exact, off = F.avg(F.col("constrained_exact").cast("double")), F.avg(F.abs("constrained_error"))
+    g = decode.where(F.col("label").isin(*labels)).groupingSets([[F.col(key)], []], F.col(key)).agg(
+        F.count(F.lit(1)).alias("trial_count"), exact.alias("constrained_exact_accuracy"), off.alias("constrained_mae"), F.grouping(key).cast("boolean").alias("pooled"))
+    return g.withColumn("gate_pass", F.coalesce((F.col("constrained_exact_accuracy") >= accuracy) & (F.col("constrained_mae") <= error), F.lit(False)))
+
+
+def joint_metrics(windows: DataFrame, intervals: DataFrame, keys: Sequence[str], y: str, y_count: str, labels: Sequence[str], counts: Sequence[str]) -> DataFrame:
+    """Movement, count and joint exactness per fold, at window and at interval grain, one row per fold."""
+    out = None
+    for grain, rows in (("window", windows), ("interval", intervals)):
+        move = classification_metrics(rows, keys, y, "predicted_label", labels).select(*keys, F.col("n").alias(f"{grain}s"), F.col("accuracy").alias(f"movement_{grain}_accuracy"), F.col("macro_f1").alias(f"movement_{grain}_macro_f1"))
+        count = classification_metrics(rows, keys, y_count, "predicted_count", counts).select(*keys, F.col("accuracy").alias(f"count_{grain}_accuracy"), F.col("macro_f1").alias(f"count_{grain}_macro_f1"))
+        joint = rows.groupBy(*keys).agg(F.avg(F.col("joint_exact").cast("double")).alias(f"joint_{grain}_exact"))
+        both = move.join(count, list(keys)).join(joint, list(keys))
+        out = both if out is None else out.join(both, list(keys))
+    return out
+
+
+def stage_chain(verdicts: DataFrame, requires: Mapping[str, Sequence[str]]) -> DataFrame:
+    """What becomes of every stage when a stage only runs if all it requires have passed: ``stage, status, reason``.
+
+    ``verdicts`` carry stage and gate_pass. The status is passed, failed (it ran and missed its gate, or has no verdict) or
+    skipped; the reason of a skipped stage names its direct requirements that did not pass. ``requires`` is the caller's
+    fixed graph; a cycle is an error.
+    """
+    before: dict[str, set[str]] = {}
+
+    def ancestors(stage: str, path: tuple[str, ...] = ()) -> set[str]:
+        if stage in path:
+            raise ValueError(f"stages require each other: {' -> '.join((*path, stage))}")
+        if stage not in before:
+            before[stage] = {a for r in requires.get(stage, ()) for a in {r, *ancestors(r, (*path, stage))}}
+        return before[stage]
+
+    stages = sorted({*requires, *[r for rs in requires.values() for r in rs]})
+    spark = verdicts.sparkSession
+    table = F.broadcast(spark.createDataFrame([(s, sorted(ancestors(s)), sorted(requires.get(s, ()))) for s in stages], "stage string, _ancestors array<string>, _requires array<string>"))
+    own = table.join(verdicts.select("stage", "gate_pass"), "stage", "left").withColumn("gate_pass", F.coalesce("gate_pass", F.lit(False)))
+    failed = F.broadcast(own.agg(F.collect_set(F.when(~F.col("gate_pass"), F.col("stage"))).alias("_failed")))  # at most the stages of the graph
+    runs = own.withColumn("_one", F.lit(1)).join(failed.withColumn("_one", F.lit(1)), "_one").withColumn("_stopped", F.arrays_overlap("_ancestors", "_failed"))
+    status = F.when(F.col("_stopped"), "skipped").when(F.col("gate_pass"), "passed").otherwise("failed")
+    by_stage = runs.withColumn("status", status)
+    state = F.broadcast(by_stage.agg(F.map_from_entries(F.collect_list(F.struct("stage", "status"))).alias("_status")).withColumn("_one", F.lit(1)))
+    missing = F.filter("_requires", lambda x: F.element_at("_status", x) != "passed")
+    reason = F.array_join(F.transform(missing, lambda x: F.concat(x, F.lit(" "), F.element_at("_status", x))), "; ")
+    return by_stage.join(state, "_one").select("stage", "status", F.when(F.col("status") == "skipped", reason).alias("reason"))
+
+
 def task_summary(results: DataFrame, by: Sequence[str], metrics: Sequence[str] = ("accuracy", "macro_f1")) -> DataFrame:
     """Mean and population variance of metrics per task, or per pair of sessions."""
     return results.groupBy(*by).agg(F.count(F.lit(1)).alias("n_results"), *[a for m in metrics for a in (F.avg(m).alias(f"mean_{m}"), F.var_pop(m).alias(f"var_{m}"))])

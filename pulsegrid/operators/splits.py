@@ -117,3 +117,20 @@ def interval_vote(windows: DataFrame, keys: Sequence[str], scores: dict[str, str
     """Mean class probability per interval and the best class, the first listed on ties."""
     g = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("window_count"), *[F.avg(c).alias(c) for c in scores.values()])
     return g.withColumn("predicted_label", argmax_label(scores))
+
+
+def joint_vote(windows: DataFrame, keys: Sequence[str], movement: dict[str, str], counts: dict[str, str], y: str, y_count: str) -> DataFrame:
+    """Movement and count of an interval by mean class probabilities, and whether both are right (``joint_exact``).
+
+    Labels are those of the interval, equal in all its windows; the first listed class wins ties.
+    """
+    columns = [*movement.values(), *counts.values()]
+    g = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("window_count"), F.min(y).alias(y), F.min(y_count).alias(y_count), *[F.avg(c).alias(c) for c in columns])
+    return joint_match(g, movement, counts, y, y_count)
+
+
+def joint_match(rows: DataFrame, movement: dict[str, str], counts: dict[str, str], y: str, y_count: str) -> DataFrame:
+    """Predicted movement and count of each row, and whether both are right."""
+    out = rows.withColumns({"predicted_label": argmax_label(movement), "predicted_count": argmax_label(counts)})
+    exact = (F.col("predicted_label") == F.col(y)) & (F.col("predicted_count") == F.col(y_count))
+    return out.withColumn("joint_exact", F.coalesce(exact, F.lit(False)))

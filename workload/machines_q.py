@@ -58,20 +58,34 @@ def click_trigger(spark, sf):
     return rounded(out, ["at", "now_clench", "now_onset"])
 
 
-@query()
+MATCH = f"""{jq.TM}, rf AS (SELECT session_id, event_id AS ref_id, t AS ref_at FROM tm WHERE label = 'signup'), ck AS (SELECT DISTINCT session_id, t AS click_at FROM tm WHERE label IN ('click', 'view')),
+  op AS (SELECT rf.session_id, ref_id, ref_at, list(click_at ORDER BY abs(click_at - ref_at), click_at) AS opts, row_number() OVER (PARTITION BY rf.session_id ORDER BY ref_at, ref_id) AS i
+    FROM rf JOIN ck ON ck.session_id = rf.session_id AND click_at BETWEEN ref_at - 4.0 AND ref_at + 12.0 GROUP BY 1, 2, 3),
+  wk AS (SELECT session_id, 0::BIGINT AS i, [0.0::DOUBLE] AS used, NULL::DOUBLE AS best FROM (SELECT DISTINCT session_id FROM op)
+    UNION ALL SELECT session_id, i, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END, best FROM (
+      SELECT op.session_id, op.i, used, list_filter(opts, lambda c: NOT list_contains(used, c))[1] AS best FROM wk JOIN op ON op.session_id = wk.session_id AND op.i = wk.i + 1)),
+  mm AS (SELECT op.session_id, ref_id, ref_at, best AS click_at, best - ref_at AS lag_sec FROM wk JOIN op USING (session_id, i) WHERE best IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {MATCH} SELECT session_id, ref_id, ref_at, click_at, {r('lag_sec')} AS lag_sec FROM mm")
 def match_events(spark, sf):
     rows = jq.timed(spark, sf)
     refs = rows.filter("label = 'signup'").select("session_id", F.col("event_id").alias("ref_id"), F.col("t").alias("ref_at"))
     clicks = rows.filter("label IN ('click', 'view')").select("session_id", F.col("t").alias("click_at"))
-    return mc.match_events(refs, clicks, BIG, 4.0, 12.0)
+    return rounded(mc.match_events(refs, clicks, BIG, 4.0, 12.0), ["lag_sec"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {MATCH}, a AS (SELECT rf.session_id, count(*) AS reference_onsets FROM rf GROUP BY 1), b AS (SELECT session_id, count(*) AS c FROM tm WHERE label IN ('click', 'view') GROUP BY 1),
+  m AS (SELECT session_id, count(*) AS k, quantile_cont(lag_sec * 1000.0, 0.5) AS lag FROM mm GROUP BY 1),
+  o AS (SELECT session_id, reference_onsets, coalesce(c, 0) AS detected_clicks, coalesce(k, 0) AS matched_clicks, lag, coalesce(k / nullif(c, 0)::DOUBLE, 0) AS pr, coalesce(k / reference_onsets::DOUBLE, 0) AS rc FROM a LEFT JOIN b USING (session_id) LEFT JOIN m USING (session_id))
+SELECT session_id, reference_onsets, detected_clicks, matched_clicks, {r('lag')} AS median_lag_ms, reference_onsets - matched_clicks AS missed_onsets, detected_clicks - matched_clicks AS extra_clicks, {r('pr')} AS precision, {r('rc')} AS recall,
+  {r('coalesce(2.0 * pr * rc / nullif(pr + rc, 0), 0)')} AS event_f1 FROM o""")
 def event_scores(spark, sf):
     rows = jq.timed(spark, sf)
     refs = rows.filter("label = 'signup'").select("session_id", F.col("event_id").alias("ref_id"), F.col("t").alias("ref_at"))
     clicks = rows.filter("label IN ('click', 'view')").select("session_id", F.col("t").alias("click_at"))
-    return mt.event_scores(refs, clicks, materialize(mc.match_events(refs, clicks, BIG, 4.0, 12.0)), ["session_id"])
+    out = mt.event_scores(refs, clicks, materialize(mc.match_events(refs, clicks, BIG, 4.0, 12.0)), ["session_id"])
+    return rounded(out, ["median_lag_ms", "precision", "recall", "event_f1"])
 
 
 PROBS = {"Left": "p_left", "Right": "p_right"}
@@ -90,15 +104,39 @@ DECODERS = mc.decoder_grid(enter=(0.6, 0.7), exit=(0.55, 0.65), k=(1, 2), cooldo
 TRIAL = Timeline(("session_id", "trial"), "window_pos")
 
 
-@query()
+DSQL = ", ".join(f"({c['config_id']}, {c['enter']}, {c['exit']}, {c['k']}, {c['cooldown']}, {c['votes']}, {c['majority']}, {c['min_confidence']}, {c['margin']}, {c['streak']})" for c in DECODERS)
+WINDOWS = """dw AS (SELECT session_id, sample_idx // 16 AS trial, sample_idx % 16 AS window_pos, value / (value + 10.0) AS p, (event_id % 10) / 9.0::DOUBLE AS pl, 1 - (event_id % 10) / 9.0::DOUBLE AS pr,
+    ['Left', 'Right', 'Norm', 'Repeated'][(sample_idx // 16) % 4 + 1] AS label FROM ev)"""
+# walks the windows of all trials and settings in step; v1 and v2 are the last two votes
+DECODE = f"""dc AS (SELECT * FROM (VALUES {DSQL}) t(config_id, enter_, exit_, k, cooldown, votes, majority, mc, margin, need)),
+  wk AS (SELECT session_id, trial, config_id, -1::BIGINT AS w, 0 AS rest, false AS gate, 0 AS opened, NULL::VARCHAR AS last, 0 AS streak, NULL::VARCHAR AS v1, NULL::VARCHAR AS v2, NULL::VARCHAR AS command FROM (SELECT DISTINCT session_id, trial FROM dw), dc
+    UNION ALL SELECT session_id, trial, config_id, w, CASE WHEN fires THEN cooldown ELSE greatest(rest - 1, 0) END, g AND NOT fires, o, CASE WHEN heard AND NOT fires THEN call END, CASE WHEN fires THEN 0 ELSE s END, vote, v1,
+      CASE WHEN fires THEN CASE WHEN coalesce((vote = 'Left')::INT, 0) + coalesce((majority >= 2 AND v1 = 'Left')::INT, 0) + coalesce((majority >= 3 AND v2 = 'Left')::INT, 0) >= n / 2.0 THEN 'Left' ELSE 'Right' END END FROM (
+      SELECT *, o >= k AND n >= votes AND n > 0 AS fires FROM (
+        SELECT *, (vote IS NOT NULL)::INT + (majority >= 2 AND v1 IS NOT NULL)::INT + (majority >= 3 AND v2 IS NOT NULL)::INT AS n FROM (
+          SELECT *, CASE WHEN heard AND s >= need THEN call END AS vote FROM (
+            SELECT *, CASE WHEN heard THEN CASE WHEN call = last THEN streak + 1 ELSE 1 END ELSE 0 END AS s FROM (
+              SELECT *, CASE WHEN g THEN opened + 1 ELSE 0 END AS o, g AND call IS NOT NULL AS heard FROM (
+                SELECT wk.session_id, wk.trial, dc.*, dw.window_pos AS w, rest, opened, last, streak, v1, v2, rest = 0 AND CASE WHEN p >= enter_ THEN true WHEN p < exit_ THEN false ELSE gate END AS g,
+                  CASE WHEN greatest(pl, pr) >= mc AND greatest(pl, pr) - least(pl, pr) >= margin THEN CASE WHEN pl > pr THEN 'Left' ELSE 'Right' END END AS call
+                FROM wk JOIN dw ON dw.session_id = wk.session_id AND dw.trial = wk.trial AND dw.window_pos = wk.w + 1 JOIN dc ON dc.config_id = wk.config_id)))))))"""
+
+
+@query(f"WITH RECURSIVE {EV}, {WINDOWS}, {DECODE} SELECT session_id, trial, w AS window_pos, config_id, command FROM wk WHERE command IS NOT NULL")
 def discrete_decoder(spark, sf):
     return mc.discrete_decoder(decoder_windows(spark, sf), TRIAL, DECODERS, PROBS)
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, {WINDOWS}, {DECODE}, f AS (SELECT session_id, trial, config_id, count(*) AS fired, min(w) AS first, arg_min(command, w) AS cmd FROM wk WHERE command IS NOT NULL GROUP BY 1, 2, 3),
+  t AS (SELECT x.*, dc.config_id, coalesce(fired, 0) AS fired, first, cmd, label IN ('Left', 'Right') AS dir FROM (SELECT session_id, trial, arg_min(label, window_pos) AS label, count(*) AS n FROM dw GROUP BY 1, 2) x CROSS JOIN dc LEFT JOIN f ON f.session_id = x.session_id AND f.trial = x.trial AND f.config_id = dc.config_id),
+  g AS (SELECT config_id, count(*) FILTER (dir) AS direction_trials, count(*) FILTER (dir AND cmd = label) AS correct, count(*) FILTER (dir AND cmd IS NULL) AS missed, avg(first * 0.25 + 1.0) FILTER (dir) AS al, stddev_pop(first * 0.25 + 1.0) FILTER (dir) AS sl,
+    coalesce(sum(fired) FILTER (label = 'Norm'), 0)::BIGINT AS ft, coalesce(sum(fired) FILTER (label = 'Repeated'), 0)::BIGINT AS rt, sum(n) FILTER (label = 'Norm') AS nn, sum(n) FILTER (label = 'Repeated') AS nr FROM t GROUP BY 1)
+SELECT config_id, direction_trials, correct, missed, {r('al')} AS avg_latency_s, {r('sl')} AS std_latency_s, ft AS false_triggers, rt AS repeated_triggers, {r('coalesce(ft / (nn * 0.25 / 60.0), 0)')} AS false_triggers_per_min, {r('coalesce(rt / (nr * 0.25 / 60.0), 0)')} AS repeated_triggers_per_min,
+  direction_trials - correct - missed AS wrong, {r('coalesce(correct / nullif(direction_trials, 0)::DOUBLE, 0)')} AS direction_accuracy, {r('coalesce((direction_trials - correct - missed) / nullif(direction_trials, 0)::DOUBLE, 0)')} AS wrong_rate, {r('coalesce(missed / nullif(direction_trials, 0)::DOUBLE, 0)')} AS miss_rate FROM g""")
 def simulate_holdout(spark, sf):
     w = materialize(decoder_windows(spark, sf))
-    return mc.simulate_holdout(w, mc.discrete_decoder(w, TRIAL, DECODERS, PROBS), ["session_id", "trial"], "window_pos", DECODERS, 0.25, 1.0)
+    out = mc.simulate_holdout(w, materialize(mc.discrete_decoder(w, TRIAL, DECODERS, PROBS)), ["session_id", "trial"], "window_pos", DECODERS, 0.25, 1.0)
+    return rounded(out, ["avg_latency_s", "std_latency_s", "false_triggers_per_min", "repeated_triggers_per_min", "direction_accuracy", "wrong_rate", "miss_rate"])
 
 
 @query(f"""WITH {EV}, w AS (SELECT session_id, sample_idx // 16 AS trial, sample_idx % 16 AS window_pos, sample_idx * 10 AS s, sample_idx * 10 + 19 AS e, CASE WHEN (sample_idx // 16) % 3 = 0 THEN 'REST' ELSE 'L' END AS y, CASE WHEN value < 25 THEN 'REST' ELSE 'L' END AS p FROM ev),

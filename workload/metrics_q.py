@@ -8,6 +8,7 @@ from pulsegrid.functions import labels as lb
 from pulsegrid.operators import audit as au
 from pulsegrid.operators import joins as jn
 from pulsegrid.operators import metrics as mt
+from pulsegrid.operators import splits as sp
 from pulsegrid.runtime import materialize
 from pulsegrid.timeline import Timeline
 from workload import audit_q as aq
@@ -330,3 +331,56 @@ def trial_review(spark, sf):
     checks = trials.groupBy("session_id").agg(F.array(row("hard", F.col("overlaps_previous")), row("soft", F.col("duration_sec") > 15)).alias("a")).select("session_id", F.inline("a")).filter("hits > 0")
     quality = au.channel_quality(event_samples(spark, sf), TL, ["value"], 200.0, 5.0)
     return mt.trial_review(trials, checks, quality, ["session_id"])
+
+
+CHAIN = {"jaw_stage2": ["jaw_stage1"], "jaw_stage3": ["jaw_stage2"], "eeg_stage12": [], "eeg_stage3": ["eeg_stage12", "jaw_stage3"], "report": ["eeg_stage3", "eeg_stage12"]}
+EDGES = ", ".join(f"('{s}', '{a}')" for s, needs in CHAIN.items() for a in needs)
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT * FROM (SELECT unnest(['jaw_stage1', 'jaw_stage2', 'jaw_stage3', 'eeg_stage12', 'eeg_stage3', 'report']) AS stage, unnest([avg((value > 5)::INT) > 0.5, avg((value > 40)::INT) > 0.5, avg((value > 5)::INT) > 0.5, avg((value > 10)::INT) > 0.5, true, true]) AS ok FROM events)),
+  e AS (SELECT * FROM (VALUES {EDGES}) t(stage, needs)), c AS (SELECT stage, needs FROM e UNION SELECT c.stage, e.needs FROM c JOIN e ON e.stage = c.needs),
+  s AS (SELECT v.stage, CASE WHEN count(*) FILTER (NOT a.ok) > 0 THEN 'skipped' WHEN v.ok THEN 'passed' ELSE 'failed' END AS status FROM v LEFT JOIN c ON c.stage = v.stage LEFT JOIN v a ON a.stage = c.needs GROUP BY v.stage, v.ok)
+SELECT s.stage, s.status, CASE WHEN s.status = 'skipped' THEN string_agg(d.stage || ' ' || d.status, '; ' ORDER BY d.stage) FILTER (d.status <> 'passed') END AS reason
+FROM s LEFT JOIN e ON e.stage = s.stage LEFT JOIN s d ON d.stage = e.needs GROUP BY 1, 2""")
+def stage_chain(spark, sf):
+    """A chain of stages whose second one misses its gate."""
+    v = F.col("value")
+    share = lambda c: F.avg(c.cast("double")) > 0.5
+    a = table(spark, sf, "events").agg(share(v > 5).alias("a"), share(v > 40).alias("b"), share(v > 10).alias("c"))
+    row = lambda s, c: F.struct(F.lit(s).alias("stage"), c.alias("gate_pass"))
+    stages = [("jaw_stage1", F.col("a")), ("jaw_stage2", F.col("b")), ("jaw_stage3", F.col("a")), ("eeg_stage12", F.col("c")), ("eeg_stage3", F.lit(True)), ("report", F.lit(True))]
+    return mt.stage_chain(a.select(F.inline(F.array(*[row(*s) for s in stages]))), CHAIN)
+
+
+@query(f"""WITH d AS (SELECT user_id AS session_id, event_type AS label, value < 60 AS x, event_id % 2 AS e FROM events WHERE event_type IN ('click', 'signup'))
+SELECT session_id, count(*) AS trial_count, {r('avg(x::INT)')} AS constrained_exact_accuracy, {r('avg(abs(e))')} AS constrained_mae, grouping(session_id) = 1 AS pooled, avg(x::INT) >= 0.55 AND avg(abs(e)) <= 1.0 AS gate_pass FROM d GROUP BY GROUPING SETS ((session_id), ())""")
+def decode_by_file(spark, sf):
+    d = table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_type").alias("label"), (F.col("value") < 60).alias("constrained_exact"), (F.col("event_id") % 2).alias("constrained_error"))
+    return rounded(mt.decode_by_file(d, ["click", "signup"]), ["constrained_exact_accuracy", "constrained_mae"])
+
+
+COUNTS = ["1", "2", "3"]
+JW = """jw AS (SELECT user_id % 5 AS fold, user_id, event_type, CASE event_type WHEN 'click' THEN 'LEFT' WHEN 'signup' THEN 'RIGHT' ELSE 'REST' END AS y, (user_id % 3 + 1)::VARCHAR AS yc,
+    value / (value + 30.0) AS m_left, 30.0 / (value + 30.0) AS m_right, 0.45::DOUBLE AS m_rest, ((event_id * 7) % 10) / 10.0::DOUBLE AS c1, ((event_id * 3 + user_id) % 10) / 10.0::DOUBLE AS c2, 0.55::DOUBLE AS c3 FROM events)"""
+PICK = """CASE greatest(m_rest, m_left, m_right) WHEN m_rest THEN 'REST' WHEN m_left THEN 'LEFT' ELSE 'RIGHT' END AS p, CASE greatest(c1, c2, c3) WHEN c1 THEN '1' WHEN c2 THEN '2' ELSE '3' END AS pc"""
+MEANS = ", ".join(f"avg({c}) AS {c}" for c in ("m_left", "m_right", "m_rest", "c1", "c2", "c3"))
+
+
+def joint_sql(src, grain):
+    count = f"{src}c AS (SELECT * REPLACE (yc AS y, pc AS p) FROM {src})"
+    return f"""{metrics_sql(src, 'fold', f'{src}m')}, {count}, {metrics_sql(f'{src}c', 'fold', f'{src}k', COUNTS)}, {src}j AS (SELECT fold, m.n AS {grain}s, m.accuracy AS movement_{grain}_accuracy, m.macro_f1 AS movement_{grain}_macro_f1, k.accuracy AS count_{grain}_accuracy,
+    k.macro_f1 AS count_{grain}_macro_f1, joint_{grain}_exact FROM {src}m m JOIN {src}k k USING (fold) JOIN (SELECT fold, {r('avg((y = p AND yc = pc)::INT)')} AS joint_{grain}_exact FROM {src} GROUP BY 1) USING (fold))"""
+
+
+@query(f"""WITH {JW}, w AS (SELECT *, {PICK} FROM jw), g AS (SELECT fold, user_id, event_type, min(y) AS y, min(yc) AS yc, {MEANS} FROM jw GROUP BY 1, 2, 3), i AS (SELECT *, {PICK} FROM g),
+  {joint_sql('w', 'window')}, {joint_sql('i', 'interval')} SELECT * FROM wj JOIN ij USING (fold)""")
+def joint_metrics(spark, sf):
+    """Movement and count of windows and of the intervals that they vote for, and how often both are right."""
+    e, v, u = F.col("event_id"), F.col("value"), F.col("user_id")
+    windows = table(spark, sf, "events").select(
+        (u % 5).alias("fold"), "user_id", "event_type", F.when(F.col("event_type") == "click", "LEFT").when(F.col("event_type") == "signup", "RIGHT").otherwise("REST").alias("y"), (u % 3 + 1).cast("string").alias("yc"),
+        (v / (v + 30.0)).alias("m_left"), (30.0 / (v + 30.0)).alias("m_right"), F.lit(0.45).alias("m_rest"), ((e * 7) % 10 / 10.0).alias("c1"), ((e * 3 + u) % 10 / 10.0).alias("c2"), F.lit(0.55).alias("c3"))
+    movement, counts = {"REST": "m_rest", "LEFT": "m_left", "RIGHT": "m_right"}, {"1": "c1", "2": "c2", "3": "c3"}
+    intervals = sp.joint_vote(windows, ["fold", "user_id", "event_type"], movement, counts, "y", "yc")
+    out = mt.joint_metrics(sp.joint_match(windows, movement, counts, "y", "yc"), intervals, ["fold"], "y", "yc", LABELS, COUNTS)
+    return rounded(out, [c for c in out.columns if c not in ("fold", "windows", "intervals")])
