@@ -81,3 +81,24 @@ def rounded(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame
 
 def r(expr: str, digits: int = 6) -> str:
     return f"(round({expr} + {NUDGE}, {digits}) + 0.0)"
+
+
+def peaks_sql(name: str, src: str, keys: str, pos: str, value: str, height: str | None = None, distance: int = 1) -> str:
+    """Tables up to ``{name}`` (keys, pos, v, prom): plateau middles above ``height``, thinned highest first, with prominence.
+
+    Needs WITH RECURSIVE. ``src`` has consecutive positions per series.
+    """
+    k = [c.strip() for c in keys.split(",")]
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in k)
+    high = f"AND v >= {height}" if height else ""
+    return f"""{name}_g AS (SELECT {keys}, {pos} AS i, {value} AS v, {pos} - row_number() OVER (PARTITION BY {keys}, {value} ORDER BY {pos}) AS g FROM {src}),
+  {name}_r AS (SELECT {keys}, v, min(i) AS s, max(i) AS e FROM {name}_g GROUP BY {keys}, v, g),
+  {name}_t AS (SELECT {keys}, v, s, e, (s + e) // 2 AS m FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM {name}_r WINDOW w AS (PARTITION BY {keys} ORDER BY s)) WHERE a < v AND b < v {high}),
+  {name}_o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY v DESC, m DESC) AS k FROM {name}_t),
+  {name}_w AS (SELECT DISTINCT {keys}, 0::BIGINT AS k, []::BIGINT[] AS kept FROM {name}_o
+    UNION ALL SELECT {', '.join(f'o.{c}' for c in k)}, o.k, CASE WHEN len(list_filter(kept, lambda x: abs(x - m) < {distance})) > 0 THEN kept ELSE list_append(kept, m) END FROM {name}_w w JOIN {name}_o o ON {on('o', 'w')} AND o.k = w.k + 1),
+  {name}_k AS (SELECT {keys}, unnest(arg_max(kept, k)) AS m FROM {name}_w GROUP BY {keys}),
+  {name}_b AS (SELECT {', '.join(f't.{c}' for c in k)}, t.m, v, s, e, coalesce(max(x.i) FILTER (x.i < s AND x.x > v), -1) AS lo, coalesce(min(x.i) FILTER (x.i > e AND x.x > v), 1000000000000) AS hi
+    FROM {name}_t t JOIN {name}_k y ON {on('t', 'y')} AND t.m = y.m JOIN (SELECT {keys}, i, v AS x FROM {name}_g) x ON {on('x', 't')} GROUP BY {', '.join(f't.{c}' for c in k)}, t.m, v, s, e),
+  {name} AS (SELECT {', '.join(f'b.{c}' for c in k)}, b.m AS {pos}, b.v AS v, b.v - greatest(min(x.x) FILTER (x.i <= b.m), min(x.x) FILTER (x.i >= b.m)) AS prom
+    FROM {name}_b b JOIN (SELECT {keys}, i, v AS x FROM {name}_g) x ON {on('x', 'b')} AND x.i > b.lo AND x.i < b.hi GROUP BY {', '.join(f'b.{c}' for c in k)}, b.m, b.v)"""

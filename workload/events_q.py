@@ -14,7 +14,7 @@ from pulsegrid.timeline import Timeline, range_join
 from workload import intervals_q as iq
 from workload import signal_q as sq
 from workload import windows_q as wq
-from workload.base import CHANNELS, EV, EVENTS_TL, ITEMS_TL, LI, event_samples, item_samples, r, rounded, table
+from workload.base import CHANNELS, EV, EVENTS_TL, ITEMS_TL, LI, event_samples, item_samples, peaks_sql, r, rounded, table
 from workload.registry import query
 
 BIG = Timeline()
@@ -43,11 +43,11 @@ def find_peaks(spark, sf):
     return rounded(pk.find_peaks(samples, BIG, "value", height=20.0, prominence=15.0), ["peak_prominence"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, {peaks_sql('pk', 'ev', 'session_id', 'sample_idx', 'value', '10.0', 4)} SELECT session_id, sample_idx, v AS peak_value, {r('prom')} AS peak_prominence FROM pk WHERE prom >= 5.0""")
 def find_peaks_apart(spark, sf):
-    """Peaks with a minimum distance; checked against a brute-force greedy in the tests."""
+    """Peaks with a minimum distance; also checked against a brute-force greedy in the tests."""
     samples = materialize(event_samples(spark, sf).select("session_id", "sample_idx", "value"))
-    return pk.find_peaks(samples, BIG, "value", height=10.0, distance=4, prominence=5.0)
+    return rounded(pk.find_peaks(samples, BIG, "value", height=10.0, distance=4, prominence=5.0), ["peak_prominence"])
 
 
 def envelope(spark, sf):
@@ -118,18 +118,32 @@ def counted(spark, sf):
     return env, trials, pk.count_peaks_in_spans(env, trials, BIG, "trial_id", "aggregate_rms", 10.0, smoothing=5, distance_sec=0.5)
 
 
-@query()
+# candidates of every trial in SQL: the trace is smoothed inside the trial, then searched there
+SMOOTH5 = "avg(aggregate_rms) OVER (PARTITION BY {k} ORDER BY sample_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
+CANDS = f"""{LI}, {sq.ENV}, {wq.SEGL}, tl AS (SELECT session_id, label, start_sample, end_sample, segment_index, segment_index AS trial_id, segment_index % 4 + 1 AS expected_count FROM sl WHERE label <> 'REST'),
+  ts AS (SELECT tl.session_id, trial_id, sample_idx, {SMOOTH5.format(k='tl.session_id, trial_id')} AS x FROM tl JOIN en ON en.session_id = tl.session_id AND sample_idx BETWEEN start_sample AND end_sample),
+  {peaks_sql('tp', 'ts', 'session_id, trial_id', 'sample_idx', 'x', None, 5)},
+  nd AS (SELECT session_id, trial_id, greatest(stddev_pop(x) * 0.6, 0.02) AS need FROM ts GROUP BY 1, 2),
+  cd AS (SELECT tp.*, need, tl.start_sample, sample_idx / 10.0 AS at_sec, (sample_idx - tl.start_sample) / 10.0 AS rel, (sample_idx - tl.start_sample) / 10.0 >= 0.1 AS kept FROM tp JOIN nd USING (session_id, trial_id) JOIN tl USING (session_id, trial_id) WHERE prom >= need),
+  tc AS (SELECT tl.*, coalesce(o, 0) AS observed_count, coalesce(n, 0) AS candidates FROM tl LEFT JOIN (SELECT session_id, trial_id, count(*) FILTER (kept) AS o, count(*) AS n FROM cd GROUP BY 1, 2) USING (session_id, trial_id))"""
+TRIAL = "session_id, label, start_sample, end_sample, segment_index, trial_id, expected_count, observed_count, candidates, observed_count - expected_count AS count_error, observed_count = expected_count AS count_match"
+
+
+@query(f"""WITH RECURSIVE {CANDS} SELECT session_id, trial_id, sample_idx, {r('v')} AS peak_value, {r('prom')} AS peak_prominence, {r('need')} AS prominence_threshold, start_sample, {r('at_sec')} AS peak_time_sec,
+  {r('rel')} AS peak_time_relative_sec, kept AS kept_for_count FROM cd""")
 def trial_peak_candidates(spark, sf):
-    return counted(spark, sf)[2]
+    return rounded(counted(spark, sf)[2], ["peak_value", "peak_prominence", "prominence_threshold", "peak_time_sec", "peak_time_relative_sec"])
 
 
-@query()
+@query(f"WITH RECURSIVE {CANDS} SELECT {TRIAL} FROM tc")
 def trial_counts(spark, sf):
     _, trials, cands = counted(spark, sf)
     return pk.trial_counts(trials, cands, BIG, "trial_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CANDS}, bs AS (SELECT session_id, trial_id, least(expected_count, o) AS constrained_count FROM (SELECT session_id, trial_id, count(*) AS o FROM cd WHERE kept GROUP BY 1, 2) JOIN tl USING (session_id, trial_id))
+SELECT {TRIAL}, coalesce(constrained_count, 0) AS constrained_count, observed_count AS unconstrained_count, observed_count - expected_count AS unconstrained_error, observed_count = expected_count AS unconstrained_exact,
+  coalesce(constrained_count, 0) - expected_count AS constrained_error, coalesce(constrained_count, 0) = expected_count AS constrained_exact FROM tc LEFT JOIN bs USING (session_id, trial_id)""")
 def constrained_decode(spark, sf):
     _, trials, cands = counted(spark, sf)
     cands = materialize(cands)
@@ -143,16 +157,18 @@ def detect_in_blocks(spark, sf):
     return pk.detect_in_blocks(env, blocks, BIG, "aggregate_rms", 10.0, 5, 0.5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {CANDS}, tr AS (SELECT tl.session_id, trial_id, max(aggregate_rms) AS mx, avg(aggregate_rms) AS mn FROM tl JOIN en ON en.session_id = tl.session_id AND sample_idx BETWEEN start_sample AND end_sample GROUP BY 1, 2)
+SELECT session_id, label, start_sample, end_sample, segment_index, trial_id, expected_count, {r('mx')} AS max_trace_value, {r('mn')} AS mean_trace_value, observed_count AS detected_event_count FROM tc JOIN tr USING (session_id, trial_id)""")
 def block_counts(spark, sf):
     env, trials, cands = counted(spark, sf)
-    return pk.block_counts(trials, cands, env, BIG, "trial_id", "aggregate_rms")
+    return rounded(pk.block_counts(trials, cands, env, BIG, "trial_id", "aggregate_rms"), ["max_trace_value", "mean_trace_value"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, sc AS (SELECT session_id, sample_idx, value / (value + 5.0) AS p FROM ev), {peaks_sql('pk', 'sc', 'session_id', 'sample_idx', 'p', '0.8::DOUBLE - 0.1::DOUBLE', 4)}
+SELECT session_id, sample_idx, {r('v')} AS peak_value, {r('prom')} AS peak_prominence FROM pk WHERE prom >= 0.05::DOUBLE""")
 def probability_peaks(spark, sf):
     scores = event_samples(spark, sf).select("session_id", "sample_idx", (F.col("value") / (F.col("value") + 5.0)).alias("p"))
-    return ev.probability_peaks(materialize(scores), BIG, "p", 0.80, 450.0, 0.1)
+    return rounded(ev.probability_peaks(materialize(scores), BIG, "p", 0.80, 450.0, 0.1), ["peak_value", "peak_prominence"])
 
 
 @query()
@@ -202,7 +218,14 @@ def cyclic_phase_fit(spark, sf):
     return ev.suggest_cluster_label(ev.phase_fit(c, ["session_id"], ["c_start", "cluster_id"], "jaw_support_level"))
 
 
-@query()
+LIKELY = "CASE jaw_support_level WHEN 'strong' THEN 'likely jaw' WHEN 'low' THEN 'likely non-jaw' ELSE 'unknown' END"
+
+
+@query(f"""WITH {EV}, {iq.MK}, {SUP}, src AS (SELECT session_id, block_id AS grp, cluster_id, c_start, {LIKELY} AS jaw_vs_nonjaw_label FROM lv), {fit_sql('jaw_vs_nonjaw_label', 'likely jaw', ev.TRIAL_SCORES)},
+  cs AS (SELECT session_id, grp, off, count(*) AS n, bool_and(lev = 'unknown' OR (lev = 'likely jaw') = jw) AS fits FROM rt GROUP BY 1, 2, 3),
+  f AS (SELECT tp.session_id, tp.grp, tp.off AS best_offset, tp.score AS best_score, runner_up, n >= 4 AND tp.score >= runner_up + 3 AND fits AS ok FROM tp JOIN cs ON cs.session_id = tp.session_id AND cs.grp IS NOT DISTINCT FROM tp.grp AND cs.off = tp.off WHERE rn = 1)
+SELECT sl0.session_id, cluster_id, sl0.grp AS block_id, c_start, jaw_vs_nonjaw_label, best_offset, best_score, runner_up, ok AS phase_fit_accepted, CASE WHEN ok THEN ['L1', 'R1', 'J1', 'L2', 'R2', 'J2'][((slot + best_offset) % 6) + 1] END AS phase_suggestion
+FROM sl0 JOIN f ON f.session_id = sl0.session_id AND f.grp IS NOT DISTINCT FROM sl0.grp""")
 def cyclic_phase_fit_strict(spark, sf):
     label = F.when(F.col("jaw_support_level") == "strong", "likely jaw").when(F.col("jaw_support_level") == "low", "likely non-jaw").otherwise("unknown")
     c = supported(spark, sf).select("session_id", "cluster_id", "block_id", "c_start", label.alias("jaw_vs_nonjaw_label"))
