@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.tables import in_steps
+
 BYTE = np.arange(256)
 CLASSES = {
     "upper": (BYTE >= 65) & (BYTE <= 90),
@@ -82,9 +84,14 @@ class Quadratic:
 
 
 def from_moments(counts: np.ndarray, sums: np.ndarray, products: np.ndarray, shrinkage: float = 0.05, floor: float = 1e-4) -> Quadratic:
-    """Fit from counts (2), sums (2, d) and cross products (2, d, d) of the classes. A class without rows is an error."""
+    """Fit from counts (2), sums (2, d) and cross products (2, d, d) of the classes.
+
+    Where a class has fewer than two rows there is no covariance: the model then says the (smoothed) prior of the labels
+    for every text, which is 0.5 without any label.
+    """
     if (counts < 2).any():
-        raise ValueError("both classes need at least two labelled rows")
+        odds = np.log(counts + 1)
+        return Quadratic(np.zeros_like(sums), np.zeros_like(products), odds)
     means = sums / counts[:, None]
     cov = products / counts[:, None, None] - means[:, :, None] * means[:, None, :]
     pooled = (cov * counts[:, None, None]).sum(0) / counts.sum()
@@ -98,11 +105,15 @@ def from_moments(counts: np.ndarray, sums: np.ndarray, products: np.ndarray, shr
 
 
 def add_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and the statistics as one array column ``x``."""
+    """``id_col`` and the statistics as one array column ``x``, one row per row of ``df``, repeated rows too.
+
+    Texts go through Python a few megabytes at a time, a longer one by itself; null counts as empty, an empty table gives
+    an empty one, and only the two named columns are looked at.
+    """
     kind = df.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_steps(batches, 1):
             x = statistics(batch.column(1))
             rows = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(FEATURES)), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), rows], names=[id_col, "x"])
@@ -111,7 +122,10 @@ def add_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def fit(rows: DataFrame, label: str | Column = "label", shrinkage: float = 0.05) -> Quadratic:
-    """Fit on rows with ``x`` and a 0/1 label; rows without a label are left out. Only moments reach the driver."""
+    """Fit on rows with ``x`` and a 0/1 label; rows without a label are left out. Only moments reach the driver.
+
+    A repeated row counts as often as it occurs; with no rows, or one class only, see `from_moments`.
+    """
     d = len(FEATURES)
     label = F.col(label) if isinstance(label, str) else label
 
@@ -139,7 +153,7 @@ def score(df: DataFrame, model: Quadratic, threshold: float = 0.5, id_col: str =
     kind = df.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_steps(batches, 1):
             s = 1 / (1 + np.exp(-np.clip(model.log_odds(statistics(batch.column(1))), -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
@@ -147,7 +161,7 @@ def score(df: DataFrame, model: Quadratic, threshold: float = 0.5, id_col: str =
 
 
 def score_rows(rows: DataFrame, model: Quadratic, threshold: float = 0.5, id_col: str = "doc_id") -> DataFrame:
-    """The same from rows that already carry their statistics ``x``."""
+    """The same from rows that already carry their statistics ``x``; one result per row, none for an empty table."""
     kind = rows.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
