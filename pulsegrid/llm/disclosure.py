@@ -136,10 +136,10 @@ def disclosing_terms(rows: DataFrame, texts: DataFrame, generalise_bits: float =
     words = texts.select("hash", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))).alias("term"))
     spread = words.join(few, "term").groupBy("term", "hash").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count(F.lit(1)).alias("alone"))
     holders = mentions.select("hash", key).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("holders"))
-    total = texts.agg(F.count_distinct("hash").alias("texts"))  # one row
+    total = texts.agg(F.count_distinct("hash")).first()[0]
     bits = -F.log2(F.col("both") / F.col("alone"))
-    known = likely.join(spread, "term").where(F.col("both") >= floor * F.col("alone")).join(holders, "entity").crossJoin(F.broadcast(total))
-    told = F.log2(F.col("texts") / F.col("holders")) - bits
+    known = likely.join(spread, "term").where(F.col("both") >= floor * F.col("alone")).join(holders, "entity")
+    told = F.log2(F.lit(float(total)) / F.col("holders")) - bits
     return known.where(told >= min_information).select("entity", "term", bits.alias("bits"), F.when(bits <= remove_bits, "remove").otherwise("generalise").alias("action"))
 
 

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from pulsegrid.llm.decontaminate import _split_words
+from pulsegrid.llm.tables import in_steps
 
 WORDS = 5
 MAX_TEMPLATES = 10_000  # their signatures travel with the tasks: about 1 kB each
@@ -185,21 +186,19 @@ def scan_licenses(df: DataFrame, notices: Sequence[tuple[str, str]] = NOTICES, s
 
     ``containment`` is the share of the template's distinct five-word shingles inside the best window, ``share`` at
     least; ``first_word`` is where its first shingle stands. Templates and texts of fewer than five words hold none;
-    null and empty texts give no rows, repeated rows the same rows again. Pass more than MAX_TEMPLATES in blocks; versions
+    null and empty texts give no rows, repeated rows the same rows again, and texts of any length are scanned whole. Pass more than MAX_TEMPLATES in blocks; versions
     of one license belong in the same block.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(notices, share, guarantee)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                rows = batch.slice(lo, 1000)
-                grams, starts = _shingles(rows.column(1))
-                found = known.scan(grams, starts) if len(grams) else []
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [rows.column(0).take(pa.array([f[0] for f in found])), pa.array([known.names[f[1]] for f in found]), pa.array([f[3] for f in found]), pa.array([f[2] for f in found], pa.int64())],
-                        names=[id_col, "license", "containment", "first_word"])
+        for rows in in_steps(batches, 1, 1000):
+            grams, starts = _shingles(rows.column(1))
+            found = known.scan(grams, starts) if len(grams) else []
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0).take(pa.array([f[0] for f in found])), pa.array([known.names[f[1]] for f in found]), pa.array([f[3] for f in found]), pa.array([f[2] for f in found], pa.int64())],
+                    names=[id_col, "license", "containment", "first_word"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, license string, containment double, first_word bigint")

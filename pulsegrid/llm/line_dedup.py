@@ -150,7 +150,8 @@ def find_repeats(docs: DataFrame, edits: int = 2, min_chars: int = 20, id_col: s
 
     Among equal lines the first stays, in the order of document id (null first), text hash and line number. A first
     line also goes if a line with an earlier first place is within ``edits`` edits. Lines of fewer than ``min_chars``
-    code points have no near lines, those of fewer than ``exact_chars`` (``min_chars`` if not given) always stay.
+    code points have no near lines, those of fewer than ``exact_chars`` (``min_chars`` if not given) always stay. Null
+    and empty texts have no lines, rows equal in id and text are one document, an empty table gives an empty result.
     """
     if min_chars < 2 * edits + 1:
         raise ValueError("min_chars must be at least 2 * edits + 1")

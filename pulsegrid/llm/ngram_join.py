@@ -12,7 +12,7 @@ Groups larger than a block are split into pairs of blocks, so no task holds more
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +22,11 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.components import components
 from pulsegrid.llm.decontaminate import _split_words
-from pulsegrid.llm.tables import partitions
+from pulsegrid.llm.tables import in_steps, partitions
 from pulsegrid.runtime import materialize
 
-BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6
-HASHES = BANDS * ROWS
-STEP = 32
+STEP = 32  # signature values compared at a time
+MISSED, MOST_HASHES = 4e-6, 1024
 BAND_BLOCK, VERIFY_BLOCK = 1024, 256
 
 
@@ -38,6 +37,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def band_plan(threshold: float, missed: float = MISSED) -> tuple[int, int]:
+    """Bands and rows a band, so that a pair at the threshold shares no band with probability ``missed`` at most.
+
+    The most rows a band, five at most, that `MOST_HASHES` values allow: (32, 5) at 0.8.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be above 0 and at most 1")
+    for rows in range(5, 0, -1):
+        share = threshold**rows
+        bands = 1 if share >= 1 else ceil(log(missed) / log1p(-share))
+        while bands * rows % STEP:  # whole comparison steps
+            bands += 1
+        if bands * rows <= MOST_HASHES:
+            return bands, rows
+    raise ValueError(f"a threshold of {threshold} needs more than {MOST_HASHES} values a signature")
+
+
 def shingle_sets(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
     """Sorted distinct 64-bit n-gram hashes per text.
 
@@ -63,19 +79,20 @@ def shingle_sets(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """MinHash signatures, eight bits a value: one row per set (empty sets give zeros)."""
+def signatures(sets: list[np.ndarray], plan: tuple[int, int] = (32, 5)) -> np.ndarray:
+    """MinHash signatures of a `band_plan`, eight bits a value: one row per set (empty sets give zeros)."""
     rng = np.random.default_rng(20)
-    factors = rng.integers(1, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+    hashes = plan[0] * plan[1]
+    factors = rng.integers(1, 1 << 32, hashes, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-    out = np.zeros((len(sets), HASHES), dtype=np.uint8)
+    out = np.zeros((len(sets), hashes), dtype=np.uint8)
     full = np.flatnonzero(sizes)
     if not len(full):
         return out
     x = (np.concatenate([sets[i] for i in full]) >> np.uint64(32)).astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
     with np.errstate(over="ignore"):
-        for k in range(HASHES):
+        for k in range(hashes):
             least = np.minimum.reduceat(x * factors[k], starts)
             least = (least ^ (least >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
             out[full, k] = (least >> np.uint32(24)).astype(np.uint8)
@@ -136,27 +153,26 @@ def _in_block_pairs(df: DataFrame, key: list[str], size: Column, block: int, nod
 def join_ngrams(df: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col, class, class_id, first, n_links, n_text_links, n_grams``.
 
-    Two rows are linked if the Jaccard similarity of their n-gram sets is at least ``threshold``. ``class`` is the same
+    Two rows are linked if the Jaccard similarity of their n-gram sets is at least ``threshold``; the bands follow from it (`band_plan`). ``class`` is the same
     number for all rows joined by links, directly or through others; ``first`` marks the row of each class with the
     lowest id (ties: any one), and ``class_id`` is its id. ``n_links`` counts linked rows, ``n_text_links`` linked different sets. Rows without
     n-grams (empty, null) are a class each. Null ids and repeated rows are rows like any other.
     """
     kind = df.schema[id_col].dataType.simpleString()
+    bands = band_plan(threshold)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                rows = batch.slice(lo, 500)
-                sets = shingle_sets(rows.column(2), n)
-                sig = signatures(sets)
-                sizes = [len(s) for s in sets]
-                with np.errstate(over="ignore"):
-                    lo64 = [int(_mix(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
-                    hi64 = [int(_mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(np.array(lo64, dtype=np.uint64).view(np.int64)), pa.array(np.array(hi64, dtype=np.uint64).view(np.int64)),
-                     pa.array(sizes, pa.int32()), pa.array([r.tobytes() for r in sig], pa.binary())],
-                    names=["id", "hash", "lo", "hi", "n", "sig"])
+        for rows in in_steps(batches, 2, 500):
+            sets = shingle_sets(rows.column(2), n)
+            sig = signatures(sets, bands)
+            sizes = [len(s) for s in sets]
+            with np.errstate(over="ignore"):
+                lo64 = [int(_mix(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
+                hi64 = [int(_mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), rows.column(1), pa.array(np.array(lo64, dtype=np.uint64).view(np.int64)), pa.array(np.array(hi64, dtype=np.uint64).view(np.int64)),
+                 pa.array(sizes, pa.int32()), pa.array([r.tobytes() for r in sig], pa.binary())],
+                names=["id", "hash", "lo", "hi", "n", "sig"])
 
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     signed = materialize(docs.mapInArrow(sign, f"id {kind}, hash bigint, lo bigint, hi bigint, n int, sig binary").withColumn("row", F.monotonically_increasing_id()))
@@ -166,7 +182,7 @@ def join_ngrams(df: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: fl
         .select("node", "lo", "hi", "n", "copies", "text.id", "text.hash", "sig")
     )
     reps = materialize(reps)
-    families = components(_candidate_edges(reps, threshold, tolerance))
+    families = components(_candidate_edges(reps, threshold, tolerance, bands))
     links, edges = _verify(docs, reps, materialize(families), threshold, n)
     classes = components(edges).select("node", F.col("component").alias("class"))
     per_set = (
@@ -180,26 +196,28 @@ def join_ngrams(df: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: fl
         F.col("id").alias(id_col), "class", F.col("m.id").alias("class_id"), (F.col("row") == F.col("m.row")).alias("first"), "n_links", "n_text_links", "n_grams")
 
 
-def _candidate_edges(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+def _candidate_edges(reps: DataFrame, threshold: float, tolerance: float, plan: tuple[int, int]) -> DataFrame:
     """Edges ``a, b`` that connect whatever survives the Bayesian comparison inside band groups."""
+    n_bands, n_rows = plan
+    hashes = n_bands * n_rows
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, BANDS, ROWS).astype(np.int64)
-                key = (sig << (8 * np.arange(ROWS))).sum(2) | (np.arange(BANDS, dtype=np.int64) << (8 * ROWS))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["band", "node"])
+                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, n_bands, n_rows).astype(np.int64)
+                key = (sig << (8 * np.arange(n_rows))).sum(2) | (np.arange(n_bands, dtype=np.int64) << (8 * n_rows))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), n_bands))], names=["band", "node"])
 
     keyed = materialize(reps.select("node", "sig").mapInArrow(bands, "band bigint, node bigint"))
     shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     members = keyed.join(shared, "band").join(reps.select("node", "n", "sig"), "node")
-    least = [least_matches(k, threshold, tolerance) for k in range(STEP, HASHES + 1, STEP)]
+    least = [least_matches(k, threshold, tolerance) for k in range(STEP, hashes + 1, STEP)]
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
             rows = pa.Table.from_batches(group).combine_chunks()
             node, mine, size = (rows[c].to_numpy() for c in ("node", "_mine", "n"))
-            sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
+            sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), dtype=np.uint8).reshape(-1, hashes)
             split = int((mine == mine[0]).sum())
             if split == len(node) and rows["_i"][0] != rows["_j"][0]:
                 continue  # the other block of this pair holds no rows
@@ -230,11 +248,9 @@ def _verify(docs: DataFrame, reps: DataFrame, families: DataFrame, threshold: fl
         "w.node", "w.component", "w.size", "w.copies", "d.text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                rows = batch.slice(lo, 500)
-                yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array([s.tobytes() for s in shingle_sets(rows.column(4), n)], pa.binary())],
-                                                 names=["node", "component", "size", "copies", "grams"])
+        for rows in in_steps(batches, 4, 500):
+            yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array([s.tobytes() for s in shingle_sets(rows.column(4), n)], pa.binary())],
+                                             names=["node", "component", "size", "copies", "grams"])
 
     loaded = texts.mapInArrow(sets, "node bigint, component bigint, size bigint, copies bigint, grams binary").dropDuplicates(["node"])
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.tables import number_rows
+from pulsegrid.llm.tables import in_steps, number_rows
 from pulsegrid.llm.tokens import encoder
 from pulsegrid.runtime import materialize
 
@@ -90,9 +90,7 @@ def cut_documents(df: DataFrame, window: int, tokenizer: str, end: int, id_col:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in in_steps(batches, 1):
             ids, bounds = code.encode(batch.column(1), end)
             sizes = np.diff(bounds)
             parts = -(-sizes // window)
@@ -109,6 +107,7 @@ def cut_documents(df: DataFrame, window: int, tokenizer: str, end: int, id_col:
                 columns.append(pa.array([bytes(s) for s in spans], pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        code.trim()
 
     schema = f"{id_col} {kind.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * keep_ids
     return df.select(id_col, text_col).mapInArrow(cut, schema)

@@ -80,7 +80,7 @@ def fold_of(column: str, folds: int):
 def op6_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from labelled rows outside fold 2 of 4."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & (fold_of("doc_id", 4) != 2)).select("doc_id", F.col("toxic").alias("label"))
+    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & (fold_of("doc_id", 4) != 2)).select("doc_id", F.col("toxic").alias("label")).distinct()
     lexicon = toxicity.fit(docs, labels)
     scored = toxicity.score(docs, lexicon, threshold=0.3)
     return scored.select("doc_id", (F.coalesce(fold_of("doc_id", 4), F.lit(-1)) == 2).alias("held_out"), "score", "predicted", "n_hits")
@@ -110,7 +110,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learned from labelled rows outside fold 1 of 3."""
     rows = materialize(quality.add_statistics(table(spark, sf_dir, "documents")))
-    labels = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & (fold_of("doc_id", 3) != 1)).select("doc_id", F.col("quality").alias("label"))
+    labels = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & (fold_of("doc_id", 3) != 1)).select("doc_id", F.col("quality").alias("label")).distinct()
     model = quality.fit(rows.join(labels, "doc_id"))
     scored = quality.score_rows(rows, model, threshold=0.5)
     return scored.select("doc_id", (F.coalesce(fold_of("doc_id", 3), F.lit(-1)) == 1).alias("held_out"), "score", "predicted")

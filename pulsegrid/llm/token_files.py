@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.tables import partitions
+from pulsegrid.llm.tables import in_steps, partitions
 from pulsegrid.llm.tokens import encoder
 
 BLOCK_IDS = 1 << 20
@@ -52,14 +52,17 @@ class Boundaries:
         bits = np.unpackbits(self.low[a // 8 : -(-b // 8)], bitorder="little")[a % 8 : a % 8 + b - a]
         return bits.reshape(-1, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
 
-    def select(self, i: int) -> int:
-        """Value number ``i``, found from the nearest sample without decoding the rest."""
-        sample = i // SAMPLE
+    def stretch(self, sample: int) -> np.ndarray:
+        """The values from one select sample to the next, decoded from there without the rest."""
+        first, last = sample * SAMPLE, min((sample + 1) * SAMPLE, self.count)
         at = int(self.samples[sample])
-        end = int(self.samples[sample + 1]) + 1 if sample + 1 < len(self.samples) else len(self.high) * 8
-        bits = np.unpackbits(self.high[at // 8 : -(-end // 8)], bitorder="little")[at % 8 :]
-        place = at + int(np.flatnonzero(bits)[i - sample * SAMPLE])
-        return ((place - i) << self.low_bits) | int(self._low(i, i + 1)[0])
+        end = int(self.samples[sample + 1]) if sample + 1 < len(self.samples) else len(self.high) * 8
+        places = at + np.flatnonzero(np.unpackbits(self.high[at // 8 : -(-end // 8)], bitorder="little")[at % 8 :])[: last - first]
+        return ((places - np.arange(first, last)) << self.low_bits) | self._low(first, last)
+
+    def select(self, i: int) -> int:
+        """Value number ``i``."""
+        return int(self.stretch(i // SAMPLE)[i % SAMPLE])
 
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count]
@@ -126,9 +129,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end: int, id_col
             return out
 
         code = encoder(tokenizer)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in in_steps(batches, 2):
             part = batch.column(0)[0].as_py()
             ids, bounds = code.encode(batch.column(2), end)
             if len(ids) and int(ids.max()) >> (8 * width):
@@ -145,6 +146,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end: int, id_col
                 first = last
         if keep:
             yield close()
+        code.trim()
 
     schema = f"part int, block int, n_ids bigint, keys array<{kind.simpleString()}>, payload binary"
     rows.mapInArrow(encode, schema).write.parquet(path)
@@ -165,7 +167,7 @@ def read_token_files(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
             for i in range(batch.num_rows):
                 keys = batch.column(0).slice(i, 1).flatten()
                 ids, ef = open_block(batch.column(1)[i].as_py())
-                bounds = np.concatenate([[0], ef.all()])
+                bounds = np.concatenate([[0], *[ef.stretch(k) for k in range(len(ef.samples))]])
                 whole = ids.astype("<u4")
                 crc = [zlib.crc32(whole[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays(

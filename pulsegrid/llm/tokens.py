@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 
 # units kept per Python worker before the cache starts anew: bounds its memory at roughly 200 MB
 CACHE_UNITS = 1_000_000
+# and between two tasks
+KEPT_UNITS = 50_000
 # bytes of text put together at once: bounds the working arrays (a longer text is one step of its own)
 STEP = 1 << 22
 BYTE = np.arange(256)
@@ -46,11 +48,12 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Ids of whole texts under one tokenizers file, special token strings read as ordinary text.
+    """Ids of whole texts under one tokenizers file, as its ``encode(text, add_special_tokens=False)`` gives them.
 
     Texts are cut where the pre-tokenizer surely ends a token, each distinct piece of a batch goes through the
     tokenizer once, and the ids are put together with NumPy: the same ids as encoding the whole text. Where the file
-    has another pre-tokenizer, a normalizer or ordinary added tokens, texts are encoded whole.
+    has another pre-tokenizer, a normalizer or ordinary added tokens, texts are encoded whole, and so is a text that
+    holds the string of a special token.
     """
 
     def __init__(self, path: str):
@@ -58,14 +61,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path) as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.pieces = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.pieces = self.pieces and not any(not x.get("special") for x in spec.get("added_tokens", []))
+        self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self._reset()
 
+    def trim(self) -> None:
+        """Forget a large cache, so that a worker that waits for its next task holds little."""
+        if len(self.place) > KEPT_UNITS:
+            self._reset()
+
     def _reset(self) -> None:
         self.place: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
@@ -117,6 +125,8 @@ class Encoder:
         edge[docs] = True
         if self.pieces:
             edge[_cuts(data)] = True
+            for i in {int(i) for s in self.special for i in np.flatnonzero(pc.match_substring(texts, s).to_numpy(zero_copy_only=False))}:
+                edge[docs[i] + 1 : docs[i + 1]] = False
         edges = np.flatnonzero(edge)
         pieces = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(data)).dictionary_encode()
         words = pieces.dictionary.to_pylist()

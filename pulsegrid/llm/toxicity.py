@@ -17,30 +17,36 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.tables import in_steps
 from pulsegrid.runtime import materialize
 
-# fixed values: letters of other scripts that look like Latin ones, and signs that stand for letters
-LOOKALIKE = str.maketrans("аеорсухіјѕԁӏνοαρτικβ", "aeopcyxijsdlvoaptikb")
+# fixed values: letters of other scripts that look like Latin ones (small ones, then capitals), and signs that stand for letters
+LOOKALIKE = str.maketrans("аеорсухіјѕԁӏνοαρτικβ" "АВЕЅІЈКМНОРСТУХΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdlvoaptikb" "ABESIJKMHOPCTYXABEZHIKMNOPTYX")
 STAND_IN = str.maketrans("0134578@$!|+", "oieastbasiit")
-JOINED = re.compile(r"(?<=\w)[*_.\-](?=\w)")
+JOINED = re.compile(r"(?<![^\W_])[^\W\d_](?:[*_.\-][^\W\d_]){2,}(?![^\W_])")
 WORD = re.compile(r"[^\W_]+")
 SPELLED = re.compile(r"(?=\S*[^\W\d_])[\w@$!|+]*[\w@$][\w@$!|+]*")
 PREFIXES = range(3, 11)
+LEAST_TOXIC, LEAST_WEIGHT = 3, 2.2
 
 
 def fold(text: str | None) -> str:
-    """Lower case, composed, look-alikes as Latin; inside words with a letter, digits and signs as letters."""
-    text = unicodedata.normalize("NFKC", text or "").lower().translate(LOOKALIKE)
+    """Lower case, composed, look-alikes as Latin; inside words with a letter, digits and signs as letters.
+
+    Single letters with signs between them (``w.o.r.d``) become one word.
+    """
+    text = unicodedata.normalize("NFKC", text or "").translate(LOOKALIKE).lower().translate(LOOKALIKE)
+    text = JOINED.sub(lambda m: re.sub(r"[*_.\-]", "", m[0]), text) if re.search(r"[*_.\-]", text) else text
     return SPELLED.sub(_spell, text) if re.search(r"[0134578@$!|+]", text) else text
 
 
 def _spell(found: re.Match) -> str:
     word = found[0]
-    core = word.rstrip("!|+$@")  # closing signs are punctuation
-    if core.isalpha() or sum(c.isalpha() for c in core) < 2:
+    core = word.rstrip("!|+")  # closing signs are punctuation
+    if core.isalpha() or len(core) < 3 or not core[0].isalpha() and sum(c.isalpha() for c in core) < 2:
         return word
     return core.translate(STAND_IN) + word[len(core):]
 
@@ -122,8 +128,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> list[float]:
     return b.tolist()
 
 
-def choose_weights(counts: dict[str, tuple[int, int]], clean: int, toxic: int, least: int = 3) -> dict[str, float]:
-    """Keys whose log odds, less one standard error, reach 2.2.
+def _weight(neg: Column, pos: Column, clean: int, toxic: int) -> Column:
+    """Log odds of a key less one standard error, as in `choose_weights`."""
+    return F.log((pos + 0.5) / (toxic + 1)) - F.log((neg + 0.5) / (clean + 1)) - F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+
+
+def choose_weights(counts: dict[str, tuple[int, int]], clean: int, toxic: int, least: int = LEAST_TOXIC) -> dict[str, float]:
+    """Keys whose log odds, less one standard error, reach `LEAST_WEIGHT`.
 
     A key goes if a longer one stands for nearly all of its toxic documents (``moron`` rather than ``mor``), and else
     a longer key goes if it says no more than a shorter one that stays.
@@ -133,7 +144,7 @@ def choose_weights(counts: dict[str, tuple[int, int]], clean: int, toxic: int, l
         if pos < least or pos <= neg:
             continue
         w = np.log((pos + 0.5) / (toxic + 1)) - np.log((neg + 0.5) / (clean + 1)) - np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-        if w >= 2.2:
+        if w >= LEAST_WEIGHT:
             out[key] = float(w)
     for key in sorted(out, key=len, reverse=True):
         for n in range(4, len(key) if key in out else 0):
@@ -143,11 +154,13 @@ def choose_weights(counts: dict[str, tuple[int, int]], clean: int, toxic: int, l
     return {k: w for k, w in out.items() if not any(out.get(k[:n], 0) >= w for n in range(4, len(k)))}
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "label", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 8000, max_terms: int = 20_000) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "label", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 8000) -> Lexicon:
     """Learn lexicon, exceptions and logistic from at most ``max_rows`` labelled ids of each label (lowest hashes).
 
-    ``max_terms`` bounds the lexicon (strongest weights first). Ids without a label, or without a document, are left
-    out; without rows of both labels the lexicon is empty and the score constant.
+    The sample bounds the lexicon: every key that reaches the weight is taken. Ids without a label, or without a
+    document, are left out; repeated labels count once, repeated documents as often as they occur; null texts are empty
+    and texts of any length are read whole; other columns are not looked at. Without rows of both labels the lexicon is
+    empty and the score constant.
     """
     known = labels.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1)).distinct()
     lowest = known.where(F.col("label") == 0).orderBy("h").limit(max_rows).union(known.where(F.col("label") == 1).orderBy("h").limit(max_rows))
@@ -160,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "label", id_col: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
+        for batch in in_steps(batches, 1):
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tally[k].update({t for w in set(WORD.findall(fold(text))) for t in terms(w)})
         for k in (0, 1):
@@ -172,13 +185,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "label", id_col: str =
 
     counted = (
         sample.mapInArrow(count, "key string, neg bigint, pos bigint").groupBy("key").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-        .where((F.col("pos") >= 3) & (F.col("pos") > F.col("neg")))
-        .orderBy(F.desc(F.col("pos") - F.col("neg")), "key").limit(max_terms)
+        .where((F.col("pos") >= LEAST_TOXIC) & (F.col("pos") > F.col("neg")))
+        .where(_weight(F.col("neg"), F.col("pos"), size[0], size[1]) >= LEAST_WEIGHT - 1e-9)
     )
     lexicon = Lexicon(choose_weights({r["key"]: (r["neg"], r["pos"]) for r in counted.collect()}, size[0], size[1]))
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_steps(batches, 1):
             rows = [(k, *lexicon.features(t), [p for w, _, b, a in lexicon.hits(t)[0] for p in (f"{b} {w}" if b else "", f"{w} {a}" if a else "") if p])
                     for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([sorted(set(r[3])) for r in rows], pa.list_(pa.string()))], names=["label", "phrases"])
@@ -186,12 +199,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "label", id_col: str =
     pairs = sample.mapInArrow(phrases, "label int, phrases array<string>").select("label", F.explode("phrases").alias("phrase"))
     benign = (
         pairs.groupBy("phrase").agg(F.sum(1 - F.col("label")).alias("neg"), F.sum("label").alias("pos"))
-        .where((F.col("neg") >= 3) & (F.col("neg") > 9 * F.col("pos"))).orderBy(F.desc("neg"), "phrase").limit(max_terms)
+        .where((F.col("neg") >= 3) & (F.col("neg") > 9 * F.col("pos")))
     )
     lexicon = Lexicon(lexicon.weights, frozenset(tuple(r["phrase"].split(" ")) for r in benign.collect()))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_steps(batches, 1):
             x = np.array([lexicon.features(t) for t in batch.column(1).to_pylist()]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["label", "a", "b"])
 
@@ -204,11 +217,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "label", id_col: str =
 
 
 def score(df: DataFrame, lexicon: Lexicon, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``score``, ``predicted``, ``n_hits`` and matched ``words`` of every row; null and empty texts score too."""
+    """``id_col``, ``score``, ``predicted``, ``n_hits`` and matched ``words`` of every row; null and empty texts score too.
+
+    One result per row, repeated rows too, none for an empty table; texts are scored whole, a few megabytes at a time.
+    """
     kind = df.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_steps(batches, 1):
             x, words, n_hits = [], [], []
             for text in batch.column(1).to_pylist():
                 found, n = lexicon.hits(text)

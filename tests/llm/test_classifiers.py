@@ -42,9 +42,24 @@ def test_fit_over_partitions_equals_one_fit(spark):
     assert ((m.log_odds(x) > 0) == (y == 1)).all()
 
 
-def test_one_class_is_an_error(spark, odd):
-    with pytest.raises(ValueError):
-        quality.fit(quality.add_statistics(odd).withColumn("label", F.lit(1)))
+@pytest.mark.parametrize("labels, want", [([1] * 11, 12 / 13), ([0] * 11, 1 / 13), ([None] * 11, 0.5), ([1] + [0] * 10, 2 / 13)])
+def test_too_few_labels_give_the_prior(spark, odd, labels, want):
+    rows = quality.add_statistics(odd)
+    known = rows.limit(0).withColumn("label", F.lit(None).cast("int"))
+    for x in labels:
+        known = known.unionByName(rows.limit(1).withColumn("label", F.lit(x).cast("int")))
+    got = {round(r["score"], 9) for r in quality.score(odd, quality.fit(known)).collect()}
+    assert got == {round(want, 9)}
+
+
+def test_queries_on_empty_and_one_class_tables(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "some words here") for i in range(6)], "doc_id bigint, text string")
+    for name, documents, label in (("a", docs.limit(0), None), ("b", docs, 1)):
+        documents.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs.limit(6).select("doc_id", F.lit(label).cast("int").alias("quality"), F.lit(label).cast("int").alias("toxic")).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        for query in ("op10_quality", "op6_toxic_lexicon"):
+            rows = queries.QUERIES[query](spark, f"{tmp_path}/{name}").collect()
+            assert len(rows) == documents.count() and all(r["predicted"] == 1 for r in rows)
 
 
 def test_odd_rows_get_finite_scores(spark, odd):
@@ -64,6 +79,14 @@ def test_folding_undoes_disguises():
     assert lx.hits("idiots non-idiotic")[0] == []
     assert [h[0] for h in lx.hits("trash can, trashy trash")[0]] == ["trashy", "trash"]
     assert toxicity.fold("in 1984, 3.5 kg at 10:30") == "in 1984, 3.5 kg at 10:30"
+    assert toxicity.fold("a55 a$$ i.d.i.o.t ІDІОТ МОRОN e-mail x_y 3.5.2") == "ass ass idiot idiot moron e-mail x_y 3.5.2"
+
+
+def test_toxic_recall_and_precision(spark):
+    rows = queries.op6_toxic_lexicon(spark, SF.replace("sf0.01", "sf0.1"))
+    held = rows.where("held_out").join(spark.read.parquet(f"{SF.replace('sf0.01', 'sf0.1')}/labels.parquet"), "doc_id")
+    hit, said, toxic = held.select(F.count_if((F.col("predicted") == 1) & (F.col("toxic") == 1)), F.count_if(F.col("predicted") == 1), F.count_if(F.col("toxic") == 1)).first()
+    assert hit >= 0.9 * toxic and hit >= 0.9 * said
 
 
 def test_hits_equal_a_plain_search():

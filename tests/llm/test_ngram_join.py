@@ -70,6 +70,29 @@ def test_join_equals_all_pairs(spark, monkeypatch, blocks):
     assert [got[i]["first"] for i in range(len(rows))] == [least[r] == i for i, r in enumerate(root)]
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.95])
+def test_other_thresholds_lose_no_link(spark, threshold):
+    rows = texts()
+    sets, links = expected(rows, threshold)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string").repartition(4)
+    got = {r["doc_id"]: r["n_links"] for r in nj.join_ngrams(df, threshold=threshold).collect()}
+    degree = [0] * len(rows)
+    for pair in links:
+        for i in pair:
+            degree[i] += 1
+    assert [got[i] for i in range(len(rows))] == degree
+
+
+def test_bands_follow_from_the_threshold():
+    assert nj.band_plan(0.8) == (32, 5)
+    for t in (0.3, 0.5, 0.7, 0.9, 1.0):
+        bands, rows = nj.band_plan(t)
+        assert (1 - t**rows) ** bands <= nj.MISSED and bands * rows % nj.STEP == 0
+    for t in (0.0, 0.01, 1.1):
+        with pytest.raises(ValueError):
+            nj.band_plan(t)
+
+
 def test_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id bigint, text string")
     rows = nj.join_ngrams(df).collect()
