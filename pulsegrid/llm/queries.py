@@ -174,3 +174,47 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
     ).select(
         "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+WORDS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), {AZ}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+SQL["op3_positional_index"] = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents), b AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+  s AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+  t AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM s)),
+  o AS (SELECT r, n, k, array_to_string(w[k : k + n - 1], ' ') AS phrase FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM t) WHERE len(w) >= n)),
+  f AS (SELECT r, o.n, k, item_id FROM o JOIN t ON t.n = o.n AND t.phrase = o.phrase),
+  h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM f) GROUP BY 1),
+  i AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM f) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)"""
+
+
+def _matches(k: int, pattern: str) -> str:
+    return f"SELECT r, t, {k} AS kind, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}') AS m FROM d"
+
+
+IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+SQL["op11_disclosure"] = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(text, '') AS t FROM documents),
+  k AS ({_matches(0, r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')} UNION ALL {_matches(1, r'[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)')}
+    UNION ALL {_matches(2, r'[0-9](?:[\x20-]?[0-9])+')} UNION ALL {_matches(3, r'\+[0-9][\x20().0-9-]+[0-9]')}),
+  x AS (SELECT r, t, kind, i, g[i] AS a, g[i + 1] AS z, m[i] AS m, regexp_replace(m[i], '[^0-9]', '', 'g') AS dig FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k)),
+  p AS (SELECT *, (sum(length(a) + length(m)) OVER (PARTITION BY r, kind ORDER BY i) - length(m))::BIGINT AS s FROM x),
+  b AS (SELECT *, s + length(m) AS e, CASE kind WHEN 0 THEN lower(m) WHEN 1 THEN m ELSE dig END AS entity FROM p WHERE CASE kind WHEN 0 THEN true WHEN 1 THEN regexp_full_match(m, '{IP_PART}(?:\.{IP_PART}){{3}}')
+    WHEN 2 THEN length(dig) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(dig) + 1), lambda j: CASE WHEN j % 2 = 1 THEN substr(dig, length(dig) - j + 1, 1)::INT
+      ELSE substr(dig, length(dig) - j + 1, 1)::INT * 2 - CASE WHEN substr(dig, length(dig) - j + 1, 1)::INT >= 5 THEN 9 ELSE 0 END END)) % 10 = 0 ELSE length(dig) BETWEEN 8 AND 15 END),
+  c AS (SELECT t, kind, entity, lower(CASE WHEN length(a) > 100 THEN regexp_replace(right(a, 100), '^\p{{L}}+', '') ELSE a END || ' ' || CASE WHEN length(z) > 100 THEN regexp_replace(left(z, 100), '\p{{L}}+$', '') ELSE z END) AS near FROM b),
+  pr AS (SELECT DISTINCT t, kind, entity, unnest(regexp_extract_all(near, '\p{{L}}{{4,}}')) AS term FROM c),
+  tg AS (SELECT kind, entity, term, count(*) AS n FROM pr GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+  w AS (SELECT term, count(*) AS alone FROM (SELECT DISTINCT t, unnest(regexp_extract_all(lower(t), '\p{{L}}{{4,}}')) AS term FROM d) GROUP BY 1),
+  hd AS (SELECT kind, entity, count(DISTINCT t) AS holders FROM c GROUP BY 1, 2),
+  nb AS (SELECT *, -log2(n / alone::DOUBLE) AS bits FROM tg JOIN w USING (term) JOIN hd USING (kind, entity) WHERE n >= 0.5 * alone),
+  told AS (SELECT kind, entity, term, CASE WHEN bits <= 0.5 THEN 'remove' ELSE 'generalise' END AS act FROM nb WHERE log2((SELECT count(*) FROM (SELECT DISTINCT text FROM documents)) / holders::DOUBLE) - bits >= 4),
+  ws AS (SELECT t, term, max(act) AS act FROM (SELECT DISTINCT t, kind, entity FROM c) JOIN told USING (kind, entity) GROUP BY 1, 2),
+  tg2 AS (SELECT t, string_split_regex(t, '\p{{L}}{{4,}}') AS g, regexp_extract_all(t, '\p{{L}}{{4,}}') AS m FROM (SELECT DISTINCT t FROM ws)),
+  wp AS (SELECT *, (sum(length(a) + length(m)) OVER (PARTITION BY t ORDER BY i) - length(m))::BIGINT AS s FROM (SELECT t, i, g[i] AS a, m[i] AS m FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM tg2))),
+  wt AS (SELECT wp.t, s, s + length(m) AS e, act FROM wp JOIN ws ON ws.t = wp.t AND ws.term = lower(m) WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.t = wp.t AND b.s < wp.s + length(wp.m) AND wp.s < b.e)),
+  sp AS (SELECT r, kind, s, e, 'remove' AS act FROM b UNION ALL SELECT d.r, 4, s, e, act FROM wt JOIN d ON d.t = wt.t),
+  j AS (SELECT r, string_agg(['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY kind, s) AS spans, string_agg(['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY kind, s) FILTER (kind < 4) AS base,
+    count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c, count(*) FILTER (kind = 3) AS d, count(*) FILTER (kind = 4 AND act = 'remove') AS x, count(*) FILTER (kind = 4 AND act = 'generalise') AS y FROM sp GROUP BY 1)
+SELECT doc_id, coalesce(a, 0) AS n_email, coalesce(b, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(j.d, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(x, 0) AS n_terms_removed, coalesce(y, 0) AS n_terms_generalised
+FROM d LEFT JOIN j USING (r)"""

@@ -3,10 +3,12 @@
 import hashlib
 import re
 
+import duckdb
 import pyarrow as pa
 import pytest
 
 from pulsegrid.llm import decontaminate as dc
+from pulsegrid.llm import queries
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UP = str.maketrans(dc.UPPER, dc.LOWER)
@@ -83,3 +85,13 @@ def test_proximity_equals_a_nested_loop(spark):
                 if w == anchor[1] and all(any(x == q and abs(p - anchor[0] + o - k) <= slop for k, x in enumerate(t)) for o, q in enumerate("abc")):
                     want.add((d, p - anchor[0]))
         assert {(r["_doc"], r["start"]) for r in dc.proximity_matches(index, tests, slop).collect()} == want
+
+
+def test_query_equals_its_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    want = con.execute(queries.SQL["op3_positional_index"]).fetch_df()
+    got = queries.op3_positional_index(spark, sf).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.itertuples(index=False, name=None))

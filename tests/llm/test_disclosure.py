@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,13 @@ def test_odd_tables(spark):
     odd = spark.createDataFrame([(None, "a@b.c", "x", 1), (None, "a@b.c", "x", 1), (3, None, None, None)], "doc_id int, text string, found string, id int")
     rows = d.find_spans(odd).collect()
     assert sorted(len(r.spans) for r in rows) == [0, 1, 1]
+
+
+def test_query_equals_its_sql(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(corpus())), "doc_id int, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.SQL["op11_disclosure"]).fetch_df()
+    got = queries.op11_disclosure(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.itertuples(index=False, name=None))
+    assert sum(r["n_terms_removed"] for r in got) and sum(r["n_terms_generalised"] for r in got)
