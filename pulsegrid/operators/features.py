@@ -1,11 +1,12 @@
-"""Per-window features as plain aggregates over (window, sample) rows."""
+"""Per-window features as plain aggregates over (window, sample) rows; spectra by one FFT a window."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,21 +137,26 @@ def welch_plan(length: int, fs: float, nperseg: int | None = None) -> tuple[int,
     return nper, step, 1 + (length - nper) // step
 
 
-def _bin_power(x: Column, j: Column, k: int, n: int, fs: float) -> Column:
-    """Power density of bin ``k`` of one mean-removed, Hann-weighted segment, as one aggregate expression.
+def power_spectrum(rows: DataFrame, keys: Sequence[str], n: int, fs: float) -> DataFrame:
+    """``_power``: densities of bins 0 to n // 2 of one mean-removed, Hann-weighted segment of ``n`` samples per key.
 
-    Removing the mean changes only bins 0 and 1, by known multiples of the mean.
+    Rows carry the place ``_j`` (0 to n - 1) and ``_x``; a segment is one array, and a batch of arrays goes through one
+    real FFT. A missing sample counts as nothing, in the mean too.
     """
-    hann = 0.5 - 0.5 * F.cos(j * F.lit(2 * math.pi / n))
-    turn = j * F.lit(2 * math.pi * k / n)
-    re, im = F.sum(x * hann * F.cos(turn)), F.sum(x * hann * F.sin(turn))
-    if k <= 1:
-        w = [0.5 - 0.5 * math.cos(2 * math.pi * i / n) for i in range(n)]
-        re = re - F.avg(x) * sum(a * math.cos(2 * math.pi * k * i / n) for i, a in enumerate(w))
-        im = im - F.avg(x) * sum(a * math.sin(2 * math.pi * k * i / n) for i, a in enumerate(w))
-    one_sided = 1.0 if k == 0 or 2 * k == n else 2.0
-    weight = sum((0.5 - 0.5 * math.cos(2 * math.pi * i / n)) ** 2 for i in range(n))
-    return (re * re + im * im) * F.lit(one_sided / (fs * weight))
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    level, scale = np.fft.rfft(hann), np.where((np.arange(n // 2 + 1) == 0) | (2 * np.arange(n // 2 + 1) == n), 1.0, 2.0) / (fs * (hann**2).sum())
+
+    @F.pandas_udf("array<double>")
+    def spectrum(place: pd.Series, value: pd.Series) -> pd.Series:
+        sizes = place.map(len).to_numpy()
+        x = np.zeros((len(place), n))
+        x[np.repeat(np.arange(len(place)), sizes), np.concatenate([*place.to_numpy(), np.zeros(0)]).astype(int)] = np.concatenate([*value.to_numpy(), np.zeros(0)])
+        mean = x.sum(1) / np.maximum(sizes, 1)
+        power = np.abs(np.fft.rfft(x * hann, axis=1) - mean[:, None] * level) ** 2 * scale
+        return pd.Series(list(power))
+
+    held = rows.where(F.col("_x").isNotNull()).groupBy(*keys).agg(F.collect_list("_j").alias("_js"), F.collect_list("_x").alias("_xs"))  # one segment
+    return held.select(*keys, spectrum("_js", "_xs").alias("_power"))
 
 
 def spectrum_segments(assigned: DataFrame, offset: Column, nper: int, step: int, count: int) -> DataFrame:
@@ -170,12 +176,10 @@ def band_power_sum(
     nper, step, count = welch_plan(length, fs)
     cells = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("_x")) for c in channels])
     rows = spectrum_segments(assigned, offset, nper, step, count).select(*keys, "_seg", "_j", F.inline(cells))
-    power = {}
+    per_segment = power_spectrum(rows, [*keys, "_seg", "channel"], nper, fs)
     for name, (lo, hi) in bands.items():
-        bins = [k for k in range(nper // 2 + 1) if lo <= k * fs / nper <= hi]
-        terms = [_bin_power(F.col("_x"), F.col("_j"), k, nper, fs) for k in bins]
-        power[name] = sum(terms[1:], terms[0]) if terms else F.lit(0.0)
-    per_segment = rows.groupBy(*keys, "_seg", "channel").agg(*[p.alias(n) for n, p in power.items()])
+        bins = [F.col("_power")[k] for k in range(nper // 2 + 1) if lo <= k * fs / nper <= hi]
+        per_segment = per_segment.withColumn(name, sum(bins[1:], bins[0]) if bins else F.lit(0.0))
     return per_segment.groupBy(*keys).agg(*[
         F.avg(F.when(F.col("channel") == c, F.col(b))).alias(f"{c}_{b}_power") for c in channels for b in bands])
 
@@ -184,10 +188,8 @@ def psd_rows(assigned: DataFrame, keys: Sequence[str], channels: Sequence[str],
     """One-segment spectrum as rows (keys, channel, freq, power) over the whole window."""
     cells = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("_x")) for c in channels])
     rows = assigned.select(*keys, offset.alias("_j"), F.inline(cells))
-    bins = length // 2 + 1
-    powers = rows.groupBy(*keys, "channel").agg(*[_bin_power(F.col("_x"), F.col("_j"), k, length, fs).alias(f"_p{k}") for k in range(bins)])
-    pairs = F.array(*[F.struct(F.lit(k * fs / length).alias("freq"), F.col(f"_p{k}").alias("power")) for k in range(bins)])
-    return powers.select(*keys, "channel", F.inline(pairs))
+    powers = power_spectrum(rows, [*keys, "channel"], length, fs)
+    return powers.select(*keys, "channel", F.posexplode("_power").alias("_k", "power")).select(*keys, "channel", (F.col("_k") * F.lit(fs) / F.lit(length)).alias("freq"), "power")
 
 
 def spectral_summary(psd: DataFrame, keys: Sequence[str], bands: Mapping[str, tuple[float, float]]) -> DataFrame:
