@@ -114,32 +114,79 @@ class Discriminant:
         return each.select(*others, "_at", F.when(F.col("_gone") + F.col("_change.lacking") == 0, best).alias("predicted"))
 
 
-def fit_discriminant(train: DataFrame, features: Sequence[str], label: str, labels: Sequence[str]) -> Discriminant:
-    """Class means and pooled covariance from per-partition sums; only a d-by-d system is solved on the driver."""
+def group_moments(rows: DataFrame, features: Sequence[str], label: str, labels: Sequence[str], key: str | None = None) -> dict[str, np.ndarray]:
+    """Counts, sums and cross products of the features per group and class (classes, d + 1, d + 1), all groups in one job.
+
+    Rows with a missing feature or label are left out. What reaches the driver is one upper triangle per group and class,
+    for groups that the caller lists; any union of groups is fitted by adding them up, and left out by subtracting.
+    """
     feats, d = list(features), len(features)
-    rows = train.select(label_index(label, labels).cast("int").alias("_y"), *[F.col(f).cast("double") for f in feats]).dropna()
+    group = F.col(key).cast("string") if key else F.lit("")
+    used = rows.select(group.alias("_g"), label_index(label, labels).cast("int").alias("_y"), *[F.col(f).cast("double") for f in feats]).dropna()
+    i, j = np.triu_indices(d + 1)
 
     def partial(batches):
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[str, int], np.ndarray] = {}
         for pdf in batches:
-            for y, g in pdf.groupby("_y"):
+            for k, g in pdf.groupby(["_g", "_y"]):
                 x = np.column_stack([np.ones(len(g)), g[feats].to_numpy()])
-                sums[int(y)] = sums.get(int(y), 0) + x.T @ x
-        for y, m in sums.items():
-            i, j = np.indices(m.shape)
-            yield pd.DataFrame({"y": y, "i": i.ravel(), "j": j.ravel(), "s": m.ravel()})
-
-    cells = rows.mapInPandas(partial, "y int, i int, j int, s double").groupBy("y", "i", "j").agg(F.sum("s").alias("s")).collect()
-    gram = np.zeros((len(labels), d + 1, d + 1))
-    for c in cells:
-        gram[c.y, c.i, c.j] = c.s
+                sums[k] = sums.get(k, 0) + x.T @ x
+        for (g, y), m in sums.items():
+            yield pd.DataFrame({"g": g, "y": int(y), "i": i, "j": j, "s": m[i, j]})
+
+    cells = used.mapInPandas(partial, "g string, y int, i int, j int, s double").groupBy("g", "y", "i", "j").agg(F.sum("s").alias("s")).toPandas()
+    out: dict[str, np.ndarray] = {}
+    for g, part in cells.groupby("g"):
+        gram = np.zeros((len(labels), d + 1, d + 1))
+        gram[part["y"], part["i"], part["j"]] = part["s"]
+        gram[part["y"], part["j"], part["i"]] = part["s"]
+        out[g] = gram
+    return out
+
+
+def discriminant_of(gram: np.ndarray, labels: Sequence[str], features: Sequence[str]) -> Discriminant:
+    """The discriminant of `group_moments`; the pooled covariance is divided by the number of rows.
+
+    Where it has no inverse (constant or collinear features) the pseudo-inverse leaves such directions out. Classes
+    without rows are unknown to the model.
+    """
     present = [k for k in range(len(labels)) if gram[k, 0, 0] > 0]
+    if not present:
+        raise ValueError("no complete labelled row to fit on")
     n = sum(gram[k, 0, 0] for k in present)
     means = np.array([gram[k, 0, 1:] / gram[k, 0, 0] for k in present])
     within = sum(gram[k, 1:, 1:] - gram[k, 0, 0] * np.outer(m, m) for k, m in zip(present, means)) / n
-    weights = means @ np.linalg.pinv(within)
+    weights = means @ np.linalg.pinv(within, hermitian=True)
     prior = np.log([gram[k, 0, 0] / n for k in present])
-    return Discriminant([labels[k] for k in present], weights, prior - 0.5 * np.einsum("kd,kd->k", weights, means), feats)
+    return Discriminant([labels[k] for k in present], weights, prior - 0.5 * np.einsum("kd,kd->k", weights, means), list(features))
+
+
+def fit_discriminant(train: DataFrame, features: Sequence[str], label: str, labels: Sequence[str]) -> Discriminant:
+    """Class means and pooled covariance from per-partition sums; only a d-by-d system is solved on the driver."""
+    d = len(features)
+    return discriminant_of(group_moments(train, features, label, labels).get("", np.zeros((len(labels), d + 1, d + 1))), labels, features)
+
+
+def predict_groups(rows: DataFrame, models: Mapping[str, Discriminant], tests: Mapping[str, Sequence[str]], key: str, label: str) -> DataFrame:
+    """``model, label, predicted`` of every row under each model that tests its group, in one pass over the rows.
+
+    ``tests`` names the models per group. A row with a missing feature has no prediction.
+    """
+    feats = next(iter(models.values())).features
+    used = rows.select(F.col(key).cast("string").alias("_g"), F.col(label).alias("label"), *[F.col(f).cast("double") for f in feats]).where(F.col("_g").isin(*tests))
+
+    def run(batches):
+        for pdf in batches:
+            for g, part in pdf.groupby("_g"):
+                x = part[list(feats)].to_numpy()
+                whole = ~np.isnan(x).any(axis=1)
+                for name in tests[g]:
+                    m = models[name]
+                    best = np.argmax(x @ m.weights.T + m.offsets, axis=1) if len(x) else np.zeros(0, dtype=int)
+                    said = np.where(whole, np.array(m.labels, dtype=object)[best], None)
+                    yield pd.DataFrame({"model": name, "label": part["label"].to_numpy(), "predicted": said})
+
+    return used.mapInPandas(run, "model string, label string, predicted string")
 
 
 def fit_model(kind: str, train: DataFrame, features: Sequence[str], label: str, labels: Sequence[str], balanced: bool = True, trees: int = 200, depth: int = 30, seed: int = 42):
@@ -169,6 +216,12 @@ def fit_model(kind: str, train: DataFrame, features: Sequence[str], label: str,
     return SparkModel(list(labels), pipeline, list(features), kind)
 
 
+def evaluate_by(scored: DataFrame, by: Sequence[str], label: str, labels: Sequence[str]) -> DataFrame:
+    """Metrics of scored rows per group, and the number of rows that had no score."""
+    missed = scored.groupBy(*by).agg(F.count_if(F.col("predicted").isNull()).alias("unscored"))
+    return classification_metrics(scored.where("predicted IS NOT NULL"), list(by), label, "predicted", labels).join(missed, list(by))
+
+
 def evaluate(scored: DataFrame, label: str, labels: Sequence[str], **tags: str) -> DataFrame:
     """One row of metrics for scored test rows, and the number of rows that had no score."""
     missed = scored.agg(F.count_if(F.col("predicted").isNull()).alias("unscored"), F.lit(1).alias("_all"))

@@ -12,6 +12,7 @@ from pulsegrid.operators import joins as jn
 from pulsegrid.operators import learn as ln
 from pulsegrid.operators import machines as mc
 from pulsegrid.operators import splits as sp
+from pulsegrid.runtime import materialize
 from pulsegrid.timeline import Timeline
 
 
@@ -69,9 +70,15 @@ def mixed_window_pipeline(gate_rows: tuple[DataFrame, DataFrame], dir_rows: tupl
 
 def leave_one_session_out(rows: DataFrame, sessions: Sequence, features: Sequence[str], label: str, labels: Sequence[str], kinds: Sequence[str], key: str = "session_id",
                           stress: DataFrame | None = None, trees: int = 200) -> DataFrame:
-    """Fold metrics per named session, metrics pooled over folds, and transfer to stress sessions trained on all."""
+    """Fold metrics per named session, metrics pooled over folds, and transfer to stress sessions trained on all.
+
+    Discriminants of all folds come from one job: each fold is the sum of all sessions' moments less its own.
+    """
     parts = []
     for kind in kinds:
+        if kind == "lda":
+            parts.append(_folds_by_subtraction(rows, sessions, features, label, labels, key, stress))
+            continue
         scored = []
         for s in sessions:
             m = ln.fit_model(kind, rows.filter((F.col(key) != s) & F.col(key).isin(*sessions)), features, label, labels, trees=trees)
@@ -85,8 +92,33 @@ def leave_one_session_out(rows: DataFrame, sessions: Sequence, features: Sequenc
     return _union(parts)
 
 
+def _folds_by_subtraction(rows: DataFrame, sessions: Sequence, features: Sequence[str], label: str, labels: Sequence[str], key: str, stress: DataFrame | None) -> DataFrame:
+    names = [str(s) for s in sessions]
+    grams = ln.group_moments(rows.filter(F.col(key).isin(*sessions)), features, label, labels, key)
+    total = sum(grams.values())
+    models = {s: ln.discriminant_of(total - grams[s] if s in grams else total, labels, features) for s in names}
+    scored = ln.predict_groups(rows, models, {s: [s] for s in names}, key, label).select(F.lit("fold").alias("scope"), F.col("model").alias("fold"), "label", "predicted")
+    scored = materialize(scored)
+    every = scored.unionByName(scored.withColumns({"scope": F.lit("pooled"), "fold": F.lit("")}))
+    if stress is not None:
+        model = ln.discriminant_of(total, labels, features)
+        others = ln.predict_groups(stress.withColumn("_stress", F.lit("stress")), {"": model}, {"stress": [""]}, "_stress", label)
+        every = every.unionByName(others.select(F.lit("stress").alias("scope"), F.lit("").alias("fold"), "label", "predicted"))
+    return ln.evaluate_by(every, ["scope", "fold"], "label", labels).withColumn("model_name", F.lit("lda"))
+
+
 def cross_session_pairs(rows: DataFrame, pairs: Sequence[tuple], features: Sequence[str], label: str, labels: Sequence[str], kind: str = "logistic", key: str = "session_id") -> DataFrame:
-    """Train on one session and test on another, for a caller-given list of pairs."""
+    """Train on one session and test on another, for a caller-given list of pairs; discriminants of all pairs in two jobs."""
+    if kind == "lda":
+        grams = ln.group_moments(rows.filter(F.col(key).isin(*{a for a, _ in pairs})), features, label, labels, key)
+        models = {str(a): ln.discriminant_of(grams[str(a)], labels, features) for a in {a for a, _ in pairs}}
+        tests: dict[str, list[str]] = {}
+        for a, b in pairs:
+            tests.setdefault(str(b), []).append(f"{a}\t{b}")
+        by_pair = {f"{a}\t{b}": models[str(a)] for a, b in pairs}
+        scored = ln.predict_groups(rows, by_pair, tests, key, label)
+        both = F.split("model", "\t")
+        return ln.evaluate_by(materialize(scored), ["model"], "label", labels).withColumns({"train_session": both[0], "test_session": both[1]}).drop("model")
     out = []
     for a, b in pairs:
         m = ln.fit_model(kind, rows.filter(F.col(key) == a), features, label, labels)

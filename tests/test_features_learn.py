@@ -8,6 +8,7 @@ from pulsegrid.operators import learn as ln
 from pulsegrid.operators import peaks as pk
 from pulsegrid.operators import signal as sg
 from pulsegrid.operators import splits as sp
+from pulsegrid.plans import experiments as ex
 from pulsegrid.timeline import Timeline
 
 TL = Timeline(chunk_rows=3)
@@ -132,3 +133,31 @@ def test_importance_query_covers_every_feature(spark):
 
     out = learn_q.permutation_importance(spark, "/root/testdata/sf0.001").collect()
     assert sorted(r.feature for r in out) == sorted(learn_q.VF) and {r.repeats for r in out} == {10}
+
+
+def test_folds_by_subtraction_equal_single_fits(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"s{k % 4}", "LEFT" if y else "RIGHT", *(rng.normal(size=3) + y * np.array([1.0, 0.5, 0.0])).tolist()) for k, y in enumerate(rng.integers(0, 2, 400))]
+    rows[5] = (*rows[5][:2], None, *rows[5][3:])
+    df = spark.createDataFrame(rows, "session_id string, label string, a double, b double, c double")
+    names, labels = ["s0", "s1", "s2"], ["LEFT", "RIGHT"]
+    got = {(r.scope, r.fold): r for r in ex.leave_one_session_out(df.where("session_id <> 's3'"), names, ["a", "b", "c"], "label", labels, ["lda"], stress=df.where("session_id = 's3'")).collect()}
+    for s in names:
+        m = ln.fit_model("lda", df.where(F.col("session_id").isin(*names) & (F.col("session_id") != s)), ["a", "b", "c"], "label", labels)
+        want = ln.evaluate(m.score(df.where(F.col("session_id") == s)), "label", labels).first()
+        assert (got["fold", s].n, got["fold", s].unscored) == (want.n, want.unscored) and got["fold", s].macro_f1 == pytest.approx(want.macro_f1)
+    assert got["pooled", ""].n == sum(got["fold", s].n for s in names) and got["stress", ""].n == 100
+    pairs = ex.cross_session_pairs(df, [("s0", "s1"), ("s2", "s1")], ["a", "b", "c"], "label", labels, "lda").collect()
+    for r in pairs:
+        m = ln.fit_model("lda", df.where(F.col("session_id") == r.train_session), ["a", "b", "c"], "label", labels)
+        assert r.accuracy == pytest.approx(ln.evaluate(m.score(df.where(F.col("session_id") == r.test_session)), "label", labels).first().accuracy)
+
+
+def test_collinear_features_leave_a_usable_discriminant(spark):
+    rng = np.random.default_rng(3)
+    rows = [("A" if y else "B", x + 2 * y, 3 * (x + 2 * y), 1.0) for x, y in zip(rng.normal(size=200).tolist(), rng.integers(0, 2, 200).tolist())]
+    df = spark.createDataFrame(rows, "label string, a double, b double, c double")
+    m = ln.fit_model("lda", df, ["a", "b", "c"], "label", ["A", "B"])
+    assert np.isfinite(m.weights).all() and ln.evaluate(m.score(df), "label", ["A", "B"]).first().accuracy > 0.75
+    with pytest.raises(ValueError, match="no complete"):
+        ln.fit_model("lda", df.limit(0), ["a", "b", "c"], "label", ["A", "B"])
