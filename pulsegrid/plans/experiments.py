@@ -145,6 +145,23 @@ def experiment_grid(datasets: Mapping[str, tuple[DataFrame, DataFrame]], tasks:
     return _union(parts)
 
 
+def feature_configurations(tables: Mapping[float, tuple[DataFrame, DataFrame]], label: str, labels: Sequence[str], kinds: Sequence[str], trees: int = 100) -> DataFrame:
+    """Window lengths (seconds) x time, spectral or combined features x with or without asymmetries, each a row of metrics.
+
+    ``tables`` give train and test windows per length, with the feature names that `labels.feature_projection` knows.
+    """
+    parts = []
+    for seconds, (train, test) in tables.items():
+        for mode in ("time_only", "spectral_only", "combined"):
+            for asymmetry in (False, True):
+                if asymmetry and mode == "time_only":
+                    continue  # asymmetries are spectral
+                features = lb.feature_projection(train.columns, mode, asymmetry)
+                row = ln.model_bank(train, test, features, label, labels, kinds, trees, feature_mode=mode)
+                parts.append(row.withColumns({"window_sec": F.lit(float(seconds)), "with_asymmetry": F.lit(asymmetry), "n_features": F.lit(len(features))}))
+    return _union(parts)
+
+
 def event_state_tasks(windows: DataFrame, features: Sequence[str], kinds: Sequence[str], role: str = "split_role", trees: int = 100) -> DataFrame:
     """The three event-label tasks over one window table."""
     parts = []

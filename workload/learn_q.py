@@ -189,6 +189,23 @@ def experiment_grid(spark, sf):
     return ex.experiment_grid({"all": split(rows)}, tasks, {"low": VF[: N_VALUES // 2], "all": VF}, ["lda", "tree"])
 
 
+def channel_windows(spark, sf, length):
+    """The last ``length`` of 32 samples of two channels (even and odd values of an embedding) with time and spectral features."""
+    x = table(spark, sf, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("p", "x"))
+    two = x.groupBy("vec_id", "label", F.floor(F.col("p") / 2).alias("j")).agg(*[F.max(F.when(F.col("p") % 2 == k, F.col("x").cast("double"))).alias(f"c{k + 1}") for k in (0, 1)])
+    rows = materialize(two.where(F.col("j") >= 32 - length).withColumn("j", F.col("j") - (32 - length)))
+    power = ft.band_power_sum(rows, ["vec_id"], ["c1", "c2"], F.col("j"), length, 32.0)
+    shape = rows.groupBy("vec_id", "label").agg(*[f(c).alias(f"{c}_{n}") for c in ("c1", "c2") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("rms", lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))), ("ptp", lambda c: F.max(c) - F.min(c)))])
+    out = shape.join(power.withColumns(ft.pairwise_asymmetry(["c1", "c2"])), "vec_id")
+    return materialize(out.withColumn("label", F.when(F.col("label") < 4, "REST").when(F.col("label") < 7, "LEFT").otherwise("RIGHT")).withColumn("split_role", F.when(F.col("vec_id") % 4 == 0, "test").otherwise("train")))
+
+
+@query()
+def feature_configs(spark, sf):
+    """Windows of 0.50 and 0.75 s under every feature configuration."""
+    return ex.feature_configurations({n / 32.0: split(channel_windows(spark, sf, n)) for n in (16, 24)}, "label", L3, ["lda"])
+
+
 @query()
 def event_state_tasks(spark, sf):
     return ex.event_state_tasks(materialize(vectors(spark, sf)), VF, ["lda", "tree"])
