@@ -150,11 +150,17 @@ def constrained_decode(spark, sf):
     return pk.decode_rows(pk.trial_counts(trials, cands, BIG, "trial_id"), pk.constrained_decode(trials, cands, BIG, "trial_id"), BIG, "trial_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CANDS}, os AS (SELECT session_id, sample_idx, {SMOOTH5.format(k='session_id')} AS x FROM en), {peaks_sql('op', 'os', 'session_id', 'sample_idx', 'x', None, 5)},
+  od AS (SELECT session_id, greatest(stddev_pop(x) * 0.6, 0.02) AS need, min(sample_idx) AS s FROM os GROUP BY 1),
+  bo AS (SELECT session_id, sample_idx, trial_id AS block_id, v, prom, kept, at_sec, true AS inside FROM cd UNION ALL
+    SELECT op.session_id, sample_idx, NULL, v, prom, (sample_idx - s) / 10.0 >= 0.1, sample_idx / 10.0, false FROM op JOIN od USING (session_id) WHERE prom >= need
+      AND NOT EXISTS (SELECT 1 FROM tl WHERE tl.session_id = op.session_id AND op.sample_idx BETWEEN tl.start_sample AND tl.end_sample))
+SELECT session_id, sample_idx, block_id, {r('v')} AS peak_value, {r('prom')} AS peak_prominence, kept AS kept_for_count, {r('at_sec')} AS peak_time_sec, inside AS inside_marker_block,
+  row_number() OVER (PARTITION BY session_id ORDER BY sample_idx, block_id NULLS FIRST) AS event_id FROM bo""")
 def detect_in_blocks(spark, sf):
     env, trials, _ = counted(spark, sf)
     blocks = trials.select("session_id", F.col("trial_id").alias("block_id"), "start_sample", "end_sample")
-    return pk.detect_in_blocks(env, blocks, BIG, "aggregate_rms", 10.0, 5, 0.5)
+    return rounded(pk.detect_in_blocks(env, blocks, BIG, "aggregate_rms", 10.0, 5, 0.5), ["peak_value", "peak_prominence", "peak_time_sec"])
 
 
 @query(f"""WITH RECURSIVE {CANDS}, tr AS (SELECT tl.session_id, trial_id, max(aggregate_rms) AS mx, avg(aggregate_rms) AS mn FROM tl JOIN en ON en.session_id = tl.session_id AND sample_idx BETWEEN start_sample AND end_sample GROUP BY 1, 2)
@@ -171,10 +177,11 @@ def probability_peaks(spark, sf):
     return rounded(ev.probability_peaks(materialize(scores), BIG, "p", 0.80, 450.0, 0.1), ["peak_value", "peak_prominence"])
 
 
-@query()
+@query(f"""{sq.PROFILE.replace('WITH ', 'WITH RECURSIVE ', 1)}, sm AS (SELECT 0 AS session_id, point, avg(m) OVER (ORDER BY point ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS x FROM pr), {peaks_sql('pk', 'sm', 'session_id', 'point', 'x')}
+SELECT session_id, point, {r('v')} AS peak_value, {r('prom')} AS peak_prominence FROM pk WHERE prom >= (SELECT (max(x) - min(x)) * 0.15 FROM sm)""")
 def profile_peaks(spark, sf):
     prof = materialize(sq.profile(spark, sf)).withColumn("session_id", F.lit(0))
-    return ev.profile_peaks(prof, BIG.at("point"), "aggregate_rms_mean")
+    return rounded(ev.profile_peaks(prof, BIG.at("point"), "aggregate_rms_mean"), ["peak_value", "peak_prominence"])
 
 
 SUP = f"""{iq.CLUSTERS}, cx AS (SELECT cl.session_id, cluster_id, any_value(block_id) AS block_id, min(start_sample) AS c_start, count(*) AS marker_count, max(value / (value + 30.0)) AS max_score,
