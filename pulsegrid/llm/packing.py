@@ -107,7 +107,6 @@ def cut_documents(df: DataFrame, window: int, tokenizer: str, end: int, id_col:
                 columns.append(pa.array([bytes(s) for s in spans], pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
-        code.trim()
 
     schema = f"{id_col} {kind.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * keep_ids
     return df.select(id_col, text_col).mapInArrow(cut, schema)

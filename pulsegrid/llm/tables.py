@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -46,11 +47,14 @@ def byte_steps(batch: pa.RecordBatch, text: int, rows: int = 1 << 14, limit: int
 def in_steps(batches: Iterator[pa.RecordBatch], text: int, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in slices bounded by `byte_steps`, whatever the session's batch size.
 
-    Workers outlive their tasks, so what Arrow holds in reserve is given back at the end.
+    Workers outlive their tasks, so what Arrow and the allocator hold in reserve is given back at the end.
     """
     for batch in batches:
         yield from byte_steps(batch, text, rows)
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def number_rows(df: DataFrame, order: Sequence[str], out: str = "row_number") -> DataFrame:

@@ -146,7 +146,6 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end: int, id_col
                 first = last
         if keep:
             yield close()
-        code.trim()
 
     schema = f"part int, block int, n_ids bigint, keys array<{kind.simpleString()}>, payload binary"
     rows.mapInArrow(encode, schema).write.parquet(path)

@@ -11,10 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# units kept per Python worker before the cache starts anew: bounds its memory at roughly 200 MB
-CACHE_UNITS = 1_000_000
-# and between two tasks
-KEPT_UNITS = 50_000
+# units kept per Python worker before the cache starts anew: bounds its memory at roughly 100 MB
+CACHE_UNITS = 500_000
 # bytes of text put together at once: bounds the working arrays (a longer text is one step of its own)
 STEP = 1 << 22
 BYTE = np.arange(256)
@@ -69,11 +67,6 @@ class Encoder:
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self._reset()
 
-    def trim(self) -> None:
-        """Forget a large cache, so that a worker that waits for its next task holds little."""
-        if len(self.place) > KEPT_UNITS:
-            self._reset()
-
     def _reset(self) -> None:
         self.place: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
