@@ -27,13 +27,18 @@ from workload.registry import query
 
 K = ["session_id"]
 FILES, DELAY, CLOCK = 4, "1 day", -1
+ROWS_A_FILE = 1 << 19
 HOUR = 3_600_000_000
-_replays: dict[tuple[str, str], str] = {}
+_replays: dict[tuple[str, str, int], tuple[str, int]] = {}
 
 
-def replay_folder(spark, sf):
-    """The events as files in time order with late and repeated rows, and a last file that moves the clock on."""
-    key = (spark.sparkContext.applicationId, sf)
+def replay_folder(spark, sf, rows_a_file=ROWS_A_FILE):
+    """The events as folders in time order with late and repeated rows, and a last one that moves the clock on.
+
+    Returns the folder and how many files each cut has, which is how many a batch must take: a batch of half a cut would
+    move the watermark past the other half.
+    """
+    key = (spark.sparkContext.applicationId, sf, rows_a_file)
     if key not in _replays:
         events = table(spark, sf, "events")
         lo, hi = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
@@ -43,18 +48,22 @@ def replay_folder(spark, sf):
         late = near_end & (F.col("event_id") % 3 == 0)
         twice = near_end & (F.col("event_id") % 5 == 0)
         rows = events.withColumn("_part", F.explode(F.when(late, F.array(part + 1)).when(twice, F.array(part, part + 1)).otherwise(F.array(part))))
+        sizes = {x["_part"]: x["count"] for x in rows.groupBy("_part").count().collect()}
+        least, most = min(sizes.get(i, 0) for i in range(FILES)), max(sizes.values(), default=0)
+        files = max(1, min(-(-most // rows_a_file), least // 100))  # no file of a cut may stay empty, empty ones are not written
         folder = f"{shared_dir(spark).rstrip('/')}/replay-{uuid.uuid4().hex}"
         for i in range(FILES):
-            rows.where(F.col("_part") == i).drop("_part").write.parquet(f"{folder}/{i:02d}")
+            rows.where(F.col("_part") == i).drop("_part").repartition(files).write.parquet(f"{folder}/{i:02d}")
         clock = events.limit(1).withColumns({"user_id": F.lit(CLOCK).cast(events.schema["user_id"].dataType), "ts": F.timestamp_micros(F.lit(hi) + 90 * 24 * HOUR).cast(events.schema["ts"].dataType)})
         clock.coalesce(1).write.parquet(f"{folder}/{FILES:02d}")
-        _replays[key] = folder
+        _replays[key] = folder, files
     return _replays[key]
 
 
 def event_stream(spark, sf):
     """The replayed events as a stream of ticks: event_id orders the rows of a user in time."""
-    s = live.replay_source(spark, f"{replay_folder(spark, sf)}/*", table(spark, sf, "events").schema)
+    folder, files = replay_folder(spark, sf)
+    s = live.replay_source(spark, f"{folder}/*", table(spark, sf, "events").schema, files)
     v, l = F.col("value"), F.col("event_type")
     state = F.when(l == "click", "ONSET").when(l == "signup", "ACTIVE").when(l == "view", "OFFSET").otherwise("INACTIVE")
     hours = (F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 3600000000.0
