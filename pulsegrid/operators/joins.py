@@ -119,10 +119,13 @@ def nearby_triggers(peaks: DataFrame, clicks: DataFrame, keys: Sequence[str], pe
     agg = hits.groupBy(*keys, peak_id).agg(
         F.count(F.lit(1)).alias("trigger_count_nearby"), F.sort_array(F.collect_list(F.round(click_at, 6))).alias("_times"))
     out = peaks.join(agg, [*keys, peak_id], "left")
+    # plain digits, also below a thousandth and above ten millions, where Spark would write an exponent
+    plain = lambda t: F.regexp_replace(t.cast("decimal(38,6)").cast("string"), r"(\.\d)(\d*?)0*$", "$1$2")
+    times = F.concat(F.lit("["), F.array_join(F.transform("_times", plain), ","), F.lit("]"))
     return out.withColumns({
         "trigger_count_nearby": F.coalesce(F.col("trigger_count_nearby"), F.lit(0)),
         "trigger_nearby": F.col("trigger_count_nearby").isNotNull(),
-        "trigger_times": F.coalesce(F.to_json("_times"), F.lit("[]"))}).drop("_times")
+        "trigger_times": F.coalesce(times, F.lit("[]"))}).drop("_times")
 
 
 def support_window(clusters: DataFrame, scores: DataFrame, keys: Sequence[str], padding: float, width: float) -> DataFrame:
