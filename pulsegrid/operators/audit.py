@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,6 +56,20 @@ def estimate_sampling(samples: DataFrame, tl: Timeline, ts: str) -> DataFrame:
     )
 
 
+def _four_digits(share: Column) -> Column:
+    """A share from 0 to 1 as printf's %.4f has it: its binary value counts, so 0.00625 is 0.0063 and 0.03125 is 0.0312.
+
+    Spark rounds the shortest decimal that reads as the number. Here the number times 2**90 is a whole number, made in two
+    exact steps, so what is left over is compared with one half exactly.
+    """
+    high = F.floor(share * float(2**40))
+    low = (share * float(2**40) - high) * float(2**50)
+    n = (high.cast("decimal(13,0)") * F.lit(Decimal(2**50)) + low.cast("decimal(16,0)")) * F.lit(Decimal(10_000))
+    q, rest, half = F.call_function("div", n, F.lit(Decimal(2**90))), n % F.lit(Decimal(2**90)), F.lit(Decimal(2**89))
+    q = q + F.when((rest > half) | ((rest == half) & (q % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(q / 10_000).cast("string"), F.lit("."), F.lpad((q % 10_000).cast("string"), 4, "0"))
+
+
 def channel_quality(
     samples: DataFrame, tl: Timeline, channels: Sequence[str], rail: float = NOMINAL_RAIL, tolerance: float = RAIL_TOLERANCE
 ) -> DataFrame:
@@ -79,7 +94,7 @@ def channel_quality(
     )
     touched = F.coalesce(F.col("max_abs_value") >= rail - tolerance, F.lit(False))
     some_rail = F.col("rail_fraction") >= QUESTIONABLE_RAIL_FRACTION
-    fraction = lambda text, c: F.format_string(text + " %.4f", F.bround(F.col(c), 4))
+    fraction = lambda text, c: F.concat(F.lit(text + " "), _four_digits(F.col(c)))
     reasons = F.concat_ws(
         "; ",
         F.when(missing, fraction("missing fraction", "missing_fraction")),
