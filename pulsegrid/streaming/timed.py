@@ -29,7 +29,8 @@ from pulsegrid.operators import machines as mc
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MICROS = 1_000_000
 Row = dict[str, object]
-PLACE = T.StructType([T.StructField(n, T.LongType()) for n in ("at", "pos", "timer", "last")])
+PLACE = [T.StructField(n, T.LongType()) for n in ("at", "pos", "last")]
+TIMER = T.StructType([T.StructField("timer", T.LongType())])
 
 
 class Machine:
@@ -70,77 +71,94 @@ class Machine:
 
 
 class _Processor(StatefulProcessor):
+    """The sessions of one bucket: their waiting rows, what each remembers, and the earliest time at which one is due."""
+
     def __init__(self, machine: Machine, keys: Sequence[str], pos: str, fields: T.StructType, names: Sequence[str], idle: int | None):
         self.machine, self.keys, self.pos, self.fields, self.names, self.idle = machine, list(keys), pos, fields, list(names), idle
-        self.shape = T._parse_datatype_string(machine.memory)  # needs the driver's session
+        # a session: its key, the last handled (time, position), when its last row came, the machine's memory
+        key = T.StructType([f for f in fields if f.name in self.keys])
+        session = T.StructType([T.StructField("key", key), *PLACE, T.StructField("memory", T._parse_datatype_string(machine.memory))])  # needs the driver's session
+        self.shape = T.StructType([T.StructField("sessions", T.ArrayType(session))])
 
     def init(self, handle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.fields)
-        self.memory = handle.getValueState("memory", self.shape)
-        # the last handled (time, position), the earliest timer, and when the last row came
-        self.place = handle.getValueState("place", PLACE)
-
-    def _place(self) -> tuple:
-        return tuple(self.place.get()) if self.place.exists() else (None, None, None, None)
-
-    def _set_timer(self, old: int | None, new: int | None) -> None:
-        if old == new:
-            return
-        if old is not None:
-            self.handle.deleteTimer(old)
-        if new is not None:
-            self.handle.registerTimer(new)
+        self.sessions = handle.getValueState("sessions", self.shape)
+        self.timer = handle.getValueState("timer", TIMER)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows))
         columns = [frame[f.name].tolist() for f in self.fields]
         new = [tuple(None if v != v else v for v in r) for r in zip(*columns)]
         self.waiting.appendList(new)
-        at, pos, timer, last = self._place()
-        first = int(frame["at"].min()) // 1000
-        wake = first if timer is None else min(first, timer)
-        self._set_timer(timer, wake)
-        self.place.update((at, pos, wake, max(int(frame["at"].max()), last or 0)))
+        first, old = int(frame["at"].min()) // 1000, self.timer.get()
+        if old is None or first < old[0]:
+            if old is not None:
+                self.handle.deleteTimer(old[0])
+            self.handle.registerTimer(first)
+            self.timer.update((first,))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        reached = timerValues.getCurrentWatermarkInMs() * 1000 + 999  # a millisecond is handled whole
-        at, pos, _, last = self._place()
-        names = self.fields.fieldNames()
-        rows = [dict(zip(names, r)) for r in self.waiting.get()] if self.waiting.exists() else []
+    def _session(self, at: int | None, pos: int | None, last: int | None, memory: tuple, rows: list[Row], reached: int) -> tuple[tuple, list[Row]]:
+        """Handle the rows of a session up to ``reached``, each once, and whatever is due by then."""
         order = lambda r: (r["at"], r[self.pos])
         ready, seen = [], None if at is None else (at, pos)
-        for r in sorted((r for r in rows if r["at"] <= reached), key=order):
+        for r in sorted(rows, key=order):
             if seen is None or order(r) > seen:
                 ready.append(r)
                 seen = order(r)
-        later = [r for r in rows if r["at"] > reached]
-        memory = tuple(self.memory.get()) if self.memory.exists() else self.machine.start
+        if rows:
+            last = max(r["at"] for r in rows) if last is None else max(last, max(r["at"] for r in rows))
         memory, out = self.machine.block(memory, ready, reached + 1)
-        due = self.machine.due(memory)
-        forget = last + self.idle if self.idle is not None else None
-        if not later and due is None and forget is not None and forget <= reached:
+        return (*(seen or (None, None)), last, memory), out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        reached = timerValues.getCurrentWatermarkInMs() * 1000 + 999  # a millisecond is handled whole
+        names = self.fields.fieldNames()
+        which, when = [names.index(k) for k in self.keys], names.index("at")
+        ready, later = {}, []
+        for r in self.waiting.get() if self.waiting.exists() else ():
+            if r[when] <= reached:
+                ready.setdefault(tuple(r[i] for i in which), []).append(dict(zip(names, r)))
+            else:
+                later.append(tuple(r))
+        waits = {tuple(r[i] for i in which) for r in later}
+        saved = self.sessions.get()
+        known = {tuple(s[0]): (*s[1:4], tuple(s[4])) for s in (saved[0] if saved else ())}
+        out, owners, marks, keep = [], [], [r[when] for r in later], []
+        for session in {**known, **ready}:
+            state = known.get(session, (None, None, None, self.machine.start))
+            rows, due = ready.get(session, []), self.machine.due(state[3])
+            if rows or (due is not None and due <= reached):
+                state, more = self._session(*state, rows, reached)
+                out += more
+                owners += [session] * len(more)
+                due = self.machine.due(state[3])
+            forget = state[2] + self.idle if self.idle is not None and session not in waits else None
+            if due is None and forget is not None and forget <= reached:
+                continue
+            marks += [t for t in (due, forget) if t is not None]
+            keep.append((session, *state))
+        if keep:
+            self.sessions.update((keep,))
+        else:
+            self.sessions.clear()
+        if later:
+            self.waiting.put(later)
+        else:
             self.waiting.clear()
-            self.memory.clear()
-            self.place.clear()
+        if marks:
+            wake = max(min(marks) // 1000, reached // 1000 + 1)
+            self.handle.registerTimer(wake)
+            self.timer.update((wake,))
         else:
-            self.memory.update(memory)
-            if later:
-                self.waiting.put([tuple(r[n] for n in names) for r in later])
-            else:
-                self.waiting.clear()
-            marks = [t for t in (min((r["at"] for r in later), default=None), due, forget if not later else None) if t is not None]
-            wake = max(min(marks) // 1000, reached // 1000 + 1) if marks else None
-            if wake is not None:
-                self.handle.registerTimer(wake)
-            self.place.update((*(seen or (None, None)), wake, last))
+            self.timer.clear()
         if out:
-            frame = pd.DataFrame(out)
-            frame["ts"] = pd.to_datetime(frame["at"], unit="us", utc=True)
-            for name, value in zip(self.keys, key):
-                frame[name] = value
-            yield frame.reindex(columns=self.names)
+            at = pd.Series([r["at"] for r in out])
+            keys = {k: pd.Series([o[i] for o in owners], dtype=object) for i, k in enumerate(self.keys)}
+            rest = [n for n in self.names if n not in (*keys, "ts", "at")]
+            columns = {"ts": pd.to_datetime(at, unit="us", utc=True), "at": at, **keys, **{n: pd.Series([r.get(n) for r in out], dtype=object) for n in rest}}
+            yield pd.DataFrame({n: columns[n] for n in self.names})
 
     def close(self) -> None:
         pass
@@ -150,9 +168,12 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(F.col(ts) if isinstance(ts, str) else ts)
 
 
-def run_timed(stream: DataFrame, keys: Sequence[str], pos: str, machine: Machine, delay: str | None = None, ts: str = "ts", idle_sec: float | None = None) -> DataFrame:
+def run_timed(stream: DataFrame, keys: Sequence[str], pos: str, machine: Machine, delay: str | None = None, ts: str = "ts", idle_sec: float | None = None, buckets: int = 1024) -> DataFrame:
     """Keys, ``ts``, ``at`` and the machine's columns. ``pos`` orders rows of equal time and, with it, tells repeated rows.
 
+    Sessions share state in ``buckets`` by their hash, because a call of the state store and a frame cost far more than a row.
+    Take more buckets for more sessions than some thousand each.
+
     ``delay`` sets the watermark; leave it out if the stream already has one (after another timed operator). A session
     without rows for ``idle_sec`` of event time, and with nothing due, is forgotten. Rows without a time or a position
     are left out.
@@ -161,10 +182,13 @@ def run_timed(stream: DataFrame, keys: Sequence[str], pos: str, machine: Machine
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = stream.withWatermark(ts, delay) if delay else stream
     rows = rows.where(F.col(ts).isNotNull() & F.col(pos).isNotNull()).withColumn("at", micros(ts)).withColumn(pos, F.col(pos).cast("bigint"))
-    fields = T.StructType([f for f in rows.schema if f.name not in (*keys, ts)])
+    fields = T.StructType([f for f in rows.schema if f.name != ts])
     out = T.StructType([*[f for f in rows.schema if f.name in keys], T.StructField("ts", T.TimestampType()), T.StructField("at", T.LongType()), *T._parse_datatype_string(machine.out)])
     processor = _Processor(machine, keys, pos, fields, out.fieldNames(), None if idle_sec is None else round(idle_sec * MICROS))
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, out, "append", "EventTime", None, "ts")
+    # keys with a NULL have buckets of their own: a frame would turn whole numbers beside a NULL into floats
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
+    nulls = sum((F.col(k).isNull().cast("bigint") * (1 << i) for i, k in enumerate(keys)), F.lit(0).cast("bigint"))
+    return rows.withColumn("_bucket", bucket + nulls * buckets).groupBy("_bucket").transformWithStateInPandas(processor, out, "append", "EventTime", None, "ts")
 
 
 def dropped_rows(query: StreamingQuery) -> int:
