@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from pulsegrid.timeline import Timeline, spread, with_halo
+from pulsegrid.timeline import Timeline, in_groups, with_halo
 
 NOTCH_HZ, NOTCH_Q = 60.0, 30.0
 
@@ -177,16 +177,16 @@ def zero_phase_filter(samples: DataFrame, tl: Timeline, channels: Sequence[str],
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema if f.name in keep)
     schema += "".join(f", `{c}` double" for c in chans)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         core = pdf["_core"].to_numpy(dtype=bool)
-        if not core.any():
-            return pdf.loc[core, keep + chans]
-        order = np.argsort(pdf[pos].to_numpy(), kind="stable")
-        pdf, core = pdf.iloc[order], core[order]
-        y = zero_phase(pdf[chans].to_numpy(dtype=float).T, plan)
-        out = pdf[keep].copy()
+        x = pdf[chans].to_numpy(dtype=float).T
+        y = np.empty(x.shape)
+        for a, b in zip(starts, [*starts[1:], len(pdf)]):
+            if core[a:b].any():
+                y[:, a:b] = zero_phase(x[:, a:b], plan)
+        out = pdf.loc[core, keep].copy()
         for i, c in enumerate(chans):
-            out[c] = y[i]
-        return out[core]
+            out[c] = y[i, core]
+        return out
 
-    return spread(rows, *tl.keys, "_chunk").groupBy(*tl.keys, "_chunk").applyInPandas(run, schema)
+    return in_groups(rows, [*tl.keys, "_chunk"], pos, run, schema)
