@@ -312,7 +312,7 @@ class Peaks(Machine):
             if last is not None and v < last and rising and last - lows[-1] >= self.prominence:
                 tops.append((len(heights) - 1, (flat_from + flat_to) // 2, n - 1))
             if v == last:
-                flat_to = place  # a plateau is one step
+                flat_from, flat_to = min(flat_from, place), max(flat_to, place)  # a plateau is one step; positions may not rise with time
             else:
                 rising, flat_from, flat_to, low = last is not None and v > last, place, place, v
                 while heights and heights[-1] < v:
