@@ -339,10 +339,11 @@ class Clicks(Machine):
     """The click trigger of one setting, by the candidate rule of the batch form. Rows carry state and the score columns.
 
     Smoothing runs over the carried tail and the new rows at once; only the candidates go through the cooldown one by one.
+    Whether the trigger has re-armed since the last click is told by the number of a row, since positions may not rise with time.
     """
 
-    memory = "tail array<array<double>>, label string, rearmed bigint, at bigint, pos bigint"
-    start = ([], "INACTIVE", None, None, None)
+    memory = "tail array<array<double>>, label string, n bigint, rearmed bigint, at bigint, clicked bigint"
+    start = ([], "INACTIVE", 0, None, None, None)
     out = "pos bigint, reason string"
 
     def __init__(self, pos: str, cfg: Mapping):
@@ -351,7 +352,7 @@ class Clicks(Machine):
     def block(self, memory, rows, upto):
         if not rows:
             return memory, []
-        tail, label, rearmed, last_at, last_pos = memory
+        tail, label, n, rearmed, last_at, clicked = memory
         k, old = self.cfg["k"], len(tail)
         scores = np.array([*[list(t) for t in tail], *[[float(r[s]) for s in mc.SCORES] for r in rows]])
         upto_row = np.arange(old, len(scores))
@@ -366,17 +367,17 @@ class Clicks(Machine):
         for name, fires in reversed(rules):
             reason[fires] = name
         low = (now[:, at["clench"]] <= self.cfg["rearm"]) & (calm if self.cfg["from_rest"] else True)
-        trigger = {} if last_at is None else {"at": last_at / MICROS, "pos": float(last_pos)}
+        trigger = {} if last_at is None else {"at": last_at / MICROS, "pos": clicked}
         out = []
         for i, row in enumerate(rows):
             if low[i]:
-                rearmed = row[self.pos]
+                rearmed = n + i
             if reason[i] is not None:
-                trigger, taken = st.click_step(trigger, row["at"] / MICROS, float(row[self.pos]), rearmed, float(self.cfg["block_ms"]), True)
+                trigger, taken = st.click_step(trigger, row["at"] / MICROS, n + i, rearmed, float(self.cfg["block_ms"]), True)
                 if taken:
-                    last_at, last_pos = row["at"], row[self.pos]
+                    last_at, clicked = row["at"], n + i
                     out.append({"at": row["at"], "pos": row[self.pos], "reason": reason[i]})
-        return (scores[-k:].tolist(), state[-1], rearmed, last_at, last_pos), out
+        return (scores[-k:].tolist(), state[-1], n + len(rows), rearmed, last_at, clicked), out
 
 
 class Tail(Machine):
