@@ -11,8 +11,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# units kept per Python worker before the cache starts anew: bounds its memory at roughly 100 MB
-CACHE_UNITS = 500_000
+# units kept per Python worker before the cache starts anew: bounds its memory at roughly 50 MB
+CACHE_UNITS = 250_000
+# units handed to the tokenizer at once: what it returns for a unit takes about a kilobyte
+CALL_UNITS = 1 << 14
 # bytes of text put together at once: bounds the working arrays (a longer text is one step of its own)
 STEP = 1 << 22
 BYTE = np.arange(256)
@@ -76,19 +78,19 @@ class Encoder:
     def _units(self, units: list[str]) -> np.ndarray:
         """Places of the units in the cache, encoding those it lacks."""
         missing = [u for u in dict.fromkeys(units) if u not in self.place]
-        if missing:
-            encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            ids = [e.ids for e in encoded]
+        for at in range(0, len(missing), CALL_UNITS):
+            part = missing[at : at + CALL_UNITS]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             lens = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
             first = len(self.place)
-            while first + len(missing) + 1 > len(self.start):
+            while first + len(part) + 1 > len(self.start):
                 self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             while self.used + lens.sum() > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.start[first + 1 : first + 1 + len(missing)] = self.used + np.cumsum(lens)
+            self.start[first + 1 : first + 1 + len(part)] = self.used + np.cumsum(lens)
             self.flat[self.used : self.used + lens.sum()] = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(lens.sum()))
             self.used += int(lens.sum())
-            self.place.update(zip(missing, range(first, first + len(missing))))
+            self.place.update(zip(part, range(first, first + len(part))))
         return np.fromiter((self.place[u] for u in units), dtype=np.int64, count=len(units))
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -124,9 +126,13 @@ class Encoder:
         pieces = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(data)).dictionary_encode()
         words = pieces.dictionary.to_pylist()
         place = self._units(words)[pieces.indices.to_numpy()] if words else np.zeros(0, dtype=np.int64)
+        del pieces, words, edge
         lens = self.start[place + 1] - self.start[place]
         ends = np.concatenate([[0], np.cumsum(lens)])
-        ids = self.flat[np.repeat(self.start[place] - ends[:-1], lens) + np.arange(ends[-1])]
+        at = np.repeat((self.start[place] - ends[:-1]).astype(np.int32), lens)  # a few million ids at most, see STEP and CACHE_UNITS
+        at += np.arange(ends[-1], dtype=np.int32)
+        ids = self.flat[at]
+        del at, place, lens
         bounds = ends[np.searchsorted(edges, docs)]
         if end is not None:
             ids = np.insert(ids, bounds[1:], end).astype(np.uint32)

@@ -140,3 +140,27 @@ def test_empty_token_files(spark, odd, tmp_path):
     path = str(tmp_path / "none")
     token_files.write_token_files(odd.limit(0), path, default_path(), end=2)
     assert token_files.read_token_files(spark.read.parquet(path)).collect() == []
+
+
+def test_the_tokenizer_gets_a_bounded_number_of_units_at_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from pulsegrid.llm import tokens
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.sizes = inner, []
+
+        def encode_batch_fast(self, units, **kw):
+            self.sizes.append(len(units))
+            return self.inner.encode_batch_fast(units, **kw)
+
+    monkeypatch.setattr(tokens, "CALL_UNITS", 50, raising=False)
+    texts = pa.array([" ".join(f"w{i}x{i * 7}" for i in range(400)), "", "a b c"])
+    code, plain = tokens.Encoder(tokens.default_path()), tokens.Encoder(tokens.default_path())
+    code.tokenizer = Counted(code.tokenizer)
+    ids, bounds = code.encode(texts, 1)
+    want = [[*plain.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts.to_pylist()]
+    assert ids.tolist() == [i for x in want for i in x] and np.diff(bounds).tolist() == [len(x) for x in want]
+    assert len(code.tokenizer.sizes) > 1 and max(code.tokenizer.sizes) <= 50
