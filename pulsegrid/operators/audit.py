@@ -212,9 +212,9 @@ def channel_diagnostics(
         F.avg((F.abs(F.abs("x") - rail) < 500.0).cast("double")).alias("fraction_near_rail"),
         F.max(F.abs("x")).alias("_max_abs"),
     )
-    x = F.col("x")
+    x, size = F.col("x"), F.abs("x")
     quant = exact_quantiles(long, keys, {
-        "median": (x, 0.5), "_q25": (x, 0.25), "_q75": (x, 0.75), "abs_p95": (F.abs(x), 0.95), "abs_p99": (F.abs(x), 0.99)})
+        "median": (x, 0.5), "_q25": (x, 0.25), "_q75": (x, 0.75), "abs_p95": (size, 0.95), "abs_p99": (size, 0.99)})
     stats = materialize(base.join(quant, keys))
     rows = long.join(stats.select(*keys, "median", "_last", "n"), keys)
     tail = F.greatest(F.lit(10), F.floor(F.col("n") / 10))
