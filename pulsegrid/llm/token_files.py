@@ -157,7 +157,7 @@ def read_token_files(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     The position of a block is the sum of the blocks before it; only block sizes meet in one task for that.
     """
     order = Window.orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per about a million ids
+    # one row per about a million ids, so it goes to the blocks; otherwise every payload would be shuffled to meet its shift
     shifts = blocks.select("part", "block", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("shift"))
     kind = blocks.schema["keys"].dataType.elementType
 
@@ -173,5 +173,5 @@ def read_token_files(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     [keys, pa.array(bounds[:-1] + batch.column(2)[i].as_py(), pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())],
                     names=[id_col, "start", "n_tokens", "ids_crc32"])
 
-    placed = blocks.select("part", "block", "keys", "payload").join(shifts, ["part", "block"])
+    placed = blocks.select("part", "block", "keys", "payload").join(F.broadcast(shifts), ["part", "block"])
     return placed.select("keys", "payload", "shift").mapInArrow(decode, f"{id_col} {kind.simpleString()}, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -6,13 +6,14 @@ import json
 import os
 import sys
 import types
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# units kept per Python worker before the cache starts anew: bounds its memory at roughly 50 MB
-CACHE_UNITS = 250_000
+# units kept per Python worker before the cache starts anew: bounds its memory at roughly 100 MB
+CACHE_UNITS = 500_000
 # units handed to the tokenizer at once: what it returns for a unit takes about a kilobyte
 CALL_UNITS = 1 << 14
 # bytes of text put together at once: bounds the working arrays (a longer text is one step of its own)
@@ -76,8 +77,11 @@ class Encoder:
         self.used = 0
 
     def _units(self, units: list[str]) -> np.ndarray:
-        """Places of the units in the cache, encoding those it lacks."""
-        missing = [u for u in dict.fromkeys(units) if u not in self.place]
+        """Places of the units, all different, in the cache, encoding those it lacks; each is looked up once."""
+        places = np.fromiter(map(self.place.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+        lacking = np.flatnonzero(places < 0)
+        places[lacking] = len(self.place) + np.arange(len(lacking))
+        missing = [units[i] for i in lacking.tolist()]
         for at in range(0, len(missing), CALL_UNITS):
             part = missing[at : at + CALL_UNITS]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
@@ -88,10 +92,10 @@ class Encoder:
             while self.used + lens.sum() > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             self.start[first + 1 : first + 1 + len(part)] = self.used + np.cumsum(lens)
-            self.flat[self.used : self.used + lens.sum()] = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(lens.sum()))
+            self.flat[self.used : self.used + lens.sum()] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lens.sum()))
             self.used += int(lens.sum())
             self.place.update(zip(part, range(first, first + len(part))))
-        return np.fromiter((self.place[u] for u in units), dtype=np.int64, count=len(units))
+        return places
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and the n+1 document boundaries in it; ``end`` is appended to each document."""

@@ -164,3 +164,32 @@ def test_the_tokenizer_gets_a_bounded_number_of_units_at_once(monkeypatch):
     want = [[*plain.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts.to_pylist()]
     assert ids.tolist() == [i for x in want for i in x] and np.diff(bounds).tolist() == [len(x) for x in want]
     assert len(code.tokenizer.sizes) > 1 and max(code.tokenizer.sizes) <= 50
+
+
+def test_block_shifts_go_to_the_payloads(spark, tmp_path):
+    """Payloads are not shuffled to meet their shifts, whatever Spark guesses about sizes."""
+    path = str(tmp_path / "blocks")
+    token_files.write_token_files(spark.createDataFrame([(1, "one two"), (2, None), (3, "three")], "doc_id bigint, text string"), path, default_path(), 2, block_ids=2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = token_files.read_token_files(spark.read.parquet(path))
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        rows = out.orderBy("doc_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [r.start for r in rows] == [0, rows[0].n_tokens, rows[0].n_tokens + 1]
+
+
+def test_every_unit_is_looked_up_once():
+    class Once(dict):
+        def __contains__(self, key):
+            raise AssertionError("a second look-up")
+
+        __getitem__ = __contains__
+
+    code = Encoder(default_path())
+    code.place = Once()
+    texts = ["the cat and the dog", "the bird", "the cat and the dog"]
+    for _ in range(2):
+        ids, bounds = code.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [code.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
