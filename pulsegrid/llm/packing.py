@@ -11,16 +11,19 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.tables import in_steps, number_rows
 from pulsegrid.llm.tokens import encoder
 from pulsegrid.runtime import materialize
 
+BATCH_ROWS = 500
+
 
 class RoomTree:
     """Segment tree over remaining room 0..window: which rooms are open, and the smallest open one from a length up."""
@@ -137,6 +140,22 @@ def place_pieces(pieces: DataFrame, window: int, id_col: str = "doc_id") -> Data
     )
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Hand Python at most ``rows`` rows at a time in the jobs run inside; the session's own setting comes back after.
+
+    A batch of whole texts stands in the executor's JVM and in its Python worker at once, beside the encoder.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pack_documents(df: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Cut and place every document: one row per piece. Null texts count as empty, repeated ids as separate documents."""
-    return place_pieces(cut_documents(df, window, tokenizer, end, id_col, text_col, keep_ids), window, id_col)
+    with small_batches(df.sparkSession):  # placing writes the pieces before it goes on
+        return place_pieces(cut_documents(df, window, tokenizer, end, id_col, text_col, keep_ids), window, id_col)

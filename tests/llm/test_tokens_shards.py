@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import packing, sharding, token_files
 from pulsegrid.llm.tokens import Encoder, default_path
@@ -193,3 +194,25 @@ def test_every_unit_is_looked_up_once():
     for _ in range(2):
         ids, bounds = code.encode(pa.array(texts))
         assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [code.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_hands_python_small_batches(spark, tmp_path, monkeypatch):
+    """Each batch leaves its size in a folder: none holds more rows than set, and the session's setting is as before."""
+    inner, folder = packing.in_steps, str(tmp_path)
+
+    def noted(batches, text):
+        import uuid
+
+        for batch in batches:
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(batch.num_rows))
+            yield from inner(iter([batch]), text)
+
+    monkeypatch.setattr(packing, "in_steps", noted)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).coalesce(1)
+    out = packing.pack_documents(docs, default_path())
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert out.count() == 2_000 and spark.conf.get(name) == before
+    assert sum(sizes) == 2_000 and max(sizes) <= packing.BATCH_ROWS
