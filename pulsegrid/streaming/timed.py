@@ -70,6 +70,17 @@ class Machine:
         return memory
 
 
+def _plain(kind: T.DataType, value: object) -> object:
+    """A value read from state as tuples and lists: Spark reads structs as ``Row`` and cannot write one that lies in a list back."""
+    if value is None:
+        return None
+    if isinstance(kind, T.StructType):
+        return tuple(_plain(f.dataType, v) for f, v in zip(kind, value))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+        return [_plain(kind.elementType, v) for v in value]
+    return value
+
+
 class _Processor(StatefulProcessor):
     """The sessions of one bucket: their waiting rows, what each remembers, and the earliest time at which one is due."""
 
@@ -77,7 +88,8 @@ class _Processor(StatefulProcessor):
         self.machine, self.keys, self.pos, self.fields, self.names, self.idle = machine, list(keys), pos, fields, list(names), idle
         # a session: its key, the last handled (time, position), when its last row came, the machine's memory
         key = T.StructType([f for f in fields if f.name in self.keys])
-        session = T.StructType([T.StructField("key", key), *PLACE, T.StructField("memory", T._parse_datatype_string(machine.memory))])  # needs the driver's session
+        self.memory = T._parse_datatype_string(machine.memory)  # needs the driver's session
+        session = T.StructType([T.StructField("key", key), *PLACE, T.StructField("memory", self.memory)])
         self.shape = T.StructType([T.StructField("sessions", T.ArrayType(session))])
 
     def init(self, handle) -> None:
@@ -124,7 +136,7 @@ class _Processor(StatefulProcessor):
                 later.append(tuple(r))
         waits = {tuple(r[i] for i in which) for r in later}
         saved = self.sessions.get()
-        known = {tuple(s[0]): (*s[1:4], tuple(s[4])) for s in (saved[0] if saved else ())}
+        known = {tuple(s[0]): (*s[1:4], _plain(self.memory, s[4])) for s in (saved[0] if saved else ())}
         out, owners, marks, keep = [], [], [r[when] for r in later], []
         for session in {**known, **ready}:
             state = known.get(session, (None, None, None, self.machine.start))
