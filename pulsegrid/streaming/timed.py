@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -532,7 +534,7 @@ class Adaptive(Machine):
         out, norms = {"at": row["at"], "pos": row[self.pos]}, {}
         for i, c in enumerate(self.channels):
             tails[i] = [*tails[i], min(abs(float(row[c])), self.cfg["limit"])][-self.width:]
-            average = float(np.mean(tails[i]))
+            average = reduce(add, tails[i]) / len(tails[i])  # one by one, as Spark and SQL add: another order may miss a threshold that is met exactly
             lower[i], upper[i], norms[c] = st.threshold_step(lower[i], upper[i], average, self.cfg)
             out |= {f"{c}_average": average, f"{c}_lower": lower[i], f"{c}_upper": upper[i], f"{c}_output": norms[c]}
         side = lambda names: sum(norms[c] for c in names) / len(names) if names else 0.0
