@@ -114,10 +114,12 @@ def assign_clusters(peaks: DataFrame, clusters: DataFrame, tl: Timeline, peak_id
 
 def nearby_triggers(peaks: DataFrame, clicks: DataFrame, keys: Sequence[str], peak_id: str, at: str, click_at: str, radius: float) -> DataFrame:
     """Clicks within ``radius`` of each peak: whether, how many, and their times in order."""
-    spans = peaks.select(*keys, peak_id, (F.col(at) - radius).alias("_lo"), (F.col(at) + radius).alias("_hi"))
-    hits = range_join(clicks.select(*keys, click_at), spans, keys, click_at, "_lo", "_hi", 2 * radius)
+    # the spans are a little wider, the distance decides: at - radius is rounded and may pass a click that is exactly that far
+    reach = F.lit(radius) * (1 + 1e-6) + F.abs(at) * 1e-15
+    spans = peaks.select(*keys, peak_id, F.col(at).alias("_peak"), (F.col(at) - reach).alias("_lo"), (F.col(at) + reach).alias("_hi"))
+    hits = range_join(clicks.select(*keys, click_at), spans, keys, click_at, "_lo", "_hi", 2 * radius).where(F.abs(F.col(click_at) - F.col("_peak")) <= radius)
     agg = hits.groupBy(*keys, peak_id).agg(
-        F.count(F.lit(1)).alias("trigger_count_nearby"), F.sort_array(F.collect_list(F.round(click_at, 6))).alias("_times"))
+        F.count(F.lit(1)).alias("trigger_count_nearby"), F.sort_array(F.collect_list(F.round(F.col(click_at) * 1e6) / 1e6)).alias("_times"))
     out = peaks.join(agg, [*keys, peak_id], "left")
     # plain digits, also below a thousandth and above ten millions, where Spark would write an exponent
     plain = lambda t: F.regexp_replace(t.cast("decimal(38,6)").cast("string"), r"(\.\d)(\d*?)0*$", "$1$2")

@@ -11,7 +11,7 @@ from pulsegrid.timeline import Timeline, config_rows
 from workload import intervals_q as iq
 from workload import signal_q as sq
 from workload import windows_q as wq
-from workload.base import EV, EVENTS_TL as TL, ITEMS_TL, LI, event_samples, r, rounded, table
+from workload.base import EV, EVENTS_TL as TL, ITEMS_TL, LI, event_samples, hours, r, rounded, table
 from workload.registry import query
 
 HOURS = Timeline(chunk_rows=96)
@@ -19,9 +19,8 @@ K = ["session_id"]
 
 
 def timed(spark, sf):
-    hours = (F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 3600000000.0
     return table(spark, sf, "events").select(
-        F.col("user_id").alias("session_id"), "event_id", F.round(hours, 6).alias("t"), "value", F.col("event_type").alias("label"))
+        F.col("user_id").alias("session_id"), "event_id", hours().alias("t"), "value", F.col("event_type").alias("label"))
 
 
 TM = "tm AS (SELECT user_id AS session_id, event_id, round((epoch_us(ts) - 1704067200000000) / 3600000000.0, 6) AS t, value, event_type AS label FROM events)"

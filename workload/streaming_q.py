@@ -22,7 +22,7 @@ from pulsegrid.streaming import live, timed
 from pulsegrid.timeline import Timeline
 from workload import joins_q as jq
 from workload import machines_q as mq
-from workload.base import EV, NUDGE, r, rounded, table
+from workload.base import EV, NUDGE, hours, r, rounded, table
 from workload.registry import query
 
 K = ["session_id"]
@@ -66,9 +66,8 @@ def event_stream(spark, sf):
     s = live.replay_source(spark, f"{folder}/*", table(spark, sf, "events").schema, files)
     v, l = F.col("value"), F.col("event_type")
     state = F.when(l == "click", "ONSET").when(l == "signup", "ACTIVE").when(l == "view", "OFFSET").otherwise("INACTIVE")
-    hours = (F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 3600000000.0
     return s.select(
-        F.col("user_id").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "value", F.col("event_type").alias("label"), F.round(hours, 6).alias("hour"),
+        F.col("user_id").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "value", F.col("event_type").alias("label"), hours().alias("hour"),
         (v / (v + 20.0)).alias("clench"), (v / (v + 30.0)).alias("onset"), (v / (v + 25.0)).alias("active"), (20.0 / (v + 20.0)).alias("inactive"), v.alias("envelope"), state.alias("state"))
 
 
